@@ -73,6 +73,10 @@ class Queries:
             self.bound = np.where(np.isnan(given), np.inf, given)
         self.steps = table.column("step").to_numpy() if step else None
         self.at = table.column("at").to_numpy() if as_of else None
+        # Queries that see about the same records are scored together.
+        order = self.at if as_of else self.steps
+        if order is not None:
+            self.groups = {k: r[np.argsort(order[r], kind="stable")] for k, r in self.groups.items()}
         # key -> anchor tag -> tag set -> query positions; None anchors no tag.
         self.plan: dict = {}
         required = self._required(table) if tags else None
@@ -111,6 +115,15 @@ class Queries:
                     if len(found):
                         yield np.asarray(queries), found
 
+    def reachable(self, r: Records, qi: np.ndarray, ri: np.ndarray) -> np.ndarray:
+        """Drop records that none of these queries can see."""
+        if self.step:
+            ri = ri[r.steps[ri] <= self.steps[qi].max()]
+        if self.as_of:
+            at = self.at[qi]
+            ri = ri[(r.start[ri] <= at.max()) & (r.end[ri] > at.min())]
+        return ri
+
 
 class Records:
     def __init__(self, table: pa.Table, queries: Queries):
@@ -196,6 +209,9 @@ class Best:
 
     def _add_tile(self, r: Records, qi: np.ndarray, ri: np.ndarray) -> None:
         q = self.q
+        ri = q.reachable(r, qi, ri)
+        if not len(ri):
+            return
         score, limit, slack = _score(q, r, qi, ri)
         if q.step:
             score[q.steps[qi][:, None] < r.steps[ri][None, :]] = np.nan
