@@ -46,6 +46,15 @@ def _lists(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
     return rows, column.flatten().to_numpy(zero_copy_only=False)
 
 
+def _ids(column: pa.ChunkedArray) -> np.ndarray:
+    """Ids as an array that sorts; struct ids become tuples, field by field."""
+    if not pa.types.is_struct(column.type):
+        return column.to_pandas().to_numpy()
+    out = np.empty(len(column), dtype=object)
+    out[:] = [tuple(row.values()) for row in column.to_pylist()]
+    return out
+
+
 def _groups(table: pa.Table, by: tuple[str, ...]) -> dict:
     """Row positions per key; rows with a null key match nothing."""
     if not by:
@@ -61,7 +70,7 @@ class Queries:
     def __init__(self, table: pa.Table, metric: str, by=(), tags=False, step=False, as_of=False):
         self.metric, self.by = metric, tuple(by)
         self.tags, self.step, self.as_of = tags, step, as_of
-        self.ids = table.column("query_id").to_pandas().to_numpy()
+        self.ids = _ids(table.column("query_id"))
         self.vectors = matrix(table.column("values"))
         self.norms = np.sqrt((self.vectors**2).sum(axis=1)) if len(self.ids) else np.empty(0)
         self.k = table.column("top_k").to_numpy().astype(np.int64)
@@ -128,7 +137,7 @@ class Queries:
 class Records:
     def __init__(self, table: pa.Table, queries: Queries):
         self.table = table
-        self.ids = table.column("id").to_pandas().to_numpy()
+        self.ids = _ids(table.column("id"))
         self.vectors = matrix(table.column("values"))
         self.norms = np.sqrt((self.vectors**2).sum(axis=1))
         self.steps = table.column("step").to_numpy() if queries.step else None
