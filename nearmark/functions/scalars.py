@@ -67,3 +67,9 @@ def default_lists(record_count: int) -> int:
 
 def default_probes(lists: int) -> int:
     return max(1, isqrt(lists))
+
+
+def lists_for(record_count: Column) -> Column:
+    """:func:`default_lists` of a column of counts."""
+    few = F.greatest(F.lit(1).cast("bigint"), whole_div(record_count, F.lit(1000)))
+    return F.when(record_count <= 1_000_000, few).otherwise(F.floor(F.sqrt(record_count)).cast("bigint"))

@@ -1,7 +1,7 @@
 """Retrieval metrics from flat result tables ``(query_id, rank, id)``.
 
 The same scores as the array form, for result sets too large to keep as lists:
-one equi-join on ``(query_id, id)`` and one grouped sum.
+one grouping by ``(query_id, id)`` and one by ``query_id``.
 """
 
 from __future__ import annotations
@@ -19,24 +19,32 @@ def score_flat(actual: DataFrame, expected: DataFrame, queries: DataFrame) -> Da
     wanted = expected.join(queries.select("query_id", "top_k"), "query_id").where(
         F.col("rank") <= F.col("top_k")
     )
-    first_a = actual.groupBy("query_id", "id").agg(F.min("rank").alias("a"))
-    first_e = wanted.groupBy("query_id", "id").agg(F.min("rank").alias("e"))
-    n_a = actual.groupBy("query_id").agg(F.count(F.lit(1)).alias("n_a"))
-    n_e = wanted.groupBy("query_id").agg(F.count(F.lit(1)).alias("n_e"))
-    hits = first_a.join(first_e, ["query_id", "id"]).join(n_a, "query_id")
-    later = F.greatest("a", "e")
-    ranks = F.when(later <= F.col("n_a"), F.sequence(later.cast("bigint"), F.col("n_a")))
-    gain = F.aggregate(
-        F.coalesce(ranks, F.array().cast("array<bigint>")), F.lit(0.0), lambda s, i: s + F.lit(1.0) / i
+    nothing = F.lit(None).cast("int")
+    both = actual.select("query_id", "id", F.col("rank").cast("int").alias("a"), nothing.alias("e")).unionByName(
+        wanted.select("query_id", "id", nothing.alias("a"), F.col("rank").cast("int").alias("e"))
     )
-    sums = hits.groupBy("query_id").agg(
-        F.count(F.lit(1)).alias("hits"), F.sum(gain).alias("gain"), F.min("a").alias("best")
+    per_id = both.groupBy("query_id", "id").agg(
+        F.min("a").alias("a"), F.min("e").alias("e"), F.count("a").alias("n_a"), F.count("e").alias("n_e")
     )
+    later = F.when(F.col("a").isNotNull() & F.col("e").isNotNull(), F.greatest("a", "e"))
+    # The list holds at most top_k ranks.
+    per_query = per_id.groupBy("query_id").agg(
+        F.sum("n_a").alias("n_a"),
+        F.sum("n_e").alias("n_e"),
+        F.min(F.when(F.col("e").isNotNull(), F.col("a"))).alias("best"),
+        F.collect_list(later).alias("later"),
+    )
+
+    def harmonic(m):
+        ranks = F.sequence(m, F.greatest(m, F.col("n_a").cast("int")))
+        return F.when(m <= F.col("n_a"), F.aggregate(ranks, F.lit(0.0), lambda s, i: s + F.lit(1.0) / i)).otherwise(0.0)
+
+    gain = F.aggregate("later", F.lit(0.0), lambda s, m: s + harmonic(m))
     joined = (
         queries.select("query_id")
-        .join(n_a, "query_id", "left")
-        .join(n_e, "query_id", "left")
-        .join(sums, "query_id", "left")
+        .join(per_query, "query_id", "left")
+        .withColumn("hits", F.size("later"))
+        .withColumn("gain", gain)
     )
     got, want = F.coalesce("n_a", F.lit(0)), F.coalesce("n_e", F.lit(0))
 

@@ -22,6 +22,10 @@ from nearmark.functions.scalars import default_lists, default_probes
 from nearmark.operators import blocks
 from nearmark.operators.knn import BROADCAST_BYTES, Match, _collect_within, _dims, knn
 from nearmark.schema import COSINE, NEIGHBOUR_COLUMNS, check_metric
+from nearmark.session import stored
+
+# Most list ids written into a scan as literals.
+NAMED_LISTS = 4096
 
 __all__ = [
     "assign_lists", "default_lists", "default_probes", "fit_centroids", "ivf_search",
@@ -116,10 +120,23 @@ def ivf_search(
     **options,
 ) -> DataFrame:
     """Nearest records among each query's ``probes`` nearest lists."""
-    probed = _probe_lists(centroids, queries, metric, probes)
+    probed = stored(_probe_lists(centroids, queries, metric, probes), "probes")
     asked = queries.join(probed.select("query_id", "list_id"), "query_id")
     within = Match(("list_id", *match.by), match.tags, match.step, match.as_of)
-    return knn(assigned, asked, metric, within, **options)
+    return knn(_lists_probed(assigned, probed), asked, metric, within, **options)
+
+
+def _lists_probed(assigned: DataFrame, probed: DataFrame) -> DataFrame:
+    """The corpus without lists nobody probes.
+
+    A moderate number of lists is named in the scan, so that a corpus stored by
+    list reads only their folders; more are matched by a join.
+    """
+    lists = probed.select("list_id").distinct()
+    named = [row["list_id"] for row in lists.limit(NAMED_LISTS + 1).collect()]
+    if len(named) <= NAMED_LISTS:
+        return assigned.where(F.col("list_id").isin(named))
+    return assigned.join(lists, "list_id", "left_semi")
 
 
 def _probe_lists(centroids: DataFrame, queries: DataFrame, metric: str, probes: int) -> DataFrame:
@@ -136,9 +153,10 @@ def probe_sweep(
     Each query and list is compared once, at the widest setting; every setting
     then merges the lists it probes.
     """
-    asked = queries.join(_probe_lists(centroids, queries, metric, max(settings)), "query_id")
+    probed = stored(_probe_lists(centroids, queries, metric, max(settings)), "probes")
+    asked = queries.join(probed, "query_id")
     per_list = knn(
-        assigned,
+        _lists_probed(assigned, probed),
         asked.withColumn("query_id", F.struct("query_id", "probe", "top_k")),
         metric,
         Match(("list_id",)),

@@ -34,6 +34,7 @@ from pyspark.sql.window import Window
 
 from nearmark.functions.distance import distance, literal_vector
 from nearmark.operators import blocks
+from nearmark.operators.skew import all_parts, cuts, with_cuts
 from nearmark.schema import NEIGHBOUR_COLUMNS, check_metric
 
 # Bytes of float64 vectors one task may hold of a side, and of one grid block.
@@ -175,15 +176,14 @@ def _stream_queries(r, q, side: pa.Table, metric: str, match: Match) -> DataFram
 def _grid(r, q, metric: str, match: Match, rows: int) -> DataFrame:
     schema, id_type, query_id_type = _output(r, q)
     by = list(match.by)
-    r_cuts = _cuts(r, by, rows, "_rcuts")
-    q_cuts = _cuts(q, by, rows, "_qcuts")
-    left = _with_cuts(_with_cuts(r, r_cuts, by, "_rcuts"), q_cuts, by, "_qcuts")
-    right = _with_cuts(_with_cuts(q, r_cuts, by, "_rcuts"), q_cuts, by, "_qcuts")
+    r_cuts, q_cuts = cuts(r, by, rows, "_rcuts"), cuts(q, by, rows, "_qcuts")
+    left = with_cuts(with_cuts(r, r_cuts, by, "_rcuts"), q_cuts, by, "_qcuts")
+    right = with_cuts(with_cuts(q, r_cuts, by, "_rcuts"), q_cuts, by, "_qcuts")
     # A record goes to one row of its key's grid, a query to one column.
     left = left.withColumn("_r", F.pmod(F.xxhash64("id"), F.col("_rcuts")))
-    left = left.withColumn("_q", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("_qcuts") - 1)))
+    left = left.withColumn("_q", all_parts(F.col("_qcuts")))
     right = right.withColumn("_q", F.pmod(F.xxhash64("query_id"), F.col("_qcuts")))
-    right = right.withColumn("_r", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("_rcuts") - 1)))
+    right = right.withColumn("_r", all_parts(F.col("_rcuts")))
     key = [*by, "_r", "_q"]
     left, right = left.drop("_rcuts", "_qcuts"), right.drop("_rcuts", "_qcuts")
     options = replace(match, by=()).options()
@@ -195,26 +195,6 @@ def _grid(r, q, metric: str, match: Match, rows: int) -> DataFrame:
     return left.groupBy(*key).cogroup(right.groupBy(*key)).applyInArrow(cell, schema)
 
 
-def _cuts(df: DataFrame, by: list[str], rows: int, name: str) -> DataFrame:
-    """Blocks per key, for keys that need more than one.
-
-    A key is listed only if it has more than ``rows`` rows, so the list is no
-    longer than the row count over ``rows`` and safe to broadcast.
-    """
-    cuts = F.ceil(F.count(F.lit(1)) / F.lit(rows)).cast("bigint")
-    return df.groupBy(*by).agg(cuts.alias(name)).where(F.col(name) > 1)
-
-
-def _with_cuts(df: DataFrame, cuts: DataFrame, by: list[str], name: str) -> DataFrame:
-    small = F.broadcast(cuts)
-    if by:
-        joined = df.join(small, by, "left")
-    else:
-        # One row at most: every row of the side shares the same cut count.
-        joined = df.withColumn("_all", F.lit(1)).join(small.withColumn("_all", F.lit(1)), "_all", "left").drop("_all")
-    return joined.withColumn(name, F.coalesce(F.col(name), F.lit(1).cast("bigint")))
-
-
 def _merge(pairs: DataFrame) -> DataFrame:
     """Rank the pairs kept by the tasks; the only shuffle, and without vectors."""
     order = Window.partitionBy("query_id").orderBy("distance", "id")

@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from nearmark.operators.knn import Match, knn
+from nearmark.session import stored
 
 
 def posting_table(records: DataFrame) -> DataFrame:
@@ -51,7 +52,7 @@ def knn_by_postings(
     """Same rows as a filtered :func:`knn`; reads only matching records."""
     free = queries.where(F.col("required").isNull() | (F.size("required") == 0))
     bound = queries.where(F.size("required") > 0)
-    anchored = anchor_queries(bound, tag_counts(records))
+    anchored = stored(anchor_queries(bound, tag_counts(records)), "anchors")
     used = anchored.select("anchor").distinct()
     posted = records.withColumn("anchor", F.explode(F.array_distinct("tags"))).join(
         used, "anchor", "left_semi"

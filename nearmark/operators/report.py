@@ -40,12 +40,20 @@ def long_metrics(log: DataFrame, keys: tuple[str, ...] = ("request_type",)) -> D
     return log.select(*keys, F.explode("metrics").alias("metric", "value"))
 
 
-def histogram(values: DataFrame, keys: tuple[str, ...] = ("request_type", "metric"), value: str = "value") -> DataFrame:
-    """Counts per thousandth: ``keys, bucket, n``."""
+def histogram(
+    values: DataFrame,
+    keys: tuple[str, ...] = ("request_type", "metric"),
+    value: str = "value",
+    exact: bool = False,
+) -> DataFrame:
+    """Counts per thousandth: ``keys, bucket, n``; ``exact`` adds the least,
+    greatest and summed value of each bucket."""
+    v = F.col(value)
+    more = (F.min(v).alias("low"), F.max(v).alias("high"), F.sum(v).alias("sum")) if exact else ()
     return (
-        values.where(F.col(value).isNotNull())
-        .groupBy(*keys, bucket_of(F.col(value)).alias("bucket"))
-        .agg(F.count(F.lit(1)).alias("n"))
+        values.where(v.isNotNull())
+        .groupBy(*keys, bucket_of(v).alias("bucket"))
+        .agg(F.count(F.lit(1)).alias("n"), *more)
     )
 
 
@@ -62,8 +70,22 @@ def merge_counters(*parts: DataFrame) -> DataFrame:
     return both.groupBy(*keys).agg(F.sum("total").alias("total"))
 
 
-def summarise(hist: DataFrame, keys: tuple[str, ...] = ("request_type", "metric")) -> DataFrame:
-    """``keys, count, min, 12 percentiles, max, mean`` of each histogram."""
+def _bucket_mean() -> Column:
+    return bucket_value(F.sum(F.col("bucket") * F.col("n")) / F.sum("n"))
+
+
+def summarise(
+    hist: DataFrame, keys: tuple[str, ...] = ("request_type", "metric"), ends: tuple[Column, ...] | None = None
+) -> DataFrame:
+    """``keys, count, min, 12 percentiles, max, mean`` of each histogram.
+
+    ``ends`` replaces the expressions of ``min``, ``max`` and ``mean``.
+    """
+    low, high, mean = ends or (
+        bucket_value(F.min("bucket")).alias("min"),
+        bucket_value(F.max("bucket")).alias("max"),
+        _bucket_mean().alias("mean"),
+    )
     upto = Window.partitionBy(*keys).orderBy("bucket").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     whole = Window.partitionBy(*keys)
     ranked = hist.withColumn("_upto", F.sum("n").over(upto)).withColumn("_all", F.sum("n").over(whole))
@@ -75,10 +97,10 @@ def summarise(hist: DataFrame, keys: tuple[str, ...] = ("request_type", "metric"
 
     return ranked.groupBy(*keys).agg(
         F.sum("n").alias("count"),
-        bucket_value(F.min("bucket")).alias("min"),
+        low,
         *[at(bp).alias(percentile_column(bp)) for bp in REPORT_PERCENTILES],
-        bucket_value(F.max("bucket")).alias("max"),
-        bucket_value(F.sum(F.col("bucket") * F.col("n")) / F.sum("n")).alias("mean"),
+        high,
+        mean,
     )
 
 
@@ -103,14 +125,15 @@ def operation_summary(log: DataFrame, key: str = "request_type") -> DataFrame:
     ).orderBy(key)
 
 
+def _exact_ends(hist: DataFrame, keys: tuple[str, ...]) -> DataFrame:
+    """Summary with the least, greatest and mean value unrounded."""
+    ends = (F.min("low").alias("min"), F.max("high").alias("max"), (F.sum("sum") / F.sum("n")).alias("mean"))
+    return summarise(hist, keys, ends).select(*keys, *SUMMARY_COLUMNS)
+
+
 def latency_summary(log: DataFrame, keys: tuple[str, ...] = ("request_type",)) -> DataFrame:
     """Least, 12 percentiles, greatest and mean response time per operation."""
-    timed = log.where(F.col("response_time").isNotNull())
-    plain = timed.groupBy(*keys).agg(
-        F.min("response_time").alias("min"), F.max("response_time").alias("max"), F.avg("response_time").alias("mean")
-    )
-    spread = summarise(histogram(timed, keys, "response_time"), keys)
-    return plain.join(spread.select(*keys, *PERCENTILE_COLUMNS), list(keys)).select(*keys, *SUMMARY_COLUMNS)
+    return _exact_ends(histogram(log, keys, "response_time", exact=True), keys)
 
 
 def metric_summary(log: DataFrame, keys: tuple[str, ...] = ("request_type",)) -> DataFrame:
@@ -118,17 +141,34 @@ def metric_summary(log: DataFrame, keys: tuple[str, ...] = ("request_type",)) ->
 
 
 def metrics_summary(log: DataFrame) -> DataFrame:
-    """Per operation the latency row, then a row per metric, in print order."""
-    latency = latency_summary(log).select(
-        F.col("request_type").alias("operation"), F.lit(0).alias("section"),
-        F.lit("Latency (ms)").alias("metric"), *SUMMARY_COLUMNS,
+    """Per operation the latency row, then a row per metric, in print order.
+
+    Latency is read as one more metric, so the log is scanned once.
+    """
+    latency = F.struct(
+        F.lit(0).alias("section"), F.lit("Latency (ms)").alias("metric"), F.col("response_time").alias("value")
+    )
+    custom = F.transform(
+        F.map_entries("metrics"),
+        lambda e: F.struct(F.lit(1).alias("section"), _sentence_case(e["key"]).alias("metric"), e["value"].alias("value")),
     )
-    custom = metric_summary(log).select(
-        F.col("request_type").alias("operation"), F.lit(1).alias("section"),
-        F.concat(F.upper(F.left("metric", F.lit(1))), F.lower(F.substr("metric", F.lit(2)))).alias("metric"),
-        *SUMMARY_COLUMNS,
+    rows = log.select(
+        F.col("request_type").alias("operation"),
+        F.explode(F.when(F.col("metrics").isNull(), F.array(latency)).otherwise(F.concat(F.array(latency), custom))).alias("_v"),
+    ).select("operation", "_v.*")
+    keys = ("operation", "section", "metric")
+    first = F.min("section") == 0
+    ends = (
+        F.when(first, F.min("low")).otherwise(bucket_value(F.min("bucket"))).alias("min"),
+        F.when(first, F.max("high")).otherwise(bucket_value(F.max("bucket"))).alias("max"),
+        F.when(first, F.sum("sum") / F.sum("n")).otherwise(_bucket_mean()).alias("mean"),
     )
-    return latency.unionByName(custom).orderBy("operation", "section", "metric")
+    done = summarise(histogram(rows, keys, exact=True), keys, ends)
+    return done.select(*keys, *SUMMARY_COLUMNS).orderBy(*keys)
+
+
+def _sentence_case(text: Column) -> Column:
+    return F.concat(F.upper(F.left(text, F.lit(1))), F.lower(F.substr(text, F.lit(2))))
 
 
 def attach_metrics(stats: DataFrame, metrics: DataFrame, key: str = "request_type") -> DataFrame:

@@ -293,4 +293,10 @@ SELECT user_id, requests, {rounded('rate', 8)} AS rate, {rounded('gap_mean', 3)}
     "default_lists": """SELECT l_returnflag, count(*) AS records,
   CASE WHEN count(*) <= 1000000 THEN greatest(1, count(*) // 1000) ELSE floor(sqrt(count(*))) END::BIGINT AS lists
 FROM lineitem GROUP BY 1""",
+    "search_one": f"""WITH {R}, f AS (SELECT v FROM r ORDER BY id LIMIT 1)
+SELECT r.id, {rounded('list_distance(f.v, r.v)')} AS distance FROM r, f WHERE list_contains(tags, 'm1')
+ORDER BY list_distance(f.v, r.v), r.id LIMIT 20""",
+    "score_unavailable": f"""{LISTS} SELECT query_id, {', '.join(f'CASE WHEN r.namespace = 0 THEN {rounded(m)} END AS {m}' for m in METRICS)}
+FROM s JOIN r ON r.id = s.query_id""",
+    "report_sink": f"WITH {LOG} SELECT request_type, count(*) AS requests, count(*) FILTER (failed) AS failures FROM log GROUP BY 1",
 }

@@ -9,12 +9,12 @@ from pyspark.sql import functions as F
 
 from nearmark.functions import filters, scalars, scoring
 from nearmark.operators import corpus, flat, ivf, oplog, report, splits
-from nearmark.operators.knn import Match, knn, neighbour_lists, rerank
+from nearmark.operators.knn import Match, knn, neighbour_lists, rerank, search
 from nearmark.operators.postings import knn_by_postings
 from nearmark.plans import fixtures as fx
 from nearmark.plans.evaluate import score_results, summary
 from nearmark.schema import COSINE, DOTPRODUCT, EUCLIDEAN, VectorDataset
-from nearmark.session import scratch_path
+from nearmark.session import scratch_path, stored
 from nearmark.sources import datasets, synth, tables
 from nearmark.streaming import live
 
@@ -257,7 +257,8 @@ def recall_gate(spark, sf_dir):
 
 def _relevant(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
     records, queries = fx.records(spark, sf_dir), fx.queries(spark, sf_dir)
-    return records, corpus.relevant_ids(neighbour_lists(knn(records, queries, DOTPRODUCT)))
+    found = knn(records, queries, DOTPRODUCT)
+    return records, stored(found.select("id").distinct(), "relevant")
 
 
 @registered
@@ -729,7 +730,36 @@ def synth_sample(spark, sf_dir):
 def default_lists(spark, sf_dir):
     """Index size the record count of each namespace asks for."""
     counts = fx.table(spark, sf_dir, "lineitem").groupBy("l_returnflag").agg(F.count(F.lit(1)).alias("records"))
-    lists = F.when(
-        F.col("records") <= 1_000_000, F.greatest(F.lit(1).cast("bigint"), scalars.whole_div(F.col("records"), F.lit(1000)))
-    ).otherwise(F.floor(F.sqrt("records")))
-    return counts.select("l_returnflag", "records", lists.cast("bigint").alias("lists"))
+    return counts.select("l_returnflag", "records", scalars.lists_for(F.col("records")).alias("lists"))
+
+
+# Single searches, unscored queries, report sink ----------------------------
+
+
+@registered
+def search_one(spark, sf_dir):
+    """One literal query under a filter: the first embedding's vector."""
+    records = _json_records(spark, sf_dir)
+    asked = records.orderBy("id").first()["values"]
+    held = filters.filter_predicate('{"tags": "m1"}', F.col("metadata"))
+    found = search(records, asked, 20, EUCLIDEAN, held)
+    return found.select("id", rounded("distance").alias("distance"))
+
+
+@registered
+def score_unavailable(spark, sf_dir):
+    """Queries of one namespace have no ground truth, hence no score."""
+    actual, truth, queries = _results(spark, sf_dir)
+    known = queries.join(neighbour_lists(truth), "query_id")
+    known = known.withColumn("neighbors", F.when(F.col("namespace") == 0, F.col("neighbors")))
+    scored = score_results(actual, known).select("query_id", *scoring.METRICS)
+    return _rounded_all(scored, ["query_id"])
+
+
+@registered
+def report_sink(spark, sf_dir):
+    """The nested report written as JSON, and read back."""
+    path = scratch_path(spark, "report")
+    tables.write_report(report.report(fx.requests(spark, sf_dir)), path)
+    read = spark.read.schema("request_type string, requests bigint, failures bigint").json(path)
+    return read.select("request_type", "requests", "failures")
