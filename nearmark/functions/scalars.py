@@ -36,12 +36,6 @@ def whole_div(a: Column, b: Column) -> Column:
     return F.call_function("div", a.cast("bigint"), b.cast("bigint"))
 
 
-def nearest_rank(n: Column, bp: int) -> Column:
-    """Rank ``ceil(n * p)`` in whole numbers, at least 1."""
-    rank = whole_div(n * F.lit(bp) + F.lit(9_999), F.lit(10_000))
-    return F.greatest(F.lit(1).cast("bigint"), rank)
-
-
 def chunk_of(position: Column, total: Column | int, chunks: Column | int) -> Column:
     """1-based chunk of a 1-based position when ``total`` rows are split evenly.
 

@@ -100,9 +100,9 @@ def with_chunk(df: DataFrame, key: str, chunks: int, name: str = "chunk") -> Dat
     position = with_row_index(df.select(key), key, "_at", cut)
     chunk = chunk_of(F.col("_at"), cut.total, chunks)
     before = chunk_of(F.col("_at") - 1, cut.total, chunks)
-    first = position.where((F.col("_at") == 1) | (chunk != before)).select(key).orderBy(key)
+    first = position.where((F.col("_at") == 1) | (chunk != before)).select(key, "_at")
     # At most one row per chunk comes back.
-    starts = tuple(r[key] for r in first.collect())
+    starts = tuple(r[key] for r in sorted(first.collect(), key=lambda r: r["_at"]))
     return df.withColumn(name, (Ranges(key, starts, (), cut.total).of(df) + 1).cast("int"))
 
 

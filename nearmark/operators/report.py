@@ -18,7 +18,6 @@ from nearmark.functions.scalars import (
     REPORT_PERCENTILES,
     bucket_of,
     bucket_value,
-    nearest_rank,
     percentile_column,
     percentile_label,
     whole_div,
@@ -88,11 +87,17 @@ def summarise(
     )
     upto = Window.partitionBy(*keys).orderBy("bucket").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     whole = Window.partitionBy(*keys)
-    ranked = hist.withColumn("_upto", F.sum("n").over(upto)).withColumn("_all", F.sum("n").over(whole))
+    # In ten-thousandths of the row count: a bucket holds a percentile if the
+    # rows below it fall short of the share and the rows up to it reach it.
+    ranked = (
+        hist.withColumn("_all", F.sum("n").over(whole))
+        .withColumn("_upto", F.sum("n").over(upto) * 10_000)
+        .withColumn("_below", F.col("_upto") - F.col("n") * 10_000)
+    )
 
     def at(bp: int) -> Column:
-        rank = nearest_rank(F.col("_all"), bp)
-        here = (F.col("_upto") >= rank) & (F.col("_upto") - F.col("n") < rank)
+        share = F.col("_all") * bp
+        here = (F.col("_below") < share) & (share <= F.col("_upto"))
         return bucket_value(F.max(F.when(here, F.col("bucket"))))
 
     return ranked.groupBy(*keys).agg(

@@ -270,7 +270,7 @@ SELECT log.request_type, count(*) AS requests, {rounded('any_value(m.mean)')} AS
   (sum(k) FILTER (log.request_type <> 'Search'))::BIGINT AS counted FROM log LEFT JOIN m USING (request_type) GROUP BY 1""",
     "report_rollup": f"""WITH {LOG}, d AS (SELECT *, day(ts)::INTEGER AS step FROM log)
 SELECT request_type, step, grouping(step)::INTEGER AS all_steps, count(*) AS requests, count(*) FILTER (failed) AS failures,
-  {rounded('avg(response_time)', 4)} AS mean_response_time
+  {rounded('avg(response_time)', 9)} AS mean_response_time
 FROM d GROUP BY GROUPING SETS ((request_type, step), (request_type))""",
     "request_labels": f"WITH {LOG} SELECT 'day' || day(ts) || '.' || request_type AS label, count(*) AS requests FROM log GROUP BY 1",
     "phase_durations": f"""SELECT day(ts)::INTEGER AS phase, {rounded('(epoch_us(max(ts)) - epoch_us(min(ts))) / 1e6')} AS seconds,

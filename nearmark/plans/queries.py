@@ -580,7 +580,7 @@ def report_rollup(spark, sf_dir):
     done = report.rollup_summary(log)
     return done.select(
         "request_type", "step", "all_steps", "requests", "failures",
-        rounded("mean_response_time", 4).alias("mean_response_time"),
+        rounded("mean_response_time", 9).alias("mean_response_time"),
     )
 
 
@@ -704,7 +704,7 @@ def synth_metadata(spark, sf_dir):
 @registered
 def synth_queries(spark, sf_dir):
     """A Zipf-picked query per customer, over generated records."""
-    made = _generated(spark, sf_dir)
+    made = stored(_generated(spark, sf_dir), "corpus")
     asked = fx.table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("query_id"))
     picks = synth.zipf_picks(asked, made.count(), 5, "query_id")
     return synth.query_set(made, picks, COSINE, 10).select("query_id", "pick", "neighbors")
@@ -713,6 +713,7 @@ def synth_queries(spark, sf_dir):
 @registered
 def synth_runbook(spark, sf_dir):
     made = _generated(spark, sf_dir).withColumn("id", F.col("id").cast("bigint"))
+    made = stored(made, "corpus")
     asked = fx.table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("query_id"))
     picks = synth.uniform_picks(asked, made.count(), 5, "query_id")
     queries = synth.query_set(made, picks, COSINE, 10, ground_truth=False)
