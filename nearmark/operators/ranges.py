@@ -9,7 +9,6 @@ one small summary row per range (and key) from range to range.
 from __future__ import annotations
 
 from dataclasses import dataclass
-from math import isqrt
 from typing import Any
 
 from pyspark.sql import Column, DataFrame
@@ -30,23 +29,16 @@ class Ranges:
 
     def of(self, df: DataFrame) -> Column:
         """0-based range of a row, by value alone."""
-        if len(self.starts) <= 1:
-            return F.lit(0)
-        kind = df.schema[self.key].dataType
-        key = F.col(self.key)
-
-        def literal(values) -> Column:
-            return F.array(*[F.lit(v).cast(kind) for v in values])
-
-        def at_or_below(values: Column) -> Column:
-            return F.size(F.filter(values, lambda s: s <= key))
-
-        # Two levels, so that a row is compared with about 2 * sqrt(n) starts.
-        width = isqrt(len(self.starts) - 1) + 1
-        groups = [self.starts[i : i + width] for i in range(0, len(self.starts), width)]
-        group = F.greatest(at_or_below(literal(g[0] for g in groups)), F.lit(1))
-        inner = F.element_at(F.array(*[literal(g) for g in groups]), group)
-        return F.greatest((group - 1) * width + at_or_below(inner) - 1, F.lit(0))
+        kind, key = df.schema[self.key].dataType, F.col(self.key)
+
+        def search(low: int, high: int) -> Column:
+            # A tree of comparisons, as deep as the logarithm of the ranges.
+            if high - low <= 1:
+                return F.lit(low)
+            middle = (low + high) // 2
+            return F.when(key < F.lit(self.starts[middle]).cast(kind), search(low, middle)).otherwise(search(middle, high))
+
+        return search(0, len(self.starts))
 
     def offset(self, range_column: Column) -> Column:
         """Rows before a range."""
