@@ -20,8 +20,8 @@ from nearmark.schema import COSINE, EUCLIDEAN
 # Elements of one score matrix, and of one gathered block of vectors.
 SCORE_CELLS = 4_000_000
 GATHER_CELLS = 4_000_000
-# Pairs held before they are cut back to the best k of each query.
-HELD_PAIRS = 1_000_000
+# Least number of pairs held before they are cut back to the best k per query.
+HELD_PAIRS = 100_000
 UNIT_ROUNDOFF = 2.0**-53
 
 
@@ -135,13 +135,19 @@ class Queries:
 
 
 class Records:
-    def __init__(self, table: pa.Table, queries: Queries):
+    """A block of records, prepared once and used against many query blocks."""
+
+    def __init__(self, table: pa.Table, metric: str, by=(), tags=False, step=False, as_of=False):
         self.table = table
         self.ids = _ids(table.column("id"))
         self.vectors = matrix(table.column("values"))
         self.norms = np.sqrt((self.vectors**2).sum(axis=1))
-        self.steps = table.column("step").to_numpy() if queries.step else None
-        if queries.as_of:
+        self.scored = self.vectors
+        if metric == COSINE:
+            lengths = np.where(self.norms > 0, self.norms, 1.0)
+            self.scored = self.vectors / lengths[:, None]
+        self.steps = table.column("step").to_numpy() if step else None
+        if as_of:
             top = np.iinfo(np.int64).max
             self.start = table.column("valid_from").to_numpy()
             self.end = table.column("valid_to").fill_null(top).to_numpy()
@@ -150,27 +156,29 @@ class Records:
 def _score(q: Queries, r: Records, qi: np.ndarray, ri: np.ndarray):
     """Scores that order records as the metric does, their limit, and the slack.
 
-    The slack bounds the rounding of one matrix product of d terms.
+    The slack bounds the rounding of one matrix product of d terms, of vectors
+    that may have been scaled to unit length.
     """
-    qv, rv = q.vectors[qi], r.vectors[ri]
-    qn, rn = q.norms[qi], r.norms[ri]
-    product = qv @ rv.T
+    whole = len(ri) == len(r.ids)
+    rv = r.scored if whole else r.scored[ri]
+    rn = r.norms if whole else r.norms[ri]
+    qn, bound = q.norms[qi], q.bound[qi]
     widest = rn.max() if len(rn) else 0.0
     unit = 8 * (rv.shape[1] + 8) * UNIT_ROUNDOFF
-    bound = q.bound[qi]
     with np.errstate(all="ignore"):
         if q.metric == EUCLIDEAN:
-            score = rn**2 - 2 * product
+            score = (-2 * q.vectors[qi]) @ rv.T
+            score += rn**2
             limit = bound**2 - qn**2
             slack = unit * (widest + qn) ** 2
         elif q.metric == COSINE:
-            score = -product / rn
+            score = -q.vectors[qi] @ rv.T
             score[:, rn == 0] = np.inf
             score[qn == 0, :] = np.inf
             limit = (bound - 1) * qn
             slack = unit * qn
         else:
-            score = -product
+            score = -q.vectors[qi] @ rv.T
             limit = bound
             slack = unit * widest * qn
     limit = np.where(np.isfinite(bound), limit + unit * np.abs(limit), np.inf)
@@ -204,17 +212,19 @@ class Best:
         self.held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
         self.size = 0
         self.trigger = max(HELD_PAIRS, 2 * int(queries.k.sum()))
+        self.first = True
 
-    def add_block(self, table: pa.Table) -> None:
-        if not table.num_rows or not len(self.q.ids):
+    def add_block(self, r: Records) -> None:
+        if not len(r.ids) or not len(self.q.ids):
             return
-        r = Records(table, self.q)
-        for queries, rows in self.q.tiles(table):
+        for queries, rows in self.q.tiles(r.table):
             width = max(1, SCORE_CELLS // len(rows))
             for s in range(0, len(queries), width):
                 self._add_tile(r, queries[s : s + width], rows)
-        if self.size > self.trigger:
+        # The first block already gives limits that later blocks are held to.
+        if self.first or self.size > self.trigger:
             self.cut()
+            self.first = False
 
     def _add_tile(self, r: Records, qi: np.ndarray, ri: np.ndarray) -> None:
         q = self.q
@@ -288,9 +298,10 @@ class Best:
 
 
 def nearest(
-    records: Iterable[pa.Table], queries: Queries, id_type: pa.DataType, query_id_type: pa.DataType
+    records: Iterable[Records], queries: Queries, id_type: pa.DataType, query_id_type: pa.DataType
 ) -> pa.Table:
+    """Each query's ``top_k`` nearest among all blocks."""
     best = Best(queries)
-    for table in records:
-        best.add_block(table)
+    for block in records:
+        best.add_block(block)
     return best.result(id_type, query_id_type)

@@ -84,7 +84,7 @@ def assign_lists(
             near.select(F.col("query_id").alias("id"), F.col("id").alias("list_id")), "id"
         )
     shared = records.sparkSession.sparkContext.broadcast(side)
-    kind = centroids.schema["list_id"].dataType
+    kind, list_type = centroids.schema["list_id"].dataType, side.schema.field("id").type
 
     @F.pandas_udf(kind)
     def nearest_list(values: pd.Series) -> pd.Series:
@@ -96,9 +96,8 @@ def assign_lists(
                 "top_k": pa.array(np.ones(n, np.int32)),
             }
         )
-        found = blocks.nearest(
-            [shared.value], blocks.Queries(table, metric), shared.value.schema.field("id").type, pa.int64()
-        )
+        centres = blocks.Records(shared.value, metric)
+        found = blocks.nearest([centres], blocks.Queries(table, metric), list_type, pa.int64())
         return found.column("id").to_pandas()
 
     # One list per record, in row order: top 1 of every row, sorted by row.

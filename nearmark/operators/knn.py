@@ -153,8 +153,8 @@ def _stream_records(r, q, side: pa.Table, metric: str, match: Match) -> DataFram
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         queries = blocks.Queries(shared.value, metric, **options)
-        tables = (pa.Table.from_batches([b]) for b in batches)
-        yield from blocks.nearest(tables, queries, id_type, query_id_type).to_batches()
+        parts = (blocks.Records(pa.Table.from_batches([b]), metric, **options) for b in batches)
+        yield from blocks.nearest(parts, queries, id_type, query_id_type).to_batches()
 
     return r.mapInArrow(task, schema)
 
@@ -165,9 +165,10 @@ def _stream_queries(r, q, side: pa.Table, metric: str, match: Match) -> DataFram
     options = match.options()
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        records = blocks.Records(shared.value, metric, **options)
         for batch in batches:
             queries = blocks.Queries(pa.Table.from_batches([batch]), metric, **options)
-            found = blocks.nearest([shared.value], queries, id_type, query_id_type)
+            found = blocks.nearest([records], queries, id_type, query_id_type)
             yield from found.to_batches()
 
     return q.mapInArrow(task, schema)
@@ -190,7 +191,7 @@ def _grid(r, q, metric: str, match: Match, rows: int) -> DataFrame:
 
     def cell(records: pa.Table, queries: pa.Table) -> pa.Table:
         prepared = blocks.Queries(queries, metric, **options)
-        return blocks.nearest([records], prepared, id_type, query_id_type)
+        return blocks.nearest([blocks.Records(records, metric, **options)], prepared, id_type, query_id_type)
 
     return left.groupBy(*key).cogroup(right.groupBy(*key)).applyInArrow(cell, schema)
 

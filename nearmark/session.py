@@ -37,9 +37,8 @@ def shared_dir(spark: SparkSession) -> str:
         return named
     if not sc.master.startswith("local"):
         raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
-    folder = tempfile.mkdtemp(prefix="nearmark-")
-    spark.conf.set("spark.checkpoint.dir", folder)
-    return folder
+    sc.setCheckpointDir(tempfile.mkdtemp(prefix="nearmark-"))
+    return sc.getCheckpointDir()
 
 
 def scratch_path(spark: SparkSession, label: str) -> str:

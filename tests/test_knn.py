@@ -147,7 +147,7 @@ def test_jvm_distance_agrees(data, metric):
 
 def test_rerank(data):
     records, queries, r, q = data
-    everything = r.select("id").join(F.broadcast(q.select("query_id")), how="cross")
+    everything = knn(r, q.withColumn("top_k", F.lit(1000)), "euclidean")
     want = brute(records, queries, "cosine", lambda r, q: True)
     got = triples(rerank(everything, r, q, "cosine"))
     keep = {(a, b) for a, b, _ in want}

@@ -94,7 +94,8 @@ def test_a_batch_run_twice_counts_once(spark, tmp_path):
 def test_scratch_needs_a_shared_folder(spark):
     from nearmark.session import scratch_path, shared_dir
 
-    assert shared_dir(spark) == spark.conf.get("spark.checkpoint.dir")
+    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    assert shared_dir(spark) == named
     assert scratch_path(spark, "x") != scratch_path(spark, "x")
     with pytest.raises(Exception):
         spark.read.parquet(scratch_path(spark, "x"))
