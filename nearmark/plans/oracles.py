@@ -299,4 +299,14 @@ ORDER BY list_distance(f.v, r.v), r.id LIMIT 20""",
     "score_unavailable": f"""{LISTS} SELECT query_id, {', '.join(f'CASE WHEN r.namespace = 0 THEN {rounded(m)} END AS {m}' for m in METRICS)}
 FROM s JOIN r ON r.id = s.query_id""",
     "report_sink": f"WITH {LOG} SELECT request_type, count(*) AS requests, count(*) FILTER (failed) AS failures FROM log GROUP BY 1",
+    "distance_columns": f"""WITH {R}, {CENTROIDS} SELECT id, {rounded('sqrt(list_inner_product(r.v, r.v))')} AS length,
+  {rounded('list_cosine_distance(r.v, c.v)')} AS cosine, {rounded('list_distance(r.v, c.v)')} AS euclidean,
+  {rounded('-list_inner_product(r.v, c.v)')} AS dotproduct FROM r JOIN c ON c.list_id = r.label""",
+    "log_namespaced": f"""WITH {OPS}, w AS (SELECT *, seq % 3 AS namespace FROM ops WHERE op IN ('insert', 'update', 'delete')),
+l AS (SELECT namespace, id, arg_max(op, seq) AS life FROM w WHERE op <> 'update' GROUP BY ALL),
+v AS (SELECT namespace, id, arg_max(seq, seq) AS seq, arg_max(value, seq) AS value FROM w WHERE op <> 'delete' GROUP BY namespace, id)
+SELECT namespace, id, seq, value FROM v JOIN l USING (namespace, id) WHERE life <> 'delete'""",
+    "tag_matches": f"""WITH {R} SELECT id, coalesce(list_contains(tags, 'm1'), false) AS has_m1,
+  (required IS NULL OR len(list_filter(required, lambda x: NOT list_contains(coalesce(tags, []), x))) = 0) AS satisfied,
+  len(list_distinct(list_concat(coalesce(tags, []), coalesce(required, [])))) AS united FROM r""",
 }

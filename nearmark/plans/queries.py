@@ -8,12 +8,13 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from nearmark.functions import filters, scalars, scoring
+from nearmark.functions.distance import distance, norm
 from nearmark.operators import corpus, flat, ivf, oplog, report, splits
 from nearmark.operators.knn import Match, knn, neighbour_lists, rerank, search
 from nearmark.operators.postings import knn_by_postings
 from nearmark.plans import fixtures as fx
 from nearmark.plans.evaluate import score_results, summary
-from nearmark.schema import COSINE, DOTPRODUCT, EUCLIDEAN, VectorDataset
+from nearmark.schema import COSINE, DOTPRODUCT, EUCLIDEAN, METRICS, VectorDataset
 from nearmark.session import scratch_path, stored
 from nearmark.sources import datasets, synth, tables
 from nearmark.streaming import live
@@ -133,8 +134,19 @@ def knn_overfetch(spark, sf_dir):
     return _shown(rerank(knn(records, wide, EUCLIDEAN), records, queries, COSINE))
 
 
+@registered
+def distance_columns(spark, sf_dir):
+    """Distances between columns: each record and the mean of its label."""
+    means = _centroids(spark, sf_dir).select(F.col("list_id").alias("label"), F.col("values").alias("mean"))
+    pairs = fx.records(spark, sf_dir).join(means, "label")
+    return pairs.select(
+        "id", rounded(norm("values")).alias("length"),
+        *[rounded(distance(m, "values", "mean")).alias(m) for m in METRICS],
+    )
+
+
 def _centroids(spark, sf_dir) -> DataFrame:
-    return ivf.mean_centroids(fx.records(spark, sf_dir), "label")
+    return stored(ivf.mean_centroids(fx.records(spark, sf_dir), "label"), "centroids")
 
 
 @registered
@@ -167,7 +179,7 @@ def ivf_probe_sweep(spark, sf_dir):
     centroids = _centroids(spark, sf_dir)
     assigned = ivf.assign_lists(records, centroids, EUCLIDEAN)
     swept = ivf.probe_sweep(assigned, centroids, queries, EUCLIDEAN, [1, 3, 10])
-    truth = knn(records, queries, EUCLIDEAN).select("query_id", "id")
+    truth = stored(knn(records, queries, EUCLIDEAN).select("query_id", "id"), "truth")
     hits = swept.join(truth, ["query_id", "id"], "left_semi").groupBy("probes").agg(F.count(F.lit(1)).alias("hits"))
     total = truth.agg(F.count(F.lit(1)).alias("total"))
     return hits.withColumn("_k", F.lit(1)).join(total.withColumn("_k", F.lit(1)), "_k").select(
@@ -658,7 +670,8 @@ def stream_score(spark, sf_dir):
     path = scratch_path(spark, "results")
     results = neighbour_lists(actual, "actual")
     results.write.parquet(path)
-    truth = queries.join(neighbour_lists(truth), "query_id")
+    # A stream joins its static side anew in every micro-batch.
+    truth = stored(queries.join(neighbour_lists(truth), "query_id"), "truth")
     stream = live.file_stream(spark, path, results.schema, files_per_batch=4)
     scored = live.score_stream(stream, truth).select("query_id", *scoring.METRICS)
     return _rounded_all(live.run_append(scored, "scores"), ["query_id"])
@@ -764,3 +777,24 @@ def report_sink(spark, sf_dir):
     tables.write_report(report.report(fx.requests(spark, sf_dir)), path)
     read = spark.read.schema("request_type string, requests bigint, failures bigint").json(path)
     return read.select("request_type", "requests", "failures")
+
+
+@registered
+def log_namespaced(spark, sf_dir):
+    """Replay of a log whose keys live in namespaces; an id may be in several."""
+    log = fx.operations(spark, sf_dir).withColumn("namespace", F.col("seq") % 3)
+    return oplog.replay(log, key=("namespace", "id"))
+
+
+@registered
+def tag_matches(spark, sf_dir):
+    """One-tag matches, filter containment and tag unions on whole tables."""
+    asked = filters.with_required(fx.queries(spark, sf_dir)).select(F.col("query_id").alias("id"), "required")
+    both = fx.records(spark, sf_dir).join(asked, "id")
+    return both.select(
+        "id",
+        filters.has_tag(F.col("tags"), "m1").alias("has_m1"),
+        filters.tags_satisfy(F.col("tags"), F.col("required")).alias("satisfied"),
+        F.size(filters.union_tags(F.coalesce("tags", F.array().cast("array<string>")),
+                                  F.coalesce("required", F.array().cast("array<string>")))).cast("bigint").alias("united"),
+    )

@@ -13,9 +13,16 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from nearmark.functions.scoring import score
+from nearmark.operators.oplog import alive, last_state
 from nearmark.session import scratch_path
 
 
+__all__ = [
+    "alive", "file_stream", "live_table", "run_append", "run_update", "score_stream", "sessions", "totals",
+    "window_metrics",
+]
+
+
 def file_stream(
     spark: SparkSession, folder: str, schema: T.StructType, pattern: str = "*.parquet", files_per_batch: int | None = None
 ) -> DataFrame:
@@ -62,20 +69,7 @@ def live_table(log: DataFrame, update_inserts: bool = True) -> DataFrame:
     The largest ``seq`` wins whenever it comes, so late rows do no harm.  State
     is one row per id, and partial aggregation spares a hot id.
     """
-    cols = [c for c in log.columns if c not in ("id", "op")]
-    lives = F.col("op").isin("insert", "update") if update_inserts else F.col("op") == "insert"
-    written = F.when(F.col("op") != "delete", F.col("seq"))
-    life = F.when(lives | (F.col("op") == "delete"), F.col("seq"))
-    return (
-        log.where(F.col("op").isin("insert", "update", "delete"))
-        .groupBy("id")
-        .agg(F.max_by("op", life).alias("life"), F.max_by(F.struct(*cols), written).alias("row"))
-    )
-
-
-def alive(table: DataFrame) -> DataFrame:
-    """The records of a live table."""
-    return table.where(F.col("life") != "delete").select("id", "row.*")
+    return last_state(log, update_inserts)
 
 
 def score_stream(results: DataFrame, truth: DataFrame) -> DataFrame:
@@ -84,7 +78,13 @@ def score_stream(results: DataFrame, truth: DataFrame) -> DataFrame:
 
 
 def sessions(log: DataFrame, gap: str, keys: list[str], delay: str | None = None) -> DataFrame:
-    """Runs of requests with no gap longer than ``gap``, per key."""
+    """Runs of requests with no gap longer than ``gap``, per key.
+
+    On a stream the requests of a key are first joined into runs inside each
+    input partition, so a busy key shuffles runs and not requests.
+    """
+    if log.isStreaming:
+        log.sparkSession.conf.set("spark.sql.streaming.sessionWindow.merge.sessions.in.local.partition", "true")
     timed = log.withWatermark("ts", delay) if delay else log
     return (
         timed.groupBy(*keys, F.session_window("ts", gap).alias("s"))
