@@ -97,11 +97,14 @@ def assign_lists(
             }
         )
         centres = blocks.Records(shared.value, metric)
+        # The top 1 of every row, in row order.
         found = blocks.nearest([centres], blocks.Queries(table, metric), list_type, pa.int64())
         return found.column("id").to_pandas()
 
-    # One list per record, in row order: top 1 of every row, sorted by row.
-    return records.withColumn("list_id", nearest_list(F.col("values").cast("array<double>")))
+    # Marked as if not deterministic, so that a filter on the list does not make
+    # Catalyst compute it twice.
+    labelled = nearest_list.asNondeterministic()
+    return records.withColumn("list_id", labelled(F.col("values").cast("array<double>")))
 
 
 def write_lists(assigned: DataFrame, path: str) -> None:
