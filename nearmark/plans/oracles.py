@@ -309,4 +309,8 @@ SELECT namespace, id, seq, value FROM v JOIN l USING (namespace, id) WHERE life
     "tag_matches": f"""WITH {R} SELECT id, coalesce(list_contains(tags, 'm1'), false) AS has_m1,
   (required IS NULL OR len(list_filter(required, lambda x: NOT list_contains(coalesce(tags, []), x))) = 0) AS satisfied,
   len(list_distinct(list_concat(coalesce(tags, []), coalesce(required, [])))) AS united FROM r""",
+    "stream_metric_totals": f"""WITH {LOG}, {LONG} SELECT request_type, metric, count(*) AS count, min(value) AS min, max(value) AS max,
+  {rounded('avg(value)')} AS mean, quantile_disc(value, 0.05) AS p5, quantile_disc(value, 0.5) AS p50 FROM lm GROUP BY 1, 2""",
+    "trailing_all": f"""SELECT event_id AS seq, count(*) OVER w AS requests, {rounded('count(*) OVER w / 10.0::DOUBLE')} AS requests_per_s
+FROM events WINDOW w AS (ORDER BY ts RANGE BETWEEN INTERVAL 10 SECONDS PRECEDING AND CURRENT ROW)""",
 }

@@ -18,7 +18,7 @@ from nearmark.session import scratch_path
 
 
 __all__ = [
-    "alive", "file_stream", "live_table", "run_append", "run_update", "score_stream", "sessions", "totals",
+    "alive", "file_stream", "live_table", "metric_totals", "run_append", "run_update", "score_stream", "sessions", "totals",
     "window_metrics",
 ]
 
@@ -63,6 +63,22 @@ def totals(log: DataFrame, key: str = "request_type") -> DataFrame:
     )
 
 
+def metric_totals(log: DataFrame) -> DataFrame:
+    """Running count, ends, mean and low and middle percentile of each metric."""
+    return (
+        log.select("request_type", F.explode("metrics").alias("metric", "value"))
+        .groupBy("request_type", "metric")
+        .agg(
+            F.count(F.lit(1)).alias("count"),
+            F.min("value").alias("min"),
+            F.max("value").alias("max"),
+            F.avg("value").alias("mean"),
+            F.percentile_approx("value", 0.05, 10_000).alias("p5"),
+            F.percentile_approx("value", 0.5, 10_000).alias("p50"),
+        )
+    )
+
+
 def live_table(log: DataFrame, update_inserts: bool = True) -> DataFrame:
     """Last write per id of a change stream, with deletes as tombstones.
 
