@@ -46,17 +46,17 @@ class Ranges:
 
 
 def ranges_of(df: DataFrame, key: str, parts: int | None = None) -> Ranges:
-    """Cut ``df`` into ``parts`` ranges of ``key``.
+    """Cut ``df`` into ranges of ``key``, ``parts`` of them if given.
 
     Only the key column is read and shuffled.  Spark's range partitioning keeps
-    equal keys together, so each partition's least key and row count describe a
-    value range; ``parts`` such pairs come back to the driver.
+    equal keys together, and adaptive execution merges neighbouring ranges of
+    little data, so each partition's least key and row count describe a value
+    range.  One such pair per partition comes back to the driver.
     """
-    n = parts or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    keyed = df.select(key)
+    ranged = keyed.repartitionByRange(parts, key) if parts else keyed.repartitionByRange(key)
     rows = (
-        df.select(key)
-        .repartitionByRange(n, key)
-        .groupBy(F.spark_partition_id().alias("part"))
+        ranged.groupBy(F.spark_partition_id().alias("part"))
         .agg(F.min(key).alias("start"), F.count(F.lit(1)).alias("n"))
         .orderBy("part")
         .collect()

@@ -33,6 +33,19 @@ def test_chunks(spark, n, chunks):
     assert [r["chunk"] for r in rows] == sorted(r["chunk"] for r in rows)
 
 
+def test_chunks_of_several_ranges(spark):
+    setting = "spark.sql.adaptive.coalescePartitions.enabled"
+    spark.conf.set(setting, "false")
+    try:
+        df = ids(spark, 500)
+        assert len(ranges_of(df, "id").starts) > 1
+        rows = splits.with_chunk(df, "id", 7).orderBy("id").collect()
+    finally:
+        spark.conf.unset(setting)
+    assert [sum(r["chunk"] == c + 1 for r in rows) for c in range(7)] == splits.chunk_sizes(500, 7)
+    assert [r["chunk"] for r in rows] == sorted(r["chunk"] for r in rows)
+
+
 def test_chunk_label_does_not_shuffle(spark):
     plan = splits.with_chunk(ids(spark, 50).coalesce(1), "id", 4)._jdf.queryExecution().executedPlan().toString()
     assert "Window" not in plan and "rangepartitioning" not in plan
