@@ -13,7 +13,7 @@ from collections.abc import Iterable, Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-import pyarrow.compute  # noqa: F401  (pa.compute)
+import pyarrow.compute as pc
 
 from nearmark.schema import COSINE, EUCLIDEAN
 
@@ -32,17 +32,19 @@ def matrix(column: pa.Array | pa.ChunkedArray) -> np.ndarray:
         if isinstance(column, pa.ChunkedArray):
             column = pa.concat_arrays(column.chunks)
     n = len(column)
-    flat = column.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
-    if n and len(flat) % n:
-        raise ValueError("vectors of different length in one block")
-    return flat.reshape(n, -1) if n else np.empty((0, 0))
+    if not n:
+        return np.empty((0, 0))
+    lengths = pc.min_max(pc.list_value_length(column))
+    if column.null_count or lengths["min"] != lengths["max"]:
+        raise ValueError("vectors must be present and of one length")
+    return column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(n, -1)
 
 
 def _lists(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
     """Row positions and elements of a list column; null lists have no elements."""
     if isinstance(column, pa.ChunkedArray):
         column = pa.concat_arrays(column.chunks) if column.num_chunks else pa.array([], column.type)
-    rows = np.asarray(pa.compute.list_parent_indices(column))
+    rows = np.asarray(pc.list_parent_indices(column))
     return rows, column.flatten().to_numpy(zero_copy_only=False)
 
 

@@ -125,6 +125,14 @@ def test_near_ties_are_ranked_exactly(spark):
         assert got == [49, 48, 47, 46, 45]
 
 
+@pytest.mark.parametrize("bad", [None, [1.0]])
+def test_broken_vectors_are_refused(spark, bad):
+    r = spark.createDataFrame([(1, [1.0, 2.0]), (2, bad)], "id int, values array<double>").coalesce(1)
+    q = spark.createDataFrame([(1, [1.0, 2.0], 1)], "query_id int, values array<double>, top_k int")
+    with pytest.raises(Exception, match="of one length"):
+        knn(r, q, "euclidean").collect()
+
+
 def test_hot_key_is_cut_into_bounded_cells(data, spark):
     from nearmark.operators.skew import cuts
 
