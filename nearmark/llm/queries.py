@@ -1,12 +1,14 @@
 """The registered queries of this subpackage, and their SQL where it can say them."""
 
-from nearmark.llm import language, mixing, secretscan, tokencount
+from nearmark.llm import language, mixing, neardup, packing, secretscan, tokencount
 
 QUERIES = {
     "op2_language": language.language_report,
     "op5_tokencount": tokencount.token_report,
+    "op6_neardup": neardup.near_duplicate_report,
     "op7_mixing": mixing.mix_report,
     "op9_secrets": secretscan.secret_report,
+    "op10_packing": packing.packing_report,
 }
 
 ORACLES = {
