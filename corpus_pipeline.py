@@ -16,6 +16,7 @@ from nearmark.llm.packing import default_tokenizer, pack
 from nearmark.llm.secretscan import mask_secrets
 from nearmark.session import scratch_path
 
+
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language is told; those rejected go.
 
