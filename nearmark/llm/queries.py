@@ -1,8 +1,9 @@
 """The registered queries of this subpackage, and their SQL where it can say them."""
 
-from nearmark.llm import language, mixing, neardup, packing, secretscan, tokencount
+from nearmark.llm import fingerprint, language, mixing, neardup, packing, secretscan, tokencount
 
 QUERIES = {
+    "op1_fingerprints": fingerprint.fingerprint_report,
     "op2_language": language.language_report,
     "op5_tokencount": tokencount.token_report,
     "op6_neardup": neardup.near_duplicate_report,
