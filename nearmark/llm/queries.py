@@ -1,17 +1,20 @@
 """The registered queries of this subpackage, and their SQL where it can say them."""
 
-from nearmark.llm import fingerprint, language, mixing, neardup, packing, secretscan, tokencount
+from nearmark.llm import crossent, fingerprint, language, mixing, neardup, packing, secretscan, tokencount, vectors
 
 QUERIES = {
     "op1_fingerprints": fingerprint.fingerprint_report,
     "op2_language": language.language_report,
+    "op4_crossent": crossent.score_report,
     "op5_tokencount": tokencount.token_report,
     "op6_neardup": neardup.near_duplicate_report,
     "op7_mixing": mixing.mix_report,
+    "op8_vectors": vectors.vector_report,
     "op9_secrets": secretscan.secret_report,
     "op10_packing": packing.packing_report,
 }
 
 ORACLES = {
     "op7_mixing": mixing.MIX_SQL,
+    "op8_vectors": vectors.VECTOR_SQL,
 }
