@@ -1,10 +1,11 @@
 """The registered queries of this subpackage, and their SQL where it can say them."""
 
-from nearmark.llm import crossent, fingerprint, language, mixing, neardup, packing, secretscan, tokencount, vectors
+from nearmark.llm import crossent, fingerprint, language, mixing, neardup, packing, secretscan, tokencount, vectors, warc
 
 QUERIES = {
     "op1_fingerprints": fingerprint.fingerprint_report,
     "op2_language": language.language_report,
+    "op3_warc": warc.archive_report,
     "op4_crossent": crossent.score_report,
     "op5_tokencount": tokencount.token_report,
     "op6_neardup": neardup.near_duplicate_report,
@@ -15,6 +16,7 @@ QUERIES = {
 }
 
 ORACLES = {
+    "op3_warc": warc.ARCHIVE_SQL,
     "op7_mixing": mixing.MIX_SQL,
     "op8_vectors": vectors.VECTOR_SQL,
 }
