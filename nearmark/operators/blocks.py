@@ -37,9 +37,16 @@ def matrix(column: pa.Array | pa.ChunkedArray) -> np.ndarray:
     lengths = pc.min_max(pc.list_value_length(column))
     if column.null_count or lengths["min"] != lengths["max"]:
         raise ValueError("vectors must be present and of one length")
+    if column.flatten().null_count:
+        raise ValueError("vectors must not miss elements")
     return column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(n, -1)
 
 
+def lengths(vectors: np.ndarray) -> np.ndarray:
+    with np.errstate(all="ignore"):
+        return np.sqrt((vectors**2).sum(axis=1))
+
+
 def _lists(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
     """Row positions and elements of a list column; null lists have no elements."""
     if isinstance(column, pa.ChunkedArray):
@@ -74,7 +81,8 @@ class Queries:
         self.tags, self.step, self.as_of = tags, step, as_of
         self.ids = _ids(table.column("query_id"))
         self.vectors = matrix(table.column("values"))
-        self.norms = np.sqrt((self.vectors**2).sum(axis=1)) if len(self.ids) else np.empty(0)
+        self.norms = lengths(self.vectors) if len(self.ids) else np.empty(0)
+        self.odd = ~np.isfinite(self.norms)
         self.k = table.column("top_k").to_numpy().astype(np.int64)
         self.groups = _groups(table, self.by)
         # Distance already known to be enough for each query's k-th neighbour.
@@ -143,11 +151,14 @@ class Records:
         self.table = table
         self.ids = _ids(table.column("id"))
         self.vectors = matrix(table.column("values"))
-        self.norms = np.sqrt((self.vectors**2).sum(axis=1))
+        self.norms = lengths(self.vectors)
+        # Vectors with a NaN or infinite element, or too long to square, are measured one by one.
+        self.odd = ~np.isfinite(self.norms)
         self.scored = self.vectors
         if metric == COSINE:
-            lengths = np.where(self.norms > 0, self.norms, 1.0)
-            self.scored = self.vectors / lengths[:, None]
+            scale = np.where(self.norms > 0, self.norms, 1.0)
+            with np.errstate(all="ignore"):
+                self.scored = self.vectors / scale[:, None]
         self.steps = table.column("step").to_numpy() if step else None
         if as_of:
             top = np.iinfo(np.int64).max
@@ -193,10 +204,11 @@ def _exact(q: Queries, r: Records, qi: np.ndarray, ri: np.ndarray) -> np.ndarray
     step = max(1, GATHER_CELLS // max(1, q.vectors.shape[1]))
     for s in range(0, len(qi), step):
         a, b = q.vectors[qi[s : s + step]], r.vectors[ri[s : s + step]]
-        if q.metric == EUCLIDEAN:
-            out[s : s + step] = np.sqrt(((b - a) ** 2).sum(axis=1))
-            continue
-        inner = (a * b).sum(axis=1)
+        with np.errstate(all="ignore"):
+            if q.metric == EUCLIDEAN:
+                out[s : s + step] = np.sqrt(((b - a) ** 2).sum(axis=1))
+                continue
+            inner = (a * b).sum(axis=1)
         if q.metric == COSINE:
             with np.errstate(all="ignore"):
                 inner = inner / (r.norms[ri[s : s + step]] * q.norms[qi[s : s + step]])
@@ -233,6 +245,14 @@ class Best:
         ri = q.reachable(r, qi, ri)
         if not len(ri):
             return
+        odd_q, odd_r = q.odd[qi], r.odd[ri]
+        if odd_q.any() or odd_r.any():
+            # Neither scores nor their slack mean anything for these.
+            self._add_odd(r, qi[odd_q], ri)
+            self._add_odd(r, qi[~odd_q], ri[odd_r])
+            qi, ri = qi[~odd_q], ri[~odd_r]
+            if not len(qi) or not len(ri):
+                return
         score, limit, slack = _score(q, r, qi, ri)
         if q.step:
             score[q.steps[qi][:, None] < r.steps[ri][None, :]] = np.nan
@@ -255,8 +275,25 @@ class Best:
         a, b = np.nonzero(score <= cut[:, None])
         if not len(a):
             return
-        pq, pr = qi[a], ri[b]
-        self.held.append((pq, r.ids[pr], _exact(q, r, pq, pr)))
+        self._hold(r, qi[a], ri[b])
+
+    def _add_odd(self, r: Records, qi: np.ndarray, ri: np.ndarray) -> None:
+        """All visible pairs, measured exactly; NaN distances rank last."""
+        q = self.q
+        for s in range(0, len(qi) if len(ri) else 0, max(1, HELD_PAIRS // max(1, len(ri)))):
+            part = qi[s : s + max(1, HELD_PAIRS // len(ri))]
+            seen = np.ones((len(part), len(ri)), bool)
+            if q.step:
+                seen &= q.steps[part][:, None] >= r.steps[ri][None, :]
+            if q.as_of:
+                at = q.at[part][:, None]
+                seen &= (at >= r.start[ri][None, :]) & (at < r.end[ri][None, :])
+            a, b = np.nonzero(seen)
+            if len(a):
+                self._hold(r, part[a], ri[b])
+
+    def _hold(self, r: Records, pq: np.ndarray, pr: np.ndarray) -> None:
+        self.held.append((pq, r.ids[pr], _exact(self.q, r, pq, pr)))
         self.size += len(pq)
         if self.size > 2 * self.trigger:
             self.cut()

@@ -20,7 +20,7 @@ from pyspark.sql.window import Window
 from nearmark.functions.distance import norm
 from nearmark.functions.scalars import default_lists, default_probes
 from nearmark.operators import blocks
-from nearmark.operators.knn import BROADCAST_BYTES, Match, _collect_within, _dims, knn
+from nearmark.operators.knn import BROADCAST_BYTES, Match, _collect_within, knn
 from nearmark.schema import COSINE, NEIGHBOUR_COLUMNS, check_metric
 from nearmark.session import stored
 
@@ -40,20 +40,17 @@ def _unit(values: str):
 
 
 def fit_centroids(
-    records: DataFrame, lists: int, metric: str, seed: int = 0, iterations: int = 10,
-    train_fraction: float = 1.0,
+    records: DataFrame, lists: int, metric: str, seed: int = 0, iterations: int = 10
 ) -> DataFrame:
     """``list_id, values``: k-means centres of the corpus.
 
-    Cosine clusters directions.  ``train_fraction`` below 1 trains on a sample;
-    every record is assigned to a list all the same.
+    Cosine clusters directions.  The features are stored once, as training reads
+    them in every iteration.
     """
     check_metric(metric)
     values = _unit("values") if metric == COSINE else F.col("values").cast("array<double>")
     points = records.select(values.alias("values"))
-    if train_fraction < 1.0:
-        points = points.sample(train_fraction, seed)
-    points = points.select(array_to_vector("values").alias("features"))
+    points = stored(points, "features").select(array_to_vector("values").alias("features"))
     model = KMeans(k=lists, seed=seed, maxIter=iterations).fit(points)
     centres = [(i, [float(x) for x in c]) for i, c in enumerate(model.clusterCenters())]
     return records.sparkSession.createDataFrame(centres, "list_id int, values array<double>")
@@ -76,7 +73,7 @@ def assign_lists(
     pass without a shuffle; more centroids than that meet the records in a grid.
     """
     centres = centroids.select(F.col("list_id").alias("id"), "values")
-    side = _collect_within(centres, _dims(centroids), budget, forced=False)
+    side = _collect_within(centres, budget, forced=False)
     if side is None:
         asked = records.select(F.col("id").alias("query_id"), "values", F.lit(1).alias("top_k"))
         near = knn(centres, asked, metric, strategy="grid")

@@ -34,10 +34,11 @@ from pyspark.sql.window import Window
 
 from nearmark.functions.distance import distance, literal_vector
 from nearmark.operators import blocks
-from nearmark.operators.skew import all_parts, cuts, with_cuts
+from nearmark.operators.skew import all_parts, cuts, salted_join, with_cuts
 from nearmark.schema import NEIGHBOUR_COLUMNS, check_metric
+from nearmark.session import stored
 
-# Bytes of float64 vectors one task may hold of a side, and of one grid block.
+# Bytes one task may hold of a side, and of the vectors of one grid block.
 BROADCAST_BYTES = 128 << 20
 BLOCK_BYTES = 64 << 20
 
@@ -95,15 +96,16 @@ def knn(
     check_metric(metric)
     dims = _dims(queries)
     if bound_from is not None:
+        # The bounds are found once, however often the queries are looked at.
         queries = _with_bound(bound_from, queries, metric, match, strategy, budget)
     r = records.select(*match.record_columns())
     q = queries.select(*match.query_columns(queries)).where(F.col("top_k") > 0)
     if strategy in ("auto", "queries"):
-        side = _collect_within(q, dims, budget, forced=strategy == "queries")
+        side = _collect_within(q, budget, forced=strategy == "queries")
         if side is not None:
             return _merge(_stream_records(r, q, side, metric, match))
     if strategy in ("auto", "records"):
-        side = _collect_within(r, dims, budget, forced=strategy == "records")
+        side = _collect_within(r, budget, forced=strategy == "records")
         if side is not None:
             found = _stream_queries(r, q, side, metric, match)
             # With ``by`` a query may come in several rows, one per key it probes.
@@ -116,17 +118,35 @@ def _dims(vectors: DataFrame) -> int:
     return max(1, first["d"]) if first else 1
 
 
-def _collect_within(df: DataFrame, dims: int, budget: int, forced: bool) -> pa.Table | None:
-    """The rows of ``df`` if their vectors stay within ``budget`` bytes.
-
-    At most the budget's worth of rows ever reaches the driver.
+def _bytes(df: DataFrame) -> Column:
+    """About how much memory a row takes, strings and lists included."""
+    size = F.lit(64)
+    for field in df.schema.fields:
+        value, kind = F.col(f"`{field.name}`"), field.dataType
+        if isinstance(kind, T.StringType):
+            more = F.octet_length(value) + 64
+        elif isinstance(kind, T.ArrayType) and isinstance(kind.elementType, T.StringType):
+            more = F.octet_length(F.concat_ws("", value)) + 64 * F.size(value)
+        elif isinstance(kind, T.ArrayType):
+            more = 8 * F.size(value)
+        elif isinstance(kind, (T.StructType, T.MapType)):
+            more = 4 * F.octet_length(F.to_json(value)) + 256
+        else:
+            more = F.lit(8)
+        size = size + F.greatest(F.coalesce(more, F.lit(0)), F.lit(0))
+    return size
+
+
+def _collect_within(df: DataFrame, budget: int, forced: bool) -> pa.Table | None:
+    """The rows of ``df`` if all they hold stays within ``budget`` bytes.
+
+    The rows are measured where they are; they come to the driver only if they fit.
     """
-    fit = max(1, budget // (8 * dims))
-    table = df.limit(fit + 1).toArrow()
-    if table.num_rows <= fit:
-        return table
+    held = df.agg(F.sum(_bytes(df).cast("bigint"))).first()[0] or 0
+    if held <= budget:
+        return df.toArrow()
     if forced:
-        raise ValueError(f"the side to broadcast has over {fit} rows; use strategy='grid'")
+        raise ValueError(f"the side to broadcast takes over {budget} bytes; use strategy='grid'")
     return None
 
 
@@ -177,6 +197,8 @@ def _stream_queries(r, q, side: pa.Table, metric: str, match: Match) -> DataFram
 def _grid(r, q, metric: str, match: Match, rows: int) -> DataFrame:
     schema, id_type, query_id_type = _output(r, q)
     by = list(match.by)
+    # A null key matches nothing, as in the other shapes.
+    r, q = (r.dropna(subset=by), q.dropna(subset=by)) if by else (r, q)
     r_cuts, q_cuts = cuts(r, by, rows, "_rcuts"), cuts(q, by, rows, "_qcuts")
     left = with_cuts(with_cuts(r, r_cuts, by, "_rcuts"), q_cuts, by, "_qcuts")
     right = with_cuts(with_cuts(q, r_cuts, by, "_rcuts"), q_cuts, by, "_qcuts")
@@ -214,7 +236,7 @@ def _with_bound(part, queries, metric, match, strategy, budget) -> DataFrame:
         .where(F.col("rank") == F.col("top_k"))
         .select("query_id", F.col("distance").alias("bound"))
     )
-    return queries.drop("bound").join(full, "query_id", "left")
+    return stored(queries.drop("bound").join(full, "query_id", "left"), "bounds")
 
 
 def search(
@@ -255,10 +277,12 @@ def rerank(
     ``candidates`` is an over-fetched answer (``query_id, id``), say of twice
     ``top_k`` pairs by a cheaper measure.
     """
-    pairs = (
-        candidates.select("query_id", "id")
-        .join(queries.select("query_id", "top_k", F.col("values").alias("_q")), "query_id")
-        .join(records.select("id", F.col("values").alias("_r")), "id")
-        .select("query_id", "id", "top_k", distance(metric, "_r", "_q").alias("distance"))
+    wanted = candidates.select("query_id", "id")
+    # Only records that are a candidate of some query are moved, and a record
+    # that is one of very many queries is copied to several tasks.
+    measured = records.select("id", F.col("values").alias("_r")).join(wanted.select("id").distinct(), "id", "left_semi")
+    asked = wanted.join(queries.select("query_id", "top_k", F.col("values").alias("_q")), "query_id")
+    pairs = salted_join(asked, measured, "id", "query_id").select(
+        "query_id", "id", "top_k", distance(metric, "_r", "_q").alias("distance")
     )
     return _merge(pairs)

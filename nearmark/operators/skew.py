@@ -10,7 +10,7 @@ def cuts(df: DataFrame, keys: list[str], rows: int, name: str) -> DataFrame:
     """Parts per key, for the keys that need more than one part of ``rows`` rows.
 
     A key is listed only if it has more than ``rows`` rows, so the list is no
-    longer than the row count over ``rows`` and safe to broadcast.
+    longer than the row count over ``rows``; it is broadcast only if found small.
     """
     parts = F.ceil(F.count(F.lit(1)) / F.lit(rows)).cast("bigint")
     return df.groupBy(*keys).agg(parts.alias(name)).where(F.col(name) > 1)
@@ -18,13 +18,12 @@ def cuts(df: DataFrame, keys: list[str], rows: int, name: str) -> DataFrame:
 
 def with_cuts(df: DataFrame, listed: DataFrame, keys: list[str], name: str) -> DataFrame:
     """Each row with the number of parts of its key; 1 for keys not listed."""
-    small = F.broadcast(listed)
     if keys:
-        joined = df.join(small, keys, "left")
+        joined = df.join(listed, keys, "left")
     else:
         # One row at most: every row of the side shares one number of parts.
         one = F.lit(1)
-        joined = df.withColumn("_all", one).join(small.withColumn("_all", one), "_all", "left").drop("_all")
+        joined = df.withColumn("_all", one).join(listed.withColumn("_all", one), "_all", "left").drop("_all")
     return joined.withColumn(name, F.coalesce(F.col(name), F.lit(1).cast("bigint")))
 
 

@@ -47,7 +47,7 @@ def data(spark):
             v = [0.0] * DIMS
         tags = None if i % 17 == 0 else [str(i % 5), f"m{i % 3}"]
         records.append({
-            "id": f"r{i:03d}", "values": v, "tags": tags, "namespace": 0 if i % 3 == 0 else i % 4,
+            "id": f"r{i:03d}", "values": v, "tags": tags, "namespace": None if i % 13 == 1 else 0 if i % 3 == 0 else i % 4,
             "step": i // 60, "valid_from": i, "valid_to": None if i % 4 == 0 else i + 50,
         })
     for i in range(40):
@@ -55,7 +55,7 @@ def data(spark):
         required = [None, [str(i % 5)], [str(i % 5), "m1"], ["none"], []][i % 5]
         queries.append({
             "query_id": i, "values": v, "top_k": [1, 5, 20, 500][i % 4], "required": required,
-            "namespace": i % 5, "step": i % 4, "at": i * 6,
+            "namespace": None if i % 9 == 4 else i % 5, "step": i % 4, "at": i * 6,
         })
     r = spark.createDataFrame(
         records,
@@ -68,9 +68,14 @@ def data(spark):
     return records, queries, r.repartition(5), q
 
 
+def same(r, q):
+    """A null namespace matches nothing, not even another."""
+    return r["namespace"] is not None and r["namespace"] == q["namespace"]
+
+
 ALLOWED = {
     "all": (Match(), lambda r, q: True),
-    "namespace": (Match(by=("namespace",)), lambda r, q: r["namespace"] == q["namespace"]),
+    "namespace": (Match(by=("namespace",)), lambda r, q: same(r, q)),
     "tags": (Match(tags=True), lambda r, q: set(q["required"] or []) <= set(r["tags"] or [])),
     "step": (Match(step=True), lambda r, q: r["step"] <= q["step"]),
     "as_of": (
@@ -79,7 +84,7 @@ ALLOWED = {
     ),
     "namespace and tags": (
         Match(by=("namespace",), tags=True),
-        lambda r, q: r["namespace"] == q["namespace"] and set(q["required"] or []) <= set(r["tags"] or []),
+        lambda r, q: same(r, q) and set(q["required"] or []) <= set(r["tags"] or []),
     ),
 }
 
@@ -112,6 +117,10 @@ def test_auto_falls_back_when_nothing_fits(data):
     assert triples(knn(r, q, "euclidean", budget=8 * DIMS * 10, block_bytes=64 * 8 * DIMS)) == want
     with pytest.raises(ValueError, match="grid"):
         knn(r, q, "euclidean", strategy="queries", budget=8 * DIMS * 10)
+    # Strings and lists count, not only vectors.
+    tagged = q.withColumn("required", F.array(F.lit("t" * 5000)))
+    with pytest.raises(ValueError, match="grid"):
+        knn(r, tagged, "euclidean", Match(tags=True), strategy="queries", budget=40 * 4000)
 
 
 def test_near_ties_are_ranked_exactly(spark):
@@ -125,6 +134,39 @@ def test_near_ties_are_ranked_exactly(spark):
         assert got == [49, 48, 47, 46, 45]
 
 
+@pytest.mark.parametrize("metric", ["euclidean", "cosine", "dotproduct"])
+@pytest.mark.parametrize("where", [0, 3, 59])
+def test_damaged_vectors_rank_last_and_cost_no_other(spark, metric, where):
+    """NaN, infinite and huge elements, in the first and in later batches, on both sides."""
+    rng = np.random.default_rng(where)
+    records = [{"id": i, "values": rng.integers(-4, 5, DIMS).astype(float).tolist(), "step": i % 3} for i in range(60)]
+    queries = [{"query_id": i, "values": rng.integers(-4, 5, DIMS).astype(float).tolist(), "top_k": [3, 58, 80][i % 3], "step": i % 3} for i in range(9)]
+    records[where]["values"][2] = float("nan")
+    records[(where + 1) % 60]["values"][0] = float("inf")
+    records[(where + 2) % 60]["values"][1] = 1e200
+    queries[4]["values"][5] = float("nan")
+    r = spark.createDataFrame(records, "id int, values array<double>, step int").coalesce(1)
+    q = spark.createDataFrame(queries, "query_id int, values array<double>, top_k int, step int")
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "16")
+    try:
+        for match, allowed in ((Match(), lambda r, q: True), (Match(step=True), lambda r, q: r["step"] <= q["step"])):
+            with np.errstate(all="ignore"):
+                want = brute(records, queries, metric, allowed)
+            for strategy in ("queries", "records", "grid"):
+                assert triples(knn(r, q, metric, match, strategy=strategy, block_bytes=16 * 8 * DIMS)) == want
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+
+
+@pytest.mark.parametrize("strategy", ["queries", "records", "grid"])
+def test_missing_elements_are_refused(spark, strategy):
+    r = spark.createDataFrame([(1, [1.0, 2.0]), (2, [None, 1.0])], "id int, values array<double>")
+    q = spark.createDataFrame([(1, [1.0, 2.0], 1)], "query_id int, values array<double>, top_k int")
+    with pytest.raises(Exception, match="must not miss elements"):
+        knn(r, q, "euclidean", strategy=strategy).collect()
+
+
 @pytest.mark.parametrize("bad", [None, [1.0]])
 def test_broken_vectors_are_refused(spark, bad):
     r = spark.createDataFrame([(1, [1.0, 2.0]), (2, bad)], "id int, values array<double>").coalesce(1)
