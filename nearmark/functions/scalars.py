@@ -7,7 +7,7 @@ from math import isqrt
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# Report percentiles in basis points of one percent (fixed values):
+# Report percentiles in ten-thousandths of the whole (fixed values):
 # 0.1 1 5 10 25 50 75 90 95 99 99.9 99.99 percent.
 REPORT_PERCENTILES = (10, 100, 500, 1000, 2500, 5000, 7500, 9000, 9500, 9900, 9990, 9999)
 # Metric values are kept at a resolution of one thousandth (fixed value).
