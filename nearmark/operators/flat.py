@@ -6,8 +6,25 @@ one grouping by ``(query_id, id)`` and one by ``query_id``.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
+
+# Euler's constant (fixed value).
+EULER = 0.5772156649015329
+
+
+def harmonic(n: Column) -> Column:
+    """1 + 1/2 + ... + 1/n of whole numbers, without a loop.
+
+    From 20 on the asymptotic series is exact to the last digits of a double.
+    """
+    first = [0.0]
+    for i in range(1, 20):
+        first.append(first[-1] + 1 / i)
+    x = n.cast("double")
+    series = F.log(x) + F.lit(EULER) + 1 / (2 * x) - 1 / (12 * x**2) + 1 / (120 * x**4) - 1 / (252 * x**6)
+    return F.when(n < 20, F.element_at(F.array(*map(F.lit, first)), n.cast("int") + 1)).otherwise(series)
 
 
 def score_flat(actual: DataFrame, expected: DataFrame, queries: DataFrame) -> DataFrame:
@@ -27,25 +44,17 @@ def score_flat(actual: DataFrame, expected: DataFrame, queries: DataFrame) -> Da
         F.min("a").alias("a"), F.min("e").alias("e"), F.count("a").alias("n_a"), F.count("e").alias("n_e")
     )
     later = F.when(F.col("a").isNotNull() & F.col("e").isNotNull(), F.greatest("a", "e"))
-    # The list holds at most top_k ranks.
-    per_query = per_id.groupBy("query_id").agg(
+    # A hit at rank m adds 1/m + ... + 1/n for a result of n rows.
+    n = F.sum("n_a").over(Window.partitionBy("query_id"))
+    gain = F.when(later <= n, harmonic(n) - harmonic(later - 1))
+    per_query = per_id.withColumn("later", later).withColumn("gain", gain).groupBy("query_id").agg(
         F.sum("n_a").alias("n_a"),
         F.sum("n_e").alias("n_e"),
         F.min(F.when(F.col("e").isNotNull(), F.col("a"))).alias("best"),
-        F.collect_list(later).alias("later"),
-    )
-
-    def harmonic(m):
-        ranks = F.sequence(m, F.greatest(m, F.col("n_a").cast("int")))
-        return F.when(m <= F.col("n_a"), F.aggregate(ranks, F.lit(0.0), lambda s, i: s + F.lit(1.0) / i)).otherwise(0.0)
-
-    gain = F.aggregate("later", F.lit(0.0), lambda s, m: s + harmonic(m))
-    joined = (
-        queries.select("query_id")
-        .join(per_query, "query_id", "left")
-        .withColumn("hits", F.size("later"))
-        .withColumn("gain", gain)
+        F.count("later").alias("hits"),
+        F.coalesce(F.sum("gain"), F.lit(0.0)).alias("gain"),
     )
+    joined = queries.select("query_id").join(per_query, "query_id", "left")
     got, want = F.coalesce("n_a", F.lit(0)), F.coalesce("n_e", F.lit(0))
 
     def rule(value):

@@ -8,10 +8,14 @@ only as partial counts per bucket, and a stored histogram can be added to later.
 
 from __future__ import annotations
 
+from collections.abc import Iterable, Iterator
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from nearmark.functions.scalars import (
@@ -22,9 +26,13 @@ from nearmark.functions.scalars import (
     percentile_label,
     whole_div,
 )
+from nearmark.operators import ranks
 from nearmark.operators.ranges import lag_within, ranges_of
 
 PERCENTILE_COLUMNS = [percentile_column(bp) for bp in REPORT_PERCENTILES]
+TRAILING = [
+    ("requests", T.LongType()), ("latency_p50", T.DoubleType()), ("latency_p95", T.DoubleType()), ("requests_per_s", T.DoubleType()),
+]
 SUMMARY_COLUMNS = ["min", *PERCENTILE_COLUMNS, "max", "mean"]
 
 
@@ -247,13 +255,18 @@ def phase_durations(marks: DataFrame) -> DataFrame:
     )
 
 
-def gap_stats(log: DataFrame, user: str = "user_id") -> DataFrame:
-    """Spread of the seconds between a user's requests, and of their changes."""
-    cut = ranges_of(log, "ts")
-    micros = log.select(user, "ts", F.unix_micros("ts").alias("_us"))
-    gaps = lag_within(micros, [user], "ts", "_us", "_before", cut)
+def gap_stats(log: DataFrame, user: str = "user_id", tie: str | None = None) -> DataFrame:
+    """Spread of the seconds between a user's requests, and of their changes.
+
+    Requests of one time are in the order of ``tie``, a column that tells a
+    user's requests apart; without it, a user has one request at a time.
+    """
+    place = F.struct("ts", *[tie] * (tie is not None)).alias("_place")
+    micros = log.select(user, place, F.unix_micros("ts").alias("_us"))
+    cut = ranges_of(micros, "_us")
+    gaps = lag_within(micros, [user], "_place", "_us", "_before", cut)
     gaps = gaps.withColumn("gap", (F.col("_us") - F.col("_before")) / F.lit(1e6))
-    gaps = lag_within(gaps, [user], "ts", "gap", "_gap_before", cut)
+    gaps = lag_within(gaps, [user], "_place", "gap", "_gap_before", cut)
     change = F.abs(F.col("gap") - F.col("_gap_before"))
     seconds = (F.max("_us") - F.min("_us")) / F.lit(1e6)
     return gaps.groupBy(user).agg(
@@ -270,7 +283,9 @@ def trailing(log: DataFrame, seconds: int = 10, keys: tuple[str, ...] = ("reques
 
     Time is cut into slices as long as the window.  A row takes part in its own
     slice and, as history, in the next, so every window lies in one slice and
-    no operation is handled by a single task.
+    no operation is handled by a single task.  Percentiles are exact nearest
+    ranks; a slice of n rows takes about n log n steps.  A row without ``ts`` is
+    in no window, its own included, and has nulls.
     """
     width = seconds * 1_000_000
     timed = log.withColumn("_us", F.unix_micros("ts")).withColumn(
@@ -278,13 +293,45 @@ def trailing(log: DataFrame, seconds: int = 10, keys: tuple[str, ...] = ("reques
     )
     own = F.struct(F.col("_slice").alias("slice"), F.lit(False).alias("history"))
     later = F.struct((F.col("_slice") + 1).alias("slice"), F.lit(True).alias("history"))
-    spread = timed.withColumn("_at", F.explode(F.array(own, later)))
-    window = Window.partitionBy(*keys, F.col("_at.slice")).orderBy("_us").rangeBetween(-width, 0)
-    return (
-        spread.withColumn("requests", F.count(F.lit(1)).over(window))
-        .withColumn("latency_p50", F.percentile_approx("response_time", 0.5, 10_000).over(window))
-        .withColumn("latency_p95", F.percentile_approx("response_time", 0.95, 10_000).over(window))
-        .where(~F.col("_at.history"))
-        .withColumn("requests_per_s", F.col("requests") / F.lit(float(seconds)))
-        .drop("_us", "_slice", "_at")
-    )
+    spread = timed.withColumn("_at", F.explode(F.array(own, later))).where("_us is not null")
+    spread = spread.withColumn("_history", F.col("_at.history")).withColumn("_time", F.col("response_time").cast("double"))
+    # Place in a slice and the history before it, and a number for the slice.
+    spread = spread.withColumn("_us", F.col("_us") - (F.col("_at.slice") - 1) * width)
+    spread = spread.withColumn("_slice", F.xxhash64(*keys, "_at.slice")).drop("_at")
+    schema = T.StructType([*log.schema.fields, *[T.StructField(n, k) for n, k in TRAILING]])
+    names = list(log.columns)
+
+    def measured(table: pa.Table, number: np.ndarray) -> pa.Table:
+        # Slices laid end to end, with room between them, are one sequence.
+        at = (np.cumsum(np.append(0, number[1:] != number[:-1])) * 4 * width) + table.column("_us").to_numpy()
+        values = table.column("_time").to_pandas().to_numpy(dtype=np.float64, na_value=np.nan)
+        requests, (p50, p95) = ranks.sliding(at, values, width, [500, 950])
+        own = ~np.asarray(table.column("_history").to_numpy(zero_copy_only=False), bool)
+        out = table.select(names).filter(pa.array(own))
+        for (name, _), column in zip(TRAILING, [requests, p50, p95, requests / float(seconds)], strict=True):
+            out = out.append_column(name, pa.array(column[own], from_pandas=True))
+        return out
+
+    def measure(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.Table] = []
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            new = pa.table(batch)
+            number = new.column("_slice").to_numpy()
+            last = int(np.searchsorted(number, number[-1]))
+            if not last and held and held[-1].column("_slice")[-1].as_py() == number[-1]:
+                # Still the same slice: it goes on in the next batch.
+                held.append(new)
+                continue
+            table = pa.concat_tables([*held, new.slice(0, last)])
+            yield from measured(table, table.column("_slice").to_numpy()).to_batches() if table.num_rows else ()
+            held = [new.slice(last)]
+        if held:
+            table = pa.concat_tables(held)
+            yield from measured(table, table.column("_slice").to_numpy()).to_batches()
+
+    dealt = spread.repartition("_slice").sortWithinPartitions("_slice", "_us")
+    known = dealt.mapInArrow(measure, schema)
+    lost = log.where("ts is null").select("*", *[F.lit(None).cast(k).alias(n) for n, k in TRAILING])
+    return known.unionByName(lost)

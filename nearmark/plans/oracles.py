@@ -123,19 +123,30 @@ def _trailing(seconds: int) -> str:
 
 
 WINDOWS = f"""WITH {LOG}, wd AS (SELECT epoch_us(ts) // 1000000 - i AS window_start, request_type, response_time
-  FROM log, range(10) t(i)),
-mark AS (SELECT epoch_us(max(ts)) // 1000 - 60000 AS ms FROM log)
+  FROM log, range(10) t(i))
 SELECT window_start::BIGINT AS window_start, request_type, count(*) AS requests,
   quantile_disc(response_time, 0.5) AS latency_p50, quantile_disc(response_time, 0.95) AS latency_p95
-FROM wd, mark WHERE (window_start + 10) * 1000 <= ms GROUP BY window_start, request_type"""
+FROM wd GROUP BY window_start, request_type"""
+
+WINDOW_RATE = f"""SELECT window_start::BIGINT AS window_start, count(*) AS requests, {rounded('count(*) / 10.0::DOUBLE')} AS requests_per_s
+FROM (SELECT epoch_us(ts) // 1000000 - i AS window_start FROM events, range(10) t(i)) GROUP BY window_start"""
 
 SESSIONS = """WITH g AS (SELECT user_id, epoch_us(ts) AS us,
     epoch_us(ts) - lag(epoch_us(ts)) OVER (PARTITION BY user_id ORDER BY ts) AS gap FROM events),
 h AS (SELECT *, sum(CASE WHEN gap IS NULL OR gap >= 21600000000 THEN 1 ELSE 0 END)
     OVER (PARTITION BY user_id ORDER BY us) AS run FROM g),
 s AS (SELECT user_id, run, count(*) AS requests, min(us) AS first_us, max(us) AS last_us FROM h GROUP BY 1, 2)
-SELECT user_id, requests, first_us, last_us FROM s
-WHERE last_us + 21600000000 <= (SELECT epoch_us(max(ts)) // 1000 * 1000 - 60000000 FROM events)"""
+SELECT user_id, requests, first_us, last_us FROM s"""
+
+
+# Sound records come first; then the damaged ones of least id.
+DAMAGED = f"""WITH {R}, sound AS (SELECT * FROM r WHERE id % 3 = 0),
+lost AS (SELECT max(id) AS last_lost FROM (SELECT id FROM r WHERE id % 3 <> 0 ORDER BY id LIMIT 5)),
+d AS (""" + " UNION ALL ".join(
+    f"SELECT '{m}' AS metric, q.id AS query_id, r.id AS id, {DISTANCE[m]} AS dist FROM r q, sound r" for m in DISTANCE
+) + f""")
+SELECT metric, query_id, count(*) + 5 AS found, 5::BIGINT AS damaged, count(*) + 1 AS first_damaged, any_value(last_lost) AS last_damaged,
+  sum(id)::BIGINT AS sound_ids, {rounded('sum(dist)')} AS sound_distance FROM d, lost GROUP BY metric, query_id"""
 
 
 def _batches(size: int, balanced: bool) -> str:
@@ -282,9 +293,12 @@ s AS (SELECT user_id, count(*) AS requests, count(gap) / nullif((max(us) - min(u
   stddev_samp(gap) AS gap_stddev, avg(change) AS gap_change_mean FROM h GROUP BY 1)
 SELECT user_id, requests, {rounded('rate', 8)} AS rate, {rounded('gap_mean', 3)} AS gap_mean,
   {rounded('gap_stddev', 3)} AS gap_stddev, {rounded('gap_change_mean', 3)} AS gap_change_mean FROM s""",
+    "knn_damaged": DAMAGED,
     "trailing_10s": _trailing(10),
     "trailing_hour": _trailing(3600),
     "stream_window_metrics": WINDOWS,
+    "stream_window_rate": WINDOW_RATE,
+    "stream_late_rows": "SELECT count(*) AS counted, 0::BIGINT AS late_rows FROM events",
     "stream_totals": f"""WITH {LOG} SELECT request_type, count(*) AS requests, count(*) FILTER (failed) AS failures,
   min(response_time) AS min, max(response_time) AS max FROM log GROUP BY 1""",
     "stream_score": SCORES,

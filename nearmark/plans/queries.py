@@ -616,7 +616,7 @@ def phase_durations(spark, sf_dir):
 
 @registered
 def gap_stats(spark, sf_dir):
-    done = report.gap_stats(fx.requests(spark, sf_dir))
+    done = report.gap_stats(fx.requests(spark, sf_dir), tie="seq")
     return done.select(
         "user_id", "requests", rounded("rate", 8).alias("rate"),
         *[rounded(c, 3).alias(c) for c in ("gap_mean", "gap_stddev", "gap_change_mean")],
@@ -656,15 +656,51 @@ def _event_stream(spark, sf_dir) -> DataFrame:
     return raw.withColumn("ts", F.col("ts").cast("timestamp"))
 
 
+@registered
+def knn_damaged(spark, sf_dir):
+    """Two thirds of the records have a NaN element: their distances are NaN and rank last."""
+    last = F.when(F.col("id") % 3 == 0, F.element_at("values", -1)).otherwise(F.lit(float("nan")))
+    damaged = fx.records(spark, sf_dir).withColumn("values", F.concat(F.slice("values", 1, F.size("values") - 1), F.array(last)))
+    asked = fx.queries(spark, sf_dir)
+    # As many as there are sound records, and five more.
+    asked = asked.withColumn("top_k", F.lit(damaged.where("id % 3 = 0").count() + 5))
+    named = lambda m: knn(damaged, asked, m).withColumn("metric", F.lit(m))
+    found = named(COSINE).unionByName(named(EUCLIDEAN)).unionByName(named(DOTPRODUCT))
+    lost = F.isnan("distance")
+    return found.groupBy("metric", "query_id").agg(
+        F.count(F.lit(1)).alias("found"), F.count_if(lost).alias("damaged"),
+        F.min(F.when(lost, F.col("rank"))).cast("bigint").alias("first_damaged"),
+        F.max(F.when(lost, F.col("id"))).alias("last_damaged"), F.sum(F.when(~lost, F.col("id"))).alias("sound_ids"),
+        rounded(F.sum(F.when(~lost, F.col("distance")))).alias("sound_distance"),
+    )
+
+
 @registered
 def stream_window_metrics(spark, sf_dir):
-    log = fx.as_requests(_event_stream(spark, sf_dir))
-    done = live.run_append(live.window_metrics(log, delay="1 minute"), "windows")
-    return done.select(
+    stream, log = fx.as_requests(_event_stream(spark, sf_dir)), fx.requests(spark, sf_dir)
+    counts, _ = live.run_windows(stream, log, "windows")
+    return live.window_metrics(counts).select(
         F.unix_seconds("w.start").alias("window_start"), "request_type", "requests", "latency_p50", "latency_p95"
     )
 
 
+@registered
+def stream_window_rate(spark, sf_dir):
+    """Requests per second over all operations together."""
+    stream, log = fx.as_requests(_event_stream(spark, sf_dir)), fx.requests(spark, sf_dir)
+    counts, _ = live.run_windows(stream, log, "windows")
+    done = live.window_metrics(counts, keys=())
+    return done.select(F.unix_seconds("w.start").alias("window_start"), "requests", rounded("requests_per_s").alias("requests_per_s"))
+
+
+@registered
+def stream_late_rows(spark, sf_dir):
+    """Requests that came after the watermark; in one file none does."""
+    stream, log = fx.as_requests(_event_stream(spark, sf_dir)), fx.requests(spark, sf_dir)
+    counts, late = live.run_windows(stream, log, "windows")
+    return counts.agg(F.sum("n").alias("counted")).crossJoin(late)
+
+
 @registered
 def stream_totals(spark, sf_dir):
     log = fx.as_requests(_event_stream(spark, sf_dir))
@@ -674,8 +710,8 @@ def stream_totals(spark, sf_dir):
 @registered
 def stream_metric_totals(spark, sf_dir):
     log = fx.as_requests(_event_stream(spark, sf_dir))
-    done = live.run_update(live.metric_totals(log), "metrics", ["request_type", "metric"])
-    return done.withColumn("mean", rounded("mean"))
+    counts = live.run_update(live.metric_counts(log), "metrics", ["request_type", "metric", "value"])
+    return live.metric_totals(counts).withColumn("mean", rounded("mean"))
 
 
 @registered
@@ -699,8 +735,8 @@ def stream_upsert(spark, sf_dir):
 
 @registered
 def stream_sessions(spark, sf_dir):
-    stream = _event_stream(spark, sf_dir).select("user_id", "ts")
-    done = live.run_append(live.sessions(stream, "6 hours", ["user_id"], "1 minute"), "sessions")
+    stream, log = _event_stream(spark, sf_dir).select("user_id", "ts"), fx.events(spark, sf_dir).select("user_id", "ts")
+    done = live.run_sessions(stream, log, "sessions", "6 hours", ["user_id"], "1 minute")
     return done.select(
         "user_id", "requests", F.unix_micros("first_ts").alias("first_us"), F.unix_micros("last_ts").alias("last_us")
     )
@@ -722,7 +758,7 @@ def synth_records(spark, sf_dir):
 
 @registered
 def synth_metadata(spark, sf_dir):
-    template = ["number:6n", "tags:5s3l", "flag:b", "username:8s"]
+    template = ["shard:3n", "in_stock:b", "city:11s", "labels:4s2l", "on_sale:b"]
     made = _generated(spark, sf_dir, template=template)
     decoded = datasets.decode_metadata(made, synth.template_schema(template))
     return decoded.select("id", "metadata.*")

@@ -8,18 +8,22 @@ micro-batch, so a replayed batch overwrites its own output and nothing else.
 
 from __future__ import annotations
 
+import contextlib
+from collections.abc import Iterator
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from nearmark.functions.scoring import score
 from nearmark.operators.oplog import alive, last_state
+from nearmark.operators.ranks import ranked
 from nearmark.session import scratch_path
 
 
 __all__ = [
-    "alive", "file_stream", "live_table", "metric_totals", "run_append", "run_update", "score_stream", "sessions", "totals",
-    "window_metrics",
+    "alive", "file_stream", "live_table", "metric_counts", "metric_totals", "run_append", "run_sessions", "run_update", "run_windows",
+    "score_stream", "sessions", "totals", "window_counts", "window_metrics",
 ]
 
 
@@ -33,24 +37,52 @@ def file_stream(
     return reader.parquet(folder)
 
 
-def window_metrics(
-    log: DataFrame, window: str = "10 seconds", slide: str = "1 second", delay: str | None = None
-) -> DataFrame:
-    """Requests and response-time percentiles per operation and sliding window.
+def window_counts(log: DataFrame, slide: str = "1 second", delay: str | None = None) -> DataFrame:
+    """How often each response time occurs per operation and stretch of ``slide``.
 
     Works on a stream or a table.  On a stream ``delay`` is how late a request
-    may come; later ones are dropped by the watermark.
+    may come; later ones are dropped by the watermark.  A request is in one
+    stretch only, so the state is no larger than the requests of the delay.
     """
     timed = log.withWatermark("ts", delay) if delay else log
-    return (
-        timed.groupBy(F.window("ts", window, slide).alias("w"), "request_type")
-        .agg(
-            F.count(F.lit(1)).alias("requests"),
-            F.percentile_approx("response_time", 0.5, 10_000).alias("latency_p50"),
-            F.percentile_approx("response_time", 0.95, 10_000).alias("latency_p95"),
-        )
-        .select("w", "request_type", "requests", "latency_p50", "latency_p95")
-    )
+    counted = timed.groupBy(F.window("ts", slide).alias("w"), "request_type", "response_time")
+    return counted.agg(F.count(F.lit(1)).alias("n")).select("w", "request_type", "response_time", "n")
+
+
+def window_metrics(
+    counts: DataFrame, window: str = "10 seconds", slide: str = "1 second", keys: tuple[str, ...] = ("request_type",)
+) -> DataFrame:
+    """Requests, rate and response-time percentiles per sliding window.
+
+    ``counts`` are those of :func:`window_counts` with the same ``slide``.
+    Percentiles are exact nearest ranks.  ``keys=()`` is over all operations.
+    """
+    epoch = F.timestamp_micros(F.lit(0).cast("bigint"))
+    width, step = (F.unix_micros(epoch + F.expr(f"INTERVAL {t}")) for t in (window, slide))
+    shifts = F.explode(F.sequence(F.lit(0).cast("bigint"), width - step, step))
+    spread = counts.withColumn("_s", F.unix_micros("w.start")).withColumn("_shift", shifts)
+    spread = spread.withColumn("_s", F.col("_s") - F.col("_shift"))
+    merged = spread.groupBy("_s", *keys, "response_time").agg(F.sum("n").alias("n"))
+    done = ranked(merged, ["_s", *keys], "response_time", {"latency_p50": 500, "latency_p95": 950})
+    bounds = F.struct(F.timestamp_micros("_s").alias("start"), F.timestamp_micros(F.col("_s") + width).alias("end"))
+    rate = F.col("requests") / (width / F.lit(1e6))
+    return done.select(bounds.alias("w"), *keys, "requests", rate.alias("requests_per_s"), "latency_p50", "latency_p95")
+
+
+def run_windows(stream: DataFrame, log: DataFrame, label: str, slide: str = "1 second", delay: str = "1 minute") -> tuple[DataFrame, DataFrame]:
+    """Counts of a stream's stretches, those still open included; how many rows came too late.
+
+    ``log`` is what the stream has read, as a table.  Stretches that the watermark
+    has not passed are counted from it, and rows that the stream has dropped
+    as late are those of passed stretches that the stream has not counted.
+    """
+    done, mark = _run_append(window_counts(stream, slide, delay), label)
+    whole = window_counts(log, slide)
+    passed = F.col("w.end") <= F.lit(mark).cast("timestamp")
+    closed = whole.where(passed).agg(F.coalesce(F.sum("n"), F.lit(0)).alias("all"))
+    kept = done.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("kept"))
+    late = closed.crossJoin(kept).select((F.col("all") - F.col("kept")).alias("late_rows"))
+    return done.unionByName(whole.where(~passed)), late
 
 
 def totals(log: DataFrame, key: str = "request_type") -> DataFrame:
@@ -63,20 +95,21 @@ def totals(log: DataFrame, key: str = "request_type") -> DataFrame:
     )
 
 
-def metric_totals(log: DataFrame) -> DataFrame:
-    """Running count, ends, mean and low and middle percentile of each metric."""
-    return (
-        log.select("request_type", F.explode("metrics").alias("metric", "value"))
-        .groupBy("request_type", "metric")
-        .agg(
-            F.count(F.lit(1)).alias("count"),
-            F.min("value").alias("min"),
-            F.max("value").alias("max"),
-            F.avg("value").alias("mean"),
-            F.percentile_approx("value", 0.05, 10_000).alias("p5"),
-            F.percentile_approx("value", 0.5, 10_000).alias("p50"),
-        )
-    )
+def metric_counts(log: DataFrame) -> DataFrame:
+    """Running count of each value of each metric; works on a stream or a table."""
+    each = log.select("request_type", F.explode("metrics").alias("metric", "value"))
+    return each.groupBy("request_type", "metric", "value").agg(F.count(F.lit(1)).alias("n"))
+
+
+def metric_totals(counts: DataFrame) -> DataFrame:
+    """Count, ends, mean and exact low and middle percentile of each metric, from its counted values."""
+    keys = ["request_type", "metric"]
+    ends = counts.groupBy(*keys).agg(
+        F.min("value").alias("min"), F.max("value").alias("max"),
+        F.try_divide(F.sum(F.col("value") * F.col("n")), F.sum(F.when(F.col("value").isNotNull(), F.col("n")))).alias("mean"),
+    )
+    order = ranked(counts, keys, "value", {"p5": 50, "p50": 500}).withColumnRenamed("requests", "count")
+    return order.join(ends, keys).select(*keys, "count", "min", "max", "mean", "p5", "p50")
 
 
 def live_table(log: DataFrame, update_inserts: bool = True) -> DataFrame:
@@ -96,11 +129,9 @@ def score_stream(results: DataFrame, truth: DataFrame) -> DataFrame:
 def sessions(log: DataFrame, gap: str, keys: list[str], delay: str | None = None) -> DataFrame:
     """Runs of requests with no gap longer than ``gap``, per key.
 
-    On a stream the requests of a key are first joined into runs inside each
-    input partition, so a busy key shuffles runs and not requests.
+    On a stream, ``run_sessions`` first joins the requests of a key into runs
+    inside each input partition, so a busy key shuffles runs and not requests.
     """
-    if log.isStreaming:
-        log.sparkSession.conf.set("spark.sql.streaming.sessionWindow.merge.sessions.in.local.partition", "true")
     timed = log.withWatermark("ts", delay) if delay else log
     return (
         timed.groupBy(*keys, F.session_window("ts", gap).alias("s"))
@@ -109,8 +140,39 @@ def sessions(log: DataFrame, gap: str, keys: list[str], delay: str | None = None
     )
 
 
+def run_sessions(stream: DataFrame, log: DataFrame, label: str, gap: str, keys: list[str], delay: str) -> DataFrame:
+    """All sessions of a stream, those still open included.
+
+    ``log`` is what the stream has read, as a table.  Requests after a key's
+    last closed session are joined to sessions from it; of these, the ones that
+    the watermark has passed would be of rows that came too late, and are left out.
+    """
+    with _setting(stream.sparkSession, "spark.sql.streaming.sessionWindow.merge.sessions.in.local.partition", "true"):
+        done, mark = _run_append(sessions(stream, gap, keys, delay), label)
+    last = done.groupBy(*keys).agg(F.max("last_ts").alias("_last"))
+    rest = log.join(last, keys, "left").where("_last is null or ts > _last").drop("_last")
+    still = sessions(rest, gap, keys).where(F.col("last_ts") + F.expr(f"INTERVAL {gap}") > F.lit(mark).cast("timestamp"))
+    return done.unionByName(still)
+
+
+@contextlib.contextmanager
+def _setting(spark: SparkSession, name: str, value: str) -> Iterator[None]:
+    """A session option, set for a while."""
+    before = spark.conf.get(name, None)
+    spark.conf.set(name, value)
+    try:
+        yield
+    finally:
+        spark.conf.unset(name) if before is None else spark.conf.set(name, before)
+
+
 def run_append(stream: DataFrame, label: str) -> DataFrame:
     """Run a stream over what is there, in append mode; the table it wrote."""
+    return _run_append(stream, label)[0]
+
+
+def _run_append(stream: DataFrame, label: str) -> tuple[DataFrame, str]:
+    """The table a stream wrote, and the watermark it came to."""
     spark = stream.sparkSession
     path, state = scratch_path(spark, label), scratch_path(spark, label + "-state")
     query = (
@@ -122,7 +184,8 @@ def run_append(stream: DataFrame, label: str) -> DataFrame:
         .start()
     )
     query.awaitTermination()
-    return spark.read.schema(stream.schema).parquet(path)
+    marks = [p.eventTime["watermark"] for p in query.recentProgress if p.eventTime and "watermark" in p.eventTime]
+    return spark.read.schema(stream.schema).parquet(path), max(marks, default="1970-01-01T00:00:00.000Z")
 
 
 def run_update(stream: DataFrame, label: str, keys: list[str]) -> DataFrame:

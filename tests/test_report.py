@@ -3,13 +3,15 @@
 import json
 import math
 import random
+import time
 from datetime import datetime, timedelta
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from nearmark.functions.scalars import REPORT_PERCENTILES, percentile_column, percentile_label
-from nearmark.operators import report
+from nearmark.operators import ranks, report
 
 SCHEMA = (
     "request_type string, ts timestamp, user_id int, response_time double, failed boolean, step int,"
@@ -143,6 +145,47 @@ def test_gaps_of_a_hot_user(log, rows):
     assert got[0]["gap_change_mean"] == pytest.approx(sum(change) / len(change))
 
 
+def test_gaps_of_requests_at_one_time(spark):
+    t = datetime(2024, 1, 1)
+    rows = [(1, t + timedelta(seconds=s), i) for i, s in enumerate([0, 4, 4, 4, 9])]
+    df = spark.createDataFrame(rows, "user_id int, ts timestamp, seq int").repartition(3)
+    (r,) = report.gap_stats(df, tie="seq").collect()
+    assert (r["gap_mean"], r["gap_change_mean"]) == (2.25, 3.0)
+
+
+def test_sliding_ranks_are_exact():
+    rng = np.random.default_rng(0)
+    at = np.sort(rng.integers(0, 400, 600))
+    values = np.where(rng.random(600) < 0.1, np.nan, rng.integers(0, 50, 600))
+    count, (p50, p95) = ranks.sliding(at, values, 30, [500, 950])
+    for i in range(600):
+        seen = (at >= at[i] - 30) & (at <= at[i])
+        known = np.sort(values[seen & ~np.isnan(values)])
+        assert count[i] == seen.sum()
+        for got, p in ((p50[i], 0.5), (p95[i], 0.95)):
+            assert np.isnan(got) if not len(known) else got == known[math.ceil(round(p * len(known), 9)) - 1]
+
+
+def test_a_busy_operation_is_not_quadratic(spark):
+    """A million requests of one operation in one window."""
+    log = spark.range(1_000_000).select(
+        F.lit("Search").alias("request_type"), F.timestamp_micros(F.col("id") * 10).alias("ts"),
+        (F.col("id") * 7919 % 1_000_003 / 1000.0).alias("response_time"),
+    )
+    started = time.time()
+    got = report.trailing(log, 10).agg(F.count("latency_p95"), F.max("requests"), F.max_by("latency_p50", "ts")).first()
+    assert tuple(got)[:2] == (1_000_000, 1_000_000)
+    assert got[2] == sorted(i * 7919 % 1_000_003 for i in range(1_000_000))[499_999] / 1000
+    assert time.time() - started < 60
+
+
+def test_rows_without_time_are_in_no_window(spark):
+    rows = [("a", datetime(2024, 1, 1), 1.0), ("a", None, 2.0), ("a", datetime(2024, 1, 1), None)]
+    df = spark.createDataFrame(rows, "request_type string, ts timestamp, response_time double")
+    got = sorted((r["response_time"] or 0, r["requests"], r["latency_p50"]) for r in report.trailing(df).collect())
+    assert got == [(0, 2, 1.0), (1.0, 2, 1.0), (2.0, None, None)]
+
+
 def test_trailing_window(log, rows):
     got = report.trailing(log, 10).orderBy("ts").collect()
     assert len(got) == len(rows)

@@ -36,16 +36,33 @@ def test_windows_and_late_rows(spark, tmp_path):
     late = [("Search", at(5), 1000.0, False), ("Search", at(58), 58.5, False)]
     end = [("Search", at(500), 1.0, False)]
     stream = write_batches(spark, str(tmp_path / "log"), [first, more, late, end], LOG)
-    got = live.run_append(live.window_metrics(stream, delay="5 seconds"), "w").collect()
-    assert got
-    # The row of second 5 came after the watermark had passed it.
-    assert max(r["latency_p95"] for r in got) < 1000
+    log = spark.createDataFrame(first + more + late + end, LOG)
+    counts, dropped = live.run_windows(stream, log, "w", delay="5 seconds")
+    got = live.window_metrics(counts).collect()
+    # The row of second 5 came after the watermark had passed it; the open windows are there.
+    assert dropped.first()["late_rows"] == 1
+    assert max(r["latency_p95"] for r in got) < 1000 and max(r["w"]["end"] for r in got) == at(510)
     batch = spark.createDataFrame(first + more + late[1:] + end, LOG)
-    want = {
-        (r["w"]["start"], r["requests"], r["latency_p50"])
-        for r in live.window_metrics(batch).collect() if r["w"]["end"] <= at(495)
-    }
-    assert {(r["w"]["start"], r["requests"], r["latency_p50"]) for r in got} == want
+    want = live.window_metrics(live.window_counts(batch)).collect()
+    assert sorted(got) == sorted(want)
+    for r in want:
+        inside = sorted(x[2] for x in first + more + late[1:] + end if r["w"]["start"] <= x[1] < r["w"]["end"])
+        n = len(inside)
+        assert (r["requests"], r["requests_per_s"]) == (n, n / 10)
+        assert (r["latency_p50"], r["latency_p95"]) == (inside[-(-n // 2) - 1], inside[-(-n * 95 // 100) - 1])
+    overall = live.window_metrics(counts, keys=()).collect()
+    assert sorted((r["w"]["start"], r["requests"]) for r in overall) == sorted((r["w"]["start"], r["requests"]) for r in want)
+
+
+def test_percentiles_are_exact_beyond_ten_thousand_values(spark):
+    rows = spark.range(30_000).select(
+        F.lit("Search").alias("request_type"), F.lit(T0).alias("ts"), (F.col("id") * 7919 % 30_000 / 1000.0).alias("response_time"),
+        F.create_map(F.lit("m"), F.col("id") * 7919 % 30_000 / 1000.0).alias("metrics"),
+    )
+    for r in live.window_metrics(live.window_counts(rows)).collect():
+        assert (r["latency_p50"], r["latency_p95"]) == (14.999, 28.499)
+    (r,) = live.metric_totals(live.metric_counts(rows)).collect()
+    assert (r["p5"], r["p50"], r["count"], r["min"], r["max"]) == (1.499, 14.999, 30_000, 0.0, 29.999)
 
 
 def test_totals(spark, tmp_path):
@@ -78,8 +95,10 @@ def test_scores(spark, tmp_path):
 def test_sessions(spark, tmp_path):
     rows = [(1, at(s)) for s in (0, 5, 9, 100, 104)] + [(2, at(50))]
     stream = write_batches(spark, str(tmp_path / "s"), [rows, [(3, at(10_000))]], "user_id int, ts timestamp")
-    got = live.run_append(live.sessions(stream, "10 seconds", ["user_id"], "1 second"), "s").collect()
-    assert sorted((r["user_id"], r["requests"]) for r in got) == [(1, 2), (1, 3), (2, 1)]
+    log = spark.createDataFrame([*rows, (3, at(10_000))], "user_id int, ts timestamp")
+    got = live.run_sessions(stream, log, "s", "10 seconds", ["user_id"], "1 second").collect()
+    # That of user 3 is still open when the stream ends.
+    assert sorted((r["user_id"], r["requests"]) for r in got) == [(1, 2), (1, 3), (2, 1), (3, 1)]
 
 
 def test_a_batch_run_twice_counts_once(spark, tmp_path):
