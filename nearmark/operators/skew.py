@@ -32,8 +32,8 @@ def all_parts(count: Column) -> Column:
     return F.explode(F.sequence(F.lit(0).cast("bigint"), count - 1))
 
 
-def salted_join(many: DataFrame, one: DataFrame, on: str, spread: str, rows: int = 1_000_000) -> DataFrame:
-    """Inner join where a value of ``on`` may hold much of ``many``.
+def salted_join(many: DataFrame, one: DataFrame, on: str, spread: str, rows: int = 1_000_000, how: str = "inner") -> DataFrame:
+    """Join where a value of ``on`` may hold much of ``many``.
 
     ``one`` has one row per value.  Hot values of ``many`` are spread over parts
     by the hash of ``spread``, and only their rows of ``one`` are copied.
@@ -42,4 +42,4 @@ def salted_join(many: DataFrame, one: DataFrame, on: str, spread: str, rows: int
     left = with_cuts(many, listed, [on], "_parts")
     left = left.withColumn("_part", F.pmod(F.xxhash64(spread), F.col("_parts"))).drop("_parts")
     right = with_cuts(one, listed, [on], "_parts").withColumn("_part", all_parts(F.col("_parts"))).drop("_parts")
-    return left.join(right, [on, "_part"]).drop("_part")
+    return left.join(right, [on, "_part"], how).drop("_part")

@@ -294,6 +294,21 @@ s AS (SELECT user_id, count(*) AS requests, count(gap) / nullif((max(us) - min(u
 SELECT user_id, requests, {rounded('rate', 8)} AS rate, {rounded('gap_mean', 3)} AS gap_mean,
   {rounded('gap_stddev', 3)} AS gap_stddev, {rounded('gap_change_mean', 3)} AS gap_change_mean FROM s""",
     "knn_damaged": DAMAGED,
+    "knn_ivf_every_list": _shown_knn("euclidean"),
+    "neighbours_attached": f"""WITH {R}, n AS (SELECT q.id AS query_id, r.id AS id,
+  row_number() OVER (PARTITION BY q.id ORDER BY list_distance(q.v, r.v), r.id) AS rank FROM r q JOIN r ON {ALLOWED})
+SELECT q.id AS query_id, least(10, count(n.id))::BIGINT AS found, max(n.id) FILTER (n.rank = 1) AS best
+FROM r q LEFT JOIN n ON n.query_id = q.id GROUP BY q.id""",
+    "dataset_round_trip": """SELECT name, records, dims, metric, requests, documents, true AS refused FROM
+  (SELECT count(*) AS records, max(len(embedding))::INTEGER AS dims, count(*) AS requests, count(*) AS documents FROM embeddings),
+  (VALUES ('one', 'cosine'), ('two', 'euclidean')) t(name, metric)""",
+    "synth_record_shapes": "SELECT doc_id AS id, 32::BIGINT AS dims, true AS inside, 0::BIGINT AS version FROM documents",
+    "synth_metadata_shapes": "SELECT doc_id AS id, 11::BIGINT AS city, true AS shard, '4,4' AS labels, true AS flag FROM documents",
+    "synth_query_shapes": "SELECT c_custkey AS query_id, 10::BIGINT AS found, true AS itself FROM customer",
+    "synth_runbook_shapes": """SELECT c_custkey AS query_id, ntile(4) OVER (ORDER BY c_custkey) AS step,
+  10::BIGINT AS found, 0::BIGINT AS later FROM customer""",
+    "synth_sample_shape": "SELECT least(50, count(*))::BIGINT AS rows, least(50, count(*))::BIGINT AS ids FROM documents",
+    "synth_pick_counts": "SELECT count(*) AS rows, 0::BIGINT AS outside, 0::BIGINT AS likeliest, 0::BIGINT AS least FROM orders",
     "trailing_10s": _trailing(10),
     "trailing_hour": _trailing(3600),
     "stream_window_metrics": WINDOWS,

@@ -4,13 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from nearmark.functions import filters, scalars, scoring
 from nearmark.functions.distance import distance, norm
 from nearmark.operators import corpus, flat, ivf, oplog, report, splits
-from nearmark.operators.knn import Match, knn, neighbour_lists, rerank, search
+from nearmark.operators.knn import Match, attach_neighbours, knn, neighbour_lists, rerank, search
 from nearmark.operators.postings import knn_by_postings
 from nearmark.plans import fixtures as fx
 from nearmark.plans.evaluate import score_results, summary
@@ -172,6 +173,50 @@ def knn_ivf_trained(spark, sf_dir):
     return _shown(ivf.ivf_search(assigned, centroids, fx.queries(spark, sf_dir), EUCLIDEAN, probes))
 
 
+@registered
+def knn_ivf_every_list(spark, sf_dir):
+    """A trained index that probes all its lists is exact."""
+    records = fx.records(spark, sf_dir)
+    centroids = stored(ivf.fit_centroids(records, 8, EUCLIDEAN, seed=7), "centroids")
+    assigned = ivf.assign_lists(records, centroids, EUCLIDEAN)
+    return _shown(ivf.ivf_search(assigned, centroids, fx.queries(spark, sf_dir), EUCLIDEAN, 8))
+
+
+@registered
+def neighbours_attached(spark, sf_dir):
+    """Filtered ground truth as lists; queries that nothing matches have empty ones."""
+    asked = filters.with_required(fx.queries(spark, sf_dir))
+    found = attach_neighbours(asked, knn(fx.records(spark, sf_dir), asked, EUCLIDEAN, Match(tags=True)))
+    return found.select("query_id", F.size("neighbors").cast("bigint").alias("found"), F.try_element_at("neighbors", F.lit(1)).alias("best"))
+
+
+@registered
+def dataset_round_trip(spark, sf_dir):
+    """A dataset written in its layout, read by name, refused a second writing, and described."""
+    root = scratch_path(spark, "datasets")
+    asked = fx.queries(spark, sf_dir).select(
+        "query_id", "values", "top_k", F.struct(F.array("query_id").alias("neighbors"), "top_k").alias("blob")
+    )
+    wide = _json_records(spark, sf_dir).withColumn("sparse_values", F.lit(None).cast("string")).withColumn("unread", F.lit("x"))
+    out = []
+    for name, metric in (("one", COSINE), ("two", EUCLIDEAN)):
+        wide.write.parquet(f"{root}/{name}/passages")
+        wide.write.parquet(f"{root}/{name}/documents")
+        asked.withColumnRenamed("query_id", "id").write.parquet(f"{root}/{name}/queries")
+        about = spark.range(1).select(F.lit(name).alias("name"), F.lit(metric).alias("metric"), F.lit(64).alias("dimension"))
+        about.coalesce(1).write.json(f"{root}/{name}/about")
+    for name in ("one", "two"):
+        known = spark.read.json(f"{root}/{name}/about").first()
+        out.append(datasets.read_dataset(spark, root, name, known["metric"], known["dimension"]))
+    documents = datasets.read_table(spark, root, "one", "documents").agg(F.count("id").alias("documents"))
+    try:
+        wide.write.mode("errorifexists").parquet(f"{root}/one/passages")
+        refused = False
+    except AnalysisException:
+        refused = True
+    return datasets.describe_all(out).crossJoin(documents).withColumn("refused", F.lit(refused))
+
+
 @registered
 def ivf_probe_sweep(spark, sf_dir):
     """Share of the true neighbours found at each probe count."""
@@ -790,6 +835,66 @@ def synth_sample(spark, sf_dir):
     return synth.sample_without_replacement(made, 50, 3)
 
 
+@registered
+def synth_record_shapes(spark, sf_dir):
+    """What holds for every generated record: key, dimensions, range."""
+    made = synth.generate(fx.table(spark, sf_dir, "documents").select("doc_id"), 32, EUCLIDEAN, seed=11, id_column="doc_id")
+    inside = F.forall("values", lambda x: (x >= 0) & (x <= 255))
+    return made.select(F.col("id").cast("bigint").alias("id"), F.size("values").cast("bigint").alias("dims"), inside.alias("inside"), "version")
+
+
+@registered
+def synth_metadata_shapes(spark, sf_dir):
+    template = ["shard:3n", "in_stock:b", "city:11s", "labels:4s2l"]
+    decoded = datasets.decode_metadata(_generated(spark, sf_dir, template=template), synth.template_schema(template))
+    m = F.col("metadata")
+    return decoded.select(
+        F.col("id").cast("bigint").alias("id"), F.length(m["city"]).cast("bigint").alias("city"), m["shard"].between(0, 999).alias("shard"),
+        F.array_join(F.transform(m["labels"], lambda x: F.length(x).cast("string")), ",").alias("labels"), m["in_stock"].isNotNull().alias("flag"),
+    )
+
+
+@registered
+def synth_query_shapes(spark, sf_dir):
+    """Every customer asks for one record, and that is the nearest to itself."""
+    found = synth_queries(spark, sf_dir)
+    return found.select(
+        "query_id", F.size("neighbors").cast("bigint").alias("found"),
+        (F.element_at("neighbors", 1) == F.col("pick").cast("string")).alias("itself"),
+    )
+
+
+@registered
+def synth_runbook_shapes(spark, sf_dir):
+    """Each query finds ten records, none of a later step than its own."""
+    made = stored(_generated(spark, sf_dir).withColumn("id", F.col("id").cast("bigint")), "corpus")
+    asked = fx.table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("query_id"))
+    queries = synth.query_set(made, synth.uniform_picks(asked, made.count(), 5, "query_id"), COSINE, 10, ground_truth=False)
+    records, queries = synth.runbook(made, queries, 4)
+    found = knn(records, queries, COSINE, Match(step=True))
+    seen = found.join(records.select("id", F.col("step").alias("r")), "id").join(queries.select("query_id", "step"), "query_id")
+    return seen.groupBy("query_id", F.col("step").cast("bigint").alias("step")).agg(F.count(F.lit(1)).alias("found"), F.count_if(F.col("r") > F.col("step")).alias("later"))
+
+
+@registered
+def synth_sample_shape(spark, sf_dir):
+    """Fifty different documents, or all there are."""
+    made = fx.table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"))
+    picked = synth.sample_without_replacement(made, 50, 3)
+    return picked.join(made.distinct(), "id", "left_semi").agg(F.count(F.lit(1)).alias("rows"), F.countDistinct("id").alias("ids"))
+
+
+@registered
+def synth_pick_counts(spark, sf_dir):
+    """Picks per record: index 0 most often, all inside the table."""
+    asked = fx.table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"))
+    picks = synth.zipf_picks(asked, 100, 7).groupBy("pick").agg(F.count(F.lit(1)).alias("n"))
+    return picks.agg(
+        F.sum("n").alias("rows"), F.count_if((F.col("pick") < 0) | (F.col("pick") > 99)).alias("outside"),
+        F.max_by("pick", "n").alias("likeliest"), F.min("pick").alias("least"),
+    )
+
+
 @registered
 def default_lists(spark, sf_dir):
     """Index size the record count of each namespace asks for."""

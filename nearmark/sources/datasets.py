@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -63,9 +65,13 @@ def read_table(spark: SparkSession, root: str, name: str, kind: str) -> DataFram
 
 
 def read_dataset(
-    spark: SparkSession, root: str, name: str, metric: str, dims: int,
+    spark: SparkSession, root: str, name: str, metric: str | None = None, dims: int | None = None,
     limit: int = 0, query_limit: int = 0,
 ) -> VectorDataset:
+    """A dataset by name; metric and dimensions are its ``metadata.json``'s unless given."""
+    if metric is None or dims is None:
+        known = catalogue(spark, f"{root}/{name}").select("metric", F.col("dimension").cast("int")).first()
+        metric, dims = metric or known[0], dims or known[1]
     records, queries = read_records(spark, root, name), read_queries(spark, root, name)
     if limit:
         records = head(records, limit)
@@ -128,6 +134,11 @@ def catalogue(spark: SparkSession, root: str) -> DataFrame:
     )
 
 
+def describe_all(datasets: list[VectorDataset]) -> DataFrame:
+    """A row per dataset."""
+    return reduce(DataFrame.unionByName, map(describe, datasets))
+
+
 def describe(dataset: VectorDataset) -> DataFrame:
     """One row: ``name, records, dims, metric, requests``."""
     records = dataset.records.agg(
