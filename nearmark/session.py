@@ -41,9 +41,29 @@ def shared_dir(spark: SparkSession) -> str:
     return sc.getCheckpointDir()
 
 
+# Paths handed out, by application.
+_HANDED: dict[str, list[str]] = {}
+
+
 def scratch_path(spark: SparkSession, label: str) -> str:
     """A fresh path below the shared folder."""
-    return f"{shared_dir(spark).rstrip('/')}/{label}-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark).rstrip('/')}/{label}-{uuid.uuid4().hex}"
+    _HANDED.setdefault(spark.sparkContext.applicationId, []).append(path)
+    return path
+
+
+def clear_scratch(spark: SparkSession) -> int:
+    """Delete what this application has put below the shared folder; how many paths.
+
+    Tables that were stored and not yet written elsewhere are lost with it.
+    """
+    return sum(delete_path(spark, path) for path in _HANDED.pop(spark.sparkContext.applicationId, []))
+
+
+def delete_path(spark: SparkSession, name: str) -> bool:
+    """Delete a folder, in whatever store it is; False if there was none."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(name)
+    return bool(path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True))
 
 
 def stored(df: DataFrame, label: str) -> DataFrame:

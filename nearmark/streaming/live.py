@@ -18,9 +18,12 @@ from pyspark.sql import types as T
 from nearmark.functions.scoring import score
 from nearmark.operators.oplog import alive, last_state
 from nearmark.operators.ranks import ranked
-from nearmark.session import scratch_path
+from nearmark.session import delete_path, scratch_path
 
 
+# Micro-batches kept apart before they are merged.
+COMPACT_BATCHES = 16
+
 __all__ = [
     "alive", "file_stream", "live_table", "metric_counts", "metric_totals", "run_append", "run_sessions", "run_update", "run_windows",
     "score_stream", "sessions", "totals", "window_counts", "window_metrics",
@@ -192,12 +195,30 @@ def run_update(stream: DataFrame, label: str, keys: list[str]) -> DataFrame:
     """Run an aggregate in update mode; its last row per key.
 
     Each micro-batch owns one folder, so a batch run twice leaves one result.
+    Every ``COMPACT_BATCHES`` of them are merged to the last row per key, and go.
     """
     spark = stream.sparkSession
     path, state = scratch_path(spark, label), scratch_path(spark, label + "-state")
+    schema = T.StructType([*stream.schema.fields, T.StructField("_batch", T.LongType())])
+    # Folders that hold the result so far: a merged one first, then batches.
+    held: list[str] = []
+
+    def last_rows() -> DataFrame:
+        rest = [c for c in schema.names if c not in keys]
+        last: Column = F.max_by(F.struct(*rest), "_batch").alias("_r")
+        return spark.read.schema(schema).parquet(*held).groupBy(*keys).agg(last).select(*keys, "_r.*")
 
     def store(rows: DataFrame, batch: int) -> None:
-        rows.write.mode("overwrite").parquet(f"{path}/batch={batch}")
+        own = f"{path}/batch-{batch}"
+        rows.withColumn("_batch", F.lit(batch).cast("bigint")).write.mode("overwrite").parquet(own)
+        if own not in held:
+            held.append(own)
+        if len(held) > COMPACT_BATCHES:
+            merged = f"{path}/upto-{batch}"
+            last_rows().write.mode("overwrite").parquet(merged)
+            for folder in held:
+                delete_path(spark, folder)
+            held[:] = [merged]
 
     query = (
         stream.writeStream.outputMode("update")
@@ -207,8 +228,6 @@ def run_update(stream: DataFrame, label: str, keys: list[str]) -> DataFrame:
         .start()
     )
     query.awaitTermination()
-    schema = T.StructType([*stream.schema.fields, T.StructField("batch", T.LongType())])
-    written = spark.read.schema(schema).parquet(path)
-    rest = [c for c in stream.columns if c not in keys]
-    last: Column = F.max_by(F.struct(*rest), "batch").alias("_r")
-    return written.groupBy(*keys).agg(last).select(*keys, "_r.*")
+    if not held:
+        return spark.createDataFrame([], stream.schema)
+    return last_rows().select(*stream.columns)

@@ -101,13 +101,21 @@ def test_sessions(spark, tmp_path):
     assert sorted((r["user_id"], r["requests"]) for r in got) == [(1, 2), (1, 3), (2, 1), (3, 1)]
 
 
+def test_batches_are_merged_on_the_way(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(live, "COMPACT_BATCHES", 2)
+    batches = [[("Search", at(i), float(i), i % 2 == 0), (f"only {i}", at(i), 1.0, False)] for i in range(6)]
+    stream = write_batches(spark, str(tmp_path / "log"), batches, LOG)
+    got = live.run_update(live.totals(stream), "t", ["request_type"]).collect()
+    assert sorted(got) == sorted(live.totals(spark.createDataFrame(sum(batches, []), LOG)).collect())
+
+
 def test_a_batch_run_twice_counts_once(spark, tmp_path):
     """Each micro-batch owns its folder: writing it again replaces it."""
     path = str(tmp_path / "out")
-    rows = spark.createDataFrame([("a", 1)], "k string, n int").withColumn("batch", F.lit(0))
+    rows = spark.createDataFrame([("a", 1)], "k string, n int")
     for _ in range(2):
-        rows.drop("batch").write.mode("overwrite").parquet(f"{path}/batch=0")
-    assert spark.read.parquet(path).count() == 1
+        rows.write.mode("overwrite").parquet(f"{path}/batch-0")
+    assert spark.read.parquet(f"{path}/batch-0").count() == 1
 
 
 def test_scratch_needs_a_shared_folder(spark):

@@ -4,6 +4,8 @@ import json
 import random
 from math import ceil
 
+import os
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -292,3 +294,16 @@ def test_layout(spark, tmp_path):
     metas = [pq.ParquetFile(f).metadata for f in files]
     assert sorted(m.num_rows for m in metas) == [200, 400, 400]
     assert max(m.row_group(i).num_rows for m in metas for i in range(m.num_row_groups)) <= 100
+
+
+def test_scratch_folders_go_when_told(spark):
+    from nearmark.session import clear_scratch, scratch_path, stored
+
+    path = scratch_path(spark, "kept")
+    df = stored(spark.range(3), "three")
+    assert df.count() == 3
+    folder = df.inputFiles()[0].rpartition("/")[0].removeprefix("file://")
+    assert os.path.isdir(folder) and not os.path.exists(path.removeprefix("file:"))
+    assert clear_scratch(spark) >= 1
+    assert not os.path.exists(folder)
+    assert clear_scratch(spark) == 0
