@@ -336,3 +336,20 @@ def near_duplicate_report(spark, folder: str) -> DataFrame:
     """``op6``: class and number of links of each document."""
     found = near_duplicates(spark.read.parquet(f"{folder}/documents.parquet"))
     return found.select(F.col("key").alias("doc_id"), "class_id", "n_links")
+
+
+NEAR_SQL = r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws FROM documents
+), s AS (
+  SELECT doc_id, CASE WHEN len(ws) >= 5 THEN list_distinct(list_transform(range(1, len(ws) - 3), lambda i: array_to_string(ws[i:i + 4], ' ')))
+    ELSE [array_to_string(ws, ' ')] END AS shingles FROM w
+), u AS (SELECT doc_id, unnest(shingles) AS shingle, len(shingles) AS n FROM s),
+links AS (
+  SELECT a.doc_id AS a, b.doc_id AS b FROM u a JOIN u b ON a.shingle = b.shingle AND a.doc_id <> b.doc_id
+  GROUP BY a.doc_id, b.doc_id, a.n, b.n HAVING count(*) >= 0.8 * (a.n + b.n - count(*))
+), reach AS (SELECT a, b FROM links UNION SELECT r.a, l.b FROM reach r JOIN links l ON r.b = l.a),
+least AS (SELECT a, min(b) AS b FROM reach GROUP BY a), degree AS (SELECT a, count(*) AS n FROM links GROUP BY a)
+SELECT d.doc_id, least(d.doc_id, coalesce(l.b, d.doc_id)) AS class_id, CAST(coalesce(g.n, 0) AS BIGINT) AS n_links
+FROM documents d LEFT JOIN least l ON l.a = d.doc_id LEFT JOIN degree g ON g.a = d.doc_id
+"""

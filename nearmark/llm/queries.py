@@ -17,6 +17,7 @@ QUERIES = {
 
 ORACLES = {
     "op3_warc": warc.ARCHIVE_SQL,
+    "op6_neardup": neardup.NEAR_SQL,
     "op7_mixing": mixing.MIX_SQL,
     "op8_vectors": vectors.VECTOR_SQL,
 }
