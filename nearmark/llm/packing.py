@@ -13,6 +13,7 @@ lengths are powers of two, which need no padding.
 
 from __future__ import annotations
 
+import bisect
 import os
 import re
 import zlib
@@ -31,14 +32,16 @@ END_ID = 2
 # Remainders held by a task before it packs, and the least kept for later choices.
 POOL, POOL_LEFT = 4096, 1024
 # Words whose ids a worker remembers, and the longest such word.
-MEMORY_WORDS, WORD_CHARS = 500_000, 40
+MEMORY_WORDS, WORD_CHARS = 1_200_000, 40
 
 
 class WordEncoder:
     """Ids of texts by a tokenizer of the ``tokenizers`` library that drops white space.
 
     Its rules split texts at white space before anything else, so a text's ids
-    are those of its words, which are remembered while they fit.
+    are those of its words, which are remembered while they fit.  Of a word of
+    plain letters and marks after them the letters and the marks are apart too,
+    in lower case.
     """
 
     def __init__(self, path: str):
@@ -47,9 +50,7 @@ class WordEncoder:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         self.tokenizer = tokenizers.Tokenizer.from_file(path)
         self.known: dict[str, bytes] = {}
-        self.bases: dict[str, bytes] = {}
-        # Letters that stay one token group: no rule joins or changes them but lower case.
-        self.plain = re.compile(r"([A-Za-zß-öø-ÿÀ-ÖØ-Þ]+)([.,;:!?|]?)")
+        self.plain = re.compile(r"([A-Za-zß-öø-ÿÀ-ÖØ-Þ]+)([.,;:!?|%*&#$+=/)@~^-]*)")
         self.last = np.zeros(self.tokenizer.get_vocab_size(), bool)
         for piece, i in self.tokenizer.get_vocab().items():
             self.last[i] = piece.endswith("</w>")
@@ -57,62 +58,58 @@ class WordEncoder:
     def direct(self, text: str) -> bytes:
         return np.asarray(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
-    def _learn_bases(self, words: list[str]) -> None:
+    def _learn_letters(self, words: list[str]) -> None:
         """Ids of words of plain letters, many in one call; each ends with its own last piece."""
         for s in range(0, len(words), 4096):
-            texts = [" ".join(words[t : t + 128]) for t in range(s, min(s + 4096, len(words)), 128)]
+            part = words[s : s + 4096]
+            texts = [" ".join(part[t : t + 128]) for t in range(0, len(part), 128)]
             found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
             ids = np.concatenate([np.asarray(e.ids, "<u4") for e in found])
-            ends = np.flatnonzero(self.last[ids]) + 1
-            part = words[s : s + 4096]
+            ends = (4 * np.flatnonzero(self.last[ids]) + 4).tolist()
             if len(ends) != len(part):
                 raise ValueError("words and their last pieces differ in number")
-            data, start = ids.tobytes(), 0
-            for word, end in zip(part, ends.tolist(), strict=True):
-                self.bases[word] = data[4 * start : 4 * end]
-                start = end
+            data = ids.tobytes()
+            self.known.update(zip(part, map(data.__getitem__, map(slice, [0, *ends], ends)), strict=False))
 
     def _learn(self, words: set[str]) -> None:
-        split = {w: m.groups() for w in words if (m := self.plain.fullmatch(w))}
-        new = {base.lower() for base, _ in split.values()} - self.bases.keys()
-        self._learn_bases(sorted(new))
-        for w in words:
-            if w in split:
-                base, mark = split[w]
-                if mark and mark not in self.bases:
-                    self.bases[mark] = self.direct(mark)
-                self.known[w] = self.bases[base.lower()] + (self.bases[mark] if mark else b"")
-            else:
-                self.known[w] = self.direct(w)
+        known, match = self.known, self.plain.fullmatch
+        split = [(w, m[1].lower(), m[2]) for w in words if (m := match(w))]
+        for w in words.difference([w for w, _, _ in split]).union({mark for _, _, mark in split}.difference(known)):
+            known[w] = self.direct(w)
+        self._learn_letters(sorted({letters for _, letters, _ in split}.difference(known)))
+        known.update([(w, known[letters] + known[mark]) for w, letters, mark in split])
 
     def ids(self, texts: list[str]) -> list[bytes]:
         """Little-endian 32-bit ids of each text."""
         split = [t.replace("\n", " ").split(" ") for t in texts]
         words = set().union(*split)
-        if len(words) > MEMORY_WORDS and len(texts) > 1:
+        if len(words) > MEMORY_WORDS // 2 and len(texts) > 1:
             half = len(texts) // 2
             return self.ids(texts[:half]) + self.ids(texts[half:])
-        unknown = words - self.known.keys()
+        unknown = words.difference(self.known)
         if len(self.known) + len(unknown) > MEMORY_WORDS:
-            self.known, self.bases, unknown = {}, {}, words
+            self.known, unknown = {}, words
         long = {w for w in unknown if len(w) > WORD_CHARS}
         self._learn(unknown - long)
         known = self.known
         if long:
             known = {w: known[w] for w in words - long} | {w: self.direct(w) for w in long}
-        return [b"".join([known[w] for w in own]) for own in split]
+        return [b"".join(map(known.__getitem__, own)) for own in split]
 
 
-def fill(counts: dict[int, int], room: int) -> dict[int, int]:
+def fill(counts: dict[int, int], room: int, lengths: list[int] | None = None) -> dict[int, int]:
     """How many of each length to take so that their sum is the largest of at most ``room``.
 
-    ``counts`` says how many of each length there are.  A bit of ``reach`` is a
+    ``counts`` says how many of each length there are; ``lengths`` are its keys
+    in order, if they are at hand.  A bit of ``reach`` is a
     sum that can be made; lengths are added one after the other, long ones
     first, in powers of two of their number, and the steps are kept.
     """
     full = (1 << (room + 1)) - 1
     reach, steps = 1, []
-    for length in sorted((n for n in counts if n <= room), reverse=True):
+    lengths = sorted(counts) if lengths is None else lengths
+    for at in range(bisect.bisect_right(lengths, room) - 1, -1, -1):
+        length = lengths[at]
         most, times = min(counts[length], room // length), 1
         while most and not reach >> room & 1:
             times = min(times, most)
@@ -135,8 +132,10 @@ class Packer:
 
     def __init__(self, window: int, pool: int = POOL, left: int = POOL_LEFT):
         self.window, self.pool, self.left = window, pool, left
-        # length -> remainders of that length, oldest last
+        # length -> remainders of that length and how many, and the lengths in order
         self.held: dict[int, list[tuple[int, int]]] = {}
+        self.counts: dict[int, int] = {}
+        self.lengths: list[int] = []
         self.size = self.tokens = self.sequence = 0
         self.out: list[tuple[int, int, int, int, int]] = []
 
@@ -146,12 +145,19 @@ class Packer:
             self._emit([(doc, start, self.window)])
             start += self.window
         if length > start:
-            self.held.setdefault(length - start, []).append((doc, start))
-            self.size += 1
-            self.tokens += length - start
+            self._hold(doc, start, length - start)
         if self.size >= self.pool:
             self.pack(self.left)
 
+    def _hold(self, doc: int, start: int, length: int) -> None:
+        if length not in self.held:
+            self.held[length] = []
+            bisect.insort(self.lengths, length)
+        self.held[length].append((doc, start))
+        self.counts[length] = len(self.held[length])
+        self.size += 1
+        self.tokens += length
+
     def _emit(self, pieces: list[tuple[int, int, int]]) -> None:
         offset = 0
         for doc, start, length in pieces:
@@ -162,8 +168,9 @@ class Packer:
     def _take(self, length: int) -> tuple[int, int, int]:
         of = self.held[length]
         doc, start = of.pop()
+        self.counts[length] -= 1
         if not of:
-            del self.held[length]
+            del self.held[length], self.counts[length], self.lengths[bisect.bisect_left(self.lengths, length)]
         self.size -= 1
         self.tokens -= length
         return doc, start, length
@@ -171,17 +178,15 @@ class Packer:
     def pack(self, left: int) -> None:
         """Fill windows until ``left`` remainders are held, or too few tokens for a window."""
         while self.size > left and self.tokens >= self.window:
-            pieces = [self._take(max(self.held))]
-            taken = fill({n: len(of) for n, of in self.held.items()}, self.window - pieces[0][2])
+            pieces = [self._take(self.lengths[-1])]
+            taken = fill(self.counts, self.window - pieces[0][2], self.lengths)
             pieces += [self._take(n) for n, times in taken.items() for _ in range(times)]
             room = self.window - sum(p[2] for p in pieces)
             if room and self.held:
                 # No multiset fits; a remainder is cut, and its rest goes back.
-                doc, start, length = self._take(min(n for n in self.held if n > room))
+                doc, start, length = self._take(self.lengths[bisect.bisect_right(self.lengths, room)])
                 pieces.append((doc, start, room))
-                self.held.setdefault(length - room, []).append((doc, start + room))
-                self.size += 1
-                self.tokens += length - room
+                self._hold(doc, start + room, length - room)
             self._emit(pieces)
 
     def finish(self) -> None:
