@@ -56,6 +56,11 @@ def targets(sources: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int =
     return full.select("source", "words", target.alias("target"))
 
 
+def coded(source: Column) -> Column:
+    """A source as text that is never null."""
+    return F.coalesce(F.concat(F.lit("="), source.cast("string")), F.lit(""))
+
+
 def offset_of(source: Column, seed: str) -> Column:
     """A number in [0, 1) per source."""
     digits = F.substring(F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(source, F.lit("")))), 1, 8)
@@ -79,16 +84,19 @@ def mix(
     rows; which of several equal rows is repeated makes no difference.  Sources
     without words have target 0 and no copies.  An empty table gives an empty one.
     """
-    names = fresh(docs, "size", "source_size", "target", "copies", "_class", "_order", "_part", "_before", "_source", "_tie")
-    size, total, target, copies, kind, order, part, before, origin, tie = names
+    names = fresh(docs, "size", "source_size", "target", "copies", "_class", "_order", "_part", "_before", "_source", "_tie",
+                  "_rank", "_of_source", "_of_class", "_of_part")
+    size, total, target, copies, kind, order, part, before, origin, tie, rank, of_source, of_class, of_part = names
     words = F.regexp_count(text_of(docs, text), F.lit(WORD_PATTERN)).cast("bigint")
+    # Keys that are never null: the join needs no filter on them, which would count
+    # the words again, and has the partitioning of the window below it.
     sized = (
-        docs.withColumn(size, words)
-        .withColumn(origin, column(docs, source).cast("string"))
+        docs.withColumn(size, F.coalesce(words, F.lit(0).cast("bigint")))
+        .withColumn(origin, coded(column(docs, source)))
         .withColumn(order, F.md5(F.coalesce(column(docs, key).cast("string"), F.lit("")).cast("binary")))
         .withColumn(tie, F.xxhash64(text_of(docs, text)))
     )
-    sized = sized.withColumn(kind, size_class(F.col(size)))
+    sized = sized.withColumn(kind, F.coalesce(size_class(F.col(size)), F.lit(0)))
     sized = sized.withColumn(part, F.substring(order, 1, PART_DIGITS))
     counted = stored(
         sized.groupBy(F.col(origin).alias("source"), F.col(kind).alias("class"), F.col(part).alias("part")).agg(
@@ -96,22 +104,29 @@ def mix(
         ),
         "mix-parts",
     )
-    aims = targets(counted.groupBy("source").agg(F.sum("words").alias("words")), weights, most)
-    upto = Window.partitionBy("source").orderBy("class", "part").rowsBetween(Window.unboundedPreceding, -1)
-    carried = counted.withColumn("before", F.coalesce(F.sum("n").over(upto), F.lit(0).cast("bigint")))
-    aims = aims.select(F.col("source").alias("_s"), F.col("words").alias("all_words"), "target")
-    carried = carried.join(aims, F.col("source").eqNullSafe(F.col("_s"))).select(
-        F.col("source").alias("m_source"), F.col("class").alias("m_class"), F.col("part").alias("m_part"),
-        F.col("before").alias(before), F.col("all_words").alias(total), F.col("target").alias(target),
+    shares = counted.groupBy("source").agg(F.sum("words").alias("words"))
+    decoded = F.when(F.col("source") != "", F.expr("substring(source, 2)"))
+    aims = targets(shares.select(decoded.alias("source"), "words"), weights, most)
+    aims = aims.select(coded(F.col("source")).alias("source"), F.col("words").alias("all_words"), "target")
+    # Rows before a part: those of the source's lower classes, and of the class's lower parts.
+    below = lambda *keys: F.coalesce(
+        F.sum("n").over(Window.partitionBy(*keys[:-1]).orderBy(keys[-1]).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0).cast("bigint")
+    )
+    classes = counted.groupBy("source", "class").agg(F.sum("n").alias("n")).withColumn("lower", below("source", "class"))
+    carried = counted.withColumn("before", below("source", "class", "part"))
+    carried = carried.join(classes.select("source", "class", "lower"), ["source", "class"]).join(aims, "source")
+    carried = carried.select(
+        F.col("source").alias(of_source), F.col("class").alias(of_class), F.col("part").alias(of_part),
+        (F.col("before") + F.col("lower")).alias(before), F.col("all_words").alias(total), F.col("target").alias(target),
     )
     inside = Window.partitionBy(origin, kind, part).orderBy(order, tie)
-    ranked = sized.withColumn("_rank", F.row_number().over(inside).cast("bigint"))
+    ranked = sized.withColumn(rank, F.row_number().over(inside).cast("bigint"))
     joined = ranked.join(
         carried,
-        F.col(origin).eqNullSafe(F.col("m_source")) & (F.col(kind) == F.col("m_class")) & (F.col(part) == F.col("m_part")),
+        (F.col(origin) == F.col(of_source)) & (F.col(kind) == F.col(of_class)) & (F.col(part) == F.col(of_part)),
     )
     each = F.when(F.col(total) > 0, F.col(target) / F.col(total)).otherwise(F.lit(0.0))
-    at, start = F.col(before) + F.col("_rank"), offset_of(F.col(origin), seed)
+    at, start = F.col(before) + F.col(rank), offset_of(column(ranked, source).cast("string"), seed)
     passed = F.floor(at * each + start) - F.floor((at - 1) * each + start)
     out = joined.withColumn(copies, F.least(passed, F.lit(most).cast("bigint")).cast("bigint"))
     given = [column(out, c) for c in docs.columns]

@@ -35,7 +35,7 @@ def test_targets_as_by_resharing(spark, seed):
 def corpus(documents, n=600):
     rng = random.Random(1)
     rows = [(i, "w " * int(rng.lognormvariate(3, 1)), None, rng.choice(["a", "a", "a", "b", "ü", None])) for i in range(n)]
-    return documents([*rows, (None, "x y", None, "b"), (None, "x y", None, "b"), (7, None, None, "a"), (8, "", None, "empty")], ["size", "copies", "target"])
+    return documents([*rows, (None, "x y", None, "b"), (None, "x y", None, "b"), (7, None, None, "a"), (8, "", None, "empty")], ["size", "copies", "target", "_rank", "_of_source", "class", "part", "words", "_s"])
 
 
 def test_takes_come_near_the_targets(spark, documents):
