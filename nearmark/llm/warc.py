@@ -36,7 +36,6 @@ FILE_BYTES = 32 << 20
 # Payloads of fewer bytes are always written out.
 REVISIT_BYTES = 100
 DATE = "1970-01-01T00:00:00Z"
-HEADER_BYTES = 1 << 16
 READ_BYTES = 1 << 20
 GZIP = b"\x1f\x8b\x08"
 HTTP_OK = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: %d\r\n\r\n"
@@ -176,6 +175,8 @@ class Bytes:
 
     def __init__(self, file, size: int):
         self.file, self.size, self.base, self.held = file, size, 0, b""
+        # Where the last search for a pattern began and what it found.
+        self.sought: dict[bytes, tuple[int, int]] = {}
 
     def read(self, at: int, n: int) -> bytes:
         n = min(n, self.size - at)
@@ -187,6 +188,14 @@ class Bytes:
         return self.held[at - self.base : at - self.base + n]
 
     def find(self, pattern: bytes, at: int) -> int:
+        """The first place of ``pattern`` from ``at`` on, or -1; bytes between searches are not searched again."""
+        begin, last = self.sought.get(pattern, (self.size, 0))
+        if begin <= at and (at <= last or last < 0):
+            return last
+        self.sought[pattern] = (at, found := self._find(pattern, at))
+        return found
+
+    def _find(self, pattern: bytes, at: int) -> int:
         while at < self.size:
             part = self.read(at, READ_BYTES)
             if (found := part.find(pattern)) >= 0:
@@ -203,14 +212,13 @@ class Record:
 
 def parse(source: Bytes, at: int) -> tuple[Record, int]:
     """The plain record that begins at ``at``, and where it ends."""
-    head = source.read(at, HEADER_BYTES)
-    end = head.find(b"\r\n\r\n")
-    if not re.match(rb"WARC/1\.[0-9]\r\n", head):
+    if not re.match(rb"WARC/1\.[0-9]\r\n", source.read(at, len(VERSION) + 2)):
         raise Damaged("no version line")
+    end = source.find(b"\r\n\r\n", at)
     if end < 0:
         raise Damaged("headers do not end")
     headers: dict[str, str] = {}
-    for line in head[:end].split(b"\r\n")[1:]:
+    for line in source.read(at, end - at).split(b"\r\n")[1:]:
         name, colon, value = line.partition(b":")
         if not colon:
             raise Damaged("header without a colon")
@@ -218,7 +226,7 @@ def parse(source: Bytes, at: int) -> tuple[Record, int]:
     length = headers.get("content-length", "")
     if not (length.isascii() and length.isdigit() and headers.get("warc-type") and headers.get("warc-record-id")):
         raise Damaged("a header is missing")
-    start = at + end + 4
+    start = end + 4
     stop = start + int(length)
     if stop > source.size:
         raise Damaged("record is cut off")
@@ -303,13 +311,14 @@ def salvage(source: Bytes) -> Iterator[tuple[int, int, list[Record], str | None]
 FIELDS = "file string, begin bigint, end bigint, headers map<string,string>, payload binary, damage string"
 
 
-def read_warc(spark: SparkSession, path: str) -> DataFrame:
+def read_warc(spark: SparkSession, path: str, whole: bool = False) -> DataFrame:
     """Records and gaps of all files below ``path``.
 
     Columns: ``file``, ``begin`` and ``end`` (bytes in the file), ``headers`` (names
     in lower case) and ``payload`` of a record, ``damage`` (why) of a gap, whose
     other columns are null.  Files are listed by Spark and each is streamed by
-    one task; a record must fit into memory.  No file gives an empty table.
+    one task; a record must fit into memory.  No file gives an empty table.  With
+    ``whole`` a gap is an error.
     """
     fs, folder = filesystem(path)
     files = spark.createDataFrame([], "path string")
@@ -324,6 +333,8 @@ def read_warc(spark: SparkSession, path: str) -> DataFrame:
                 with own.open_input_file(place) as file:
                     rows, size = [], 0
                     for begin, end, records, damage in salvage(Bytes(file, file.size())):
+                        if damage and whole:
+                            raise ValueError(f"{name}: bytes {begin} to {end}: {damage}")
                         rows += [(name, begin, end, list(r.headers.items()), r.payload, None) for r in records]
                         rows += [(name, begin, end, None, None, damage)] if damage else []
                         size += sum(len(r.payload) for r in records)
@@ -360,11 +371,11 @@ def archived(found: DataFrame, kind: str) -> DataFrame:
 
 
 def archive_report(spark, folder: str) -> DataFrame:
-    """``op3``: every page written to archives and read back."""
+    """``op3``: every page written to archives and read back; one that cannot be read is an error."""
     pages = spark.read.parquet(f"{folder}/pages.parquet")
     path = scratch_path(spark, "archives")
     write_warc(pages, path)
-    return archived(read_warc(spark, path), pages.schema["page_id"].dataType.simpleString()).withColumnRenamed("key", "page_id")
+    return archived(read_warc(spark, path, whole=True), pages.schema["page_id"].dataType.simpleString()).withColumnRenamed("key", "page_id")
 
 
 ARCHIVE_SQL = """

@@ -112,3 +112,31 @@ def test_gaps_are_logged_through_spark(spark, tmp_path):
 def test_no_pages(spark, tmp_path):
     write_warc(pages(spark).where("false"), f"file://{tmp_path}/none")
     assert archived(read_warc(spark, f"file://{tmp_path}/none"), "bigint").count() == 0
+
+
+@pytest.mark.parametrize("compress", [False, True])
+def test_headers_of_any_length(spark, tmp_path, compress):
+    rows = [(1, "data:" + "a" * 70_000, "p" * 200), (2, "http://" + "\u65e5" * 400_000, "q" * 200), (3, "u", "p" * 200)]
+    write_warc(spark.createDataFrame(rows, "page_id bigint, url string, html string"), f"file://{tmp_path}/out", compress)
+    found = read_warc(spark, f"file://{tmp_path}/out", whole=True)
+    assert sorted((r.key, r.record_type, r.refers_to) for r in archived(found, "bigint").collect()) == [(1, "response", None), (2, "response", None), (3, "revisit", 1)]
+    assert {len(r.u) for r in found.select(F.col("headers")["warc-target-uri"].alias("u")).collect()} == {70_005, 3_600_007, 1}
+
+
+def test_report_fails_if_a_page_cannot_be_read(spark, tmp_path, monkeypatch):
+    pages(spark).select("page_id", "url", "html").write.parquet(f"{tmp_path}/pages.parquet")
+
+    def damaged(df, path):
+        write_warc(df.coalesce(1), path)
+        folder = path.removeprefix("file:")
+        (name,) = os.listdir(folder)
+        with open(f"{folder}/{name}", "r+b") as file:
+            file.seek(300)
+            file.write(b"????")
+
+    monkeypatch.setattr(warc, "scratch_path", lambda *_: f"file:{tmp_path}/archives")
+    assert warc.archive_report(spark, str(tmp_path)).count() == 13
+    monkeypatch.setattr(warc, "scratch_path", lambda *_: f"file:{tmp_path}/again")
+    monkeypatch.setattr(warc, "write_warc", damaged)
+    with pytest.raises(Exception, match="bytes [0-9]+ to"):
+        warc.archive_report(spark, str(tmp_path)).collect()
