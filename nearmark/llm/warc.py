@@ -8,13 +8,16 @@ that count are moved into place when the job is committed.
 The reader streams each file and checks every record: its gzip member, version
 line, headers, length, end mark and digests.  Where a check fails it looks for
 the next place where a whole valid record begins, goes on there, and reports the
-bytes between as a gap.
+bytes between as a gap.  So it does within the plain bytes of a gzip member of
+several records, also if the member breaks off.
 """
 
 from __future__ import annotations
 
 import hashlib
+import itertools
 import re
+import tempfile
 import uuid
 import zlib
 from collections.abc import Iterable, Iterator
@@ -37,6 +40,8 @@ FILE_BYTES = 32 << 20
 REVISIT_BYTES = 100
 DATE = "1970-01-01T00:00:00Z"
 READ_BYTES = 1 << 20
+# Compressed bytes unpacked at once, and plain bytes of a member that stay in memory.
+PACKED_BYTES, SPOOL_BYTES = 1 << 16, 1 << 26
 GZIP = b"\x1f\x8b\x08"
 HTTP_OK = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: %d\r\n\r\n"
 KEY_PREFIX = "urn:page:"
@@ -249,63 +254,110 @@ def checked(digest: str | None, data: bytes, what: str) -> None:
         raise Damaged(f"{what} digest differs")
 
 
-def member(source: Bytes, at: int) -> tuple[list[Record], int]:
-    """The records of the gzip member that begins at ``at``, and where it ends."""
-    import io
-
-    packer, parts, place = zlib.decompressobj(31), [], at
-    try:
-        while not packer.eof:
-            part = source.read(place, READ_BYTES)
-            if not part:
-                raise Damaged("member is cut off")
-            parts.append(packer.decompress(part))
-            place += len(part)
-    except zlib.error as e:
-        raise Damaged(f"member: {str(e)[:60]}") from e
-    place -= len(packer.unused_data)
-    data = b"".join(parts)
-    inner, records, here = Bytes(io.BytesIO(data), len(data)), [], 0
-    while here < len(data):
-        one, here = parse(inner, here)
-        records.append(one)
-    return records, place
-
-
-def records_at(source: Bytes, at: int) -> tuple[list[Record], int]:
-    if source.read(at, 3) == GZIP:
-        return member(source, at)
+def unpacked(source: Bytes, at: int) -> tuple[Bytes, int, str | None]:
+    """What the gzip member at ``at`` holds, where it ends, and why it breaks off if it does.
+
+    What comes before a cut or a wrong byte is kept.  Much goes to a temporary file.
+    """
+    packer, place, step, size = zlib.decompressobj(31), at, PACKED_BYTES, 0
+    out, fault = tempfile.SpooledTemporaryFile(SPOOL_BYTES), None
+    while not packer.eof:
+        part = source.read(place, step)
+        if not part:
+            fault = "member is cut off"
+            break
+        before = packer.copy()
+        try:
+            data = packer.decompress(part)
+        except zlib.error as e:
+            if len(part) == 1:
+                fault = f"member: {str(e)[:60]}"
+                break
+            # Nearer to the wrong byte.
+            packer, step = before, len(part) // 2
+            continue
+        out.write(data)
+        size += len(data)
+        place += len(part)
+    return Bytes(out, size), place - len(packer.unused_data), fault
+
+
+Piece = tuple[int, int, Record | None, str | None]
+
+
+def inside(source: Bytes, at: int) -> tuple[Iterator[tuple[Record | None, str | None]], int | None]:
+    """Records and gaps of the gzip member at ``at``, one record at least if it has bytes, and where it ends if it does."""
+    plain, end, fault = unpacked(source, at)
+    rest, first = pieces(plain, packed=False), []
+    for piece in rest:
+        first.append(piece)
+        if piece[2]:
+            break
+    if fault and not (first and first[-1][2]):
+        raise Damaged(fault)
+    if first and not first[-1][2]:
+        raise Damaged(first[0][3])
+
+    def items() -> Iterator[tuple[Record | None, str | None]]:
+        for b, e, one, why in itertools.chain(first, rest):
+            yield one, why and f"bytes {b} to {e} of the member's plain bytes: {why}"
+        if fault:
+            yield None, fault
+
+    return items(), None if fault else end
+
+
+def opened(source: Bytes, at: int, packed: bool) -> tuple[Iterable[tuple[Record | None, str | None]], int | None]:
+    if packed and source.read(at, 3) == GZIP:
+        return inside(source, at)
     one, end = parse(source, at)
-    return [one], end
+    return [(one, None)], end
 
 
-def salvage(source: Bytes) -> Iterator[tuple[int, int, list[Record], str | None]]:
-    """(begin, end, records, None) of what is valid, (begin, end, [], reason) of gaps."""
+def following(source: Bytes, at: int, packed: bool) -> int:
+    """The next place from ``at`` on where something valid begins."""
+    nexts = {p: source.find(p, at) for p in ((GZIP, b"WARC/1.") if packed else (b"WARC/1.",))}
+    while any(v >= 0 for v in nexts.values()):
+        pattern = min((p for p, v in nexts.items() if v >= 0), key=lambda p: nexts[p])
+        place = nexts[pattern]
+        try:
+            opened(source, place, packed)
+            return place
+        except Damaged:
+            nexts[pattern] = source.find(pattern, place + 1)
+    return source.size
+
+
+def pieces(source: Bytes, packed: bool = True) -> Iterator[Piece]:
+    """(begin, end, record, None) of what is valid, (begin, end, None, reason) of gaps.
+
+    Those inside a gzip member have its begin and end.  One that breaks off ends
+    where the next valid one begins.
+    """
     at = 0
     while at < source.size:
         try:
-            records, end = records_at(source, at)
-            yield at, end, records, None
-            at = end
-            continue
+            found, end = opened(source, at, packed)
         except Damaged as e:
-            reason = str(e)
-        begin, records, end = at, [], source.size
-        nexts = {p: source.find(p, at + 1) for p in (GZIP, b"WARC/1.")}
-        at = source.size
-        while any(v >= 0 for v in nexts.values()):
-            pattern = min((p for p, v in nexts.items() if v >= 0), key=lambda p: nexts[p])
-            place = nexts[pattern]
-            try:
-                records, end = records_at(source, place)
-                at = place
-                break
-            except Damaged:
-                nexts[pattern] = source.find(pattern, place + 1)
-        yield begin, at, [], reason
-        if records:
-            yield at, end, records, None
-            at = end
+            begin, at = at, following(source, at + 1, packed)
+            yield begin, at, None, str(e)
+            continue
+        if end is None:
+            end = following(source, at + 1, packed)
+        empty = True
+        for one, why in found:
+            empty = False
+            yield at, end, one, why
+        if empty:
+            yield at, end, None, None
+        at = end
+
+
+def salvage(source: Bytes) -> Iterator[tuple[int, int, list[Record], str | None]]:
+    """(begin, end, records, reasons for gaps or None) of each record, gzip member and gap."""
+    for (begin, end), same in itertools.groupby(pieces(source), key=lambda p: p[:2]):
+        held = list(same)
+        yield begin, end, [p[2] for p in held if p[2]], "; ".join(p[3] for p in held if p[3]) or None
 
 
 FIELDS = "file string, begin bigint, end bigint, headers map<string,string>, payload binary, damage string"
@@ -316,7 +368,7 @@ def read_warc(spark: SparkSession, path: str, whole: bool = False) -> DataFrame:
 
     Columns: ``file``, ``begin`` and ``end`` (bytes in the file), ``headers`` (names
     in lower case) and ``payload`` of a record, ``damage`` (why) of a gap, whose
-    other columns are null.  Files are listed by Spark and each is streamed by
+    other columns are null; what a gzip member holds has the member's place.  Files are listed by Spark and each is streamed by
     one task; a record must fit into memory.  No file gives an empty table.  With
     ``whole`` a gap is an error.
     """
@@ -332,12 +384,12 @@ def read_warc(spark: SparkSession, path: str, whole: bool = False) -> DataFrame:
                 own, place = filesystem(name)
                 with own.open_input_file(place) as file:
                     rows, size = [], 0
-                    for begin, end, records, damage in salvage(Bytes(file, file.size())):
+                    for begin, end, one, damage in pieces(Bytes(file, file.size())):
                         if damage and whole:
                             raise ValueError(f"{name}: bytes {begin} to {end}: {damage}")
-                        rows += [(name, begin, end, list(r.headers.items()), r.payload, None) for r in records]
+                        rows += [(name, begin, end, list(one.headers.items()), one.payload, None)] if one else []
                         rows += [(name, begin, end, None, None, damage)] if damage else []
-                        size += sum(len(r.payload) for r in records)
+                        size += len(one.payload) if one else 0
                         if size > 1 << 22 or len(rows) > 1000:
                             yield batch_of(rows)
                             rows, size = [], 0

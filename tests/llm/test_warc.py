@@ -1,7 +1,9 @@
 import gzip
 import io
+import itertools
 import os
 import random
+import zlib
 
 import pytest
 from pyspark.sql import functions as F
@@ -140,3 +142,43 @@ def test_report_fails_if_a_page_cannot_be_read(spark, tmp_path, monkeypatch):
     monkeypatch.setattr(warc, "write_warc", damaged)
     with pytest.raises(Exception, match="bytes [0-9]+ to"):
         warc.archive_report(spark, str(tmp_path)).collect()
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_one_member_of_all_records_loses_the_damaged_one_only(seed):
+    parts = made(seed=seed)
+    hit = random.Random(seed).randrange(1, 11)
+    bad = bytearray(parts[hit])
+    bad[-9] ^= 0xFF
+    alone, after = gzip.compress(b"".join([*parts[:hit], bytes(bad), *parts[hit + 1 :]])), gzip.compress(made(13)[12])
+    ids, gaps = run(alone + after)
+    assert ids == [str(i) for i in range(13) if i != hit]
+    begin = sum(map(len, parts[:hit]))
+    assert [g[:2] for g in gaps] == [(0, len(alone))] and f"bytes {begin} to {begin + len(bad)} of" in gaps[0][2]
+
+
+@pytest.mark.parametrize("follows", [False, True])
+def test_what_precedes_a_cut_or_a_wrong_checksum_is_kept(monkeypatch, follows):
+    parts = made(40)
+    packed, after = gzip.compress(b"".join(parts)), gzip.compress(made(41)[40]) if follows else b""
+    last = ["40"] * follows
+    for size in (1 << 16, 100):
+        monkeypatch.setattr(warc, "PACKED_BYTES", size)
+        for cut in (len(packed) // 2, len(packed) - 4):
+            ids, gaps = run(packed[:cut] + after)
+            held = len(zlib.decompressobj(31).decompress(packed[:cut]))
+            kept = sum(end <= held for end in itertools.accumulate(map(len, parts)))
+            assert kept > 10 and ids == [str(i) for i in range(kept)] + last and [g[:2] for g in gaps] == [(0, cut)]
+        wrong = bytearray(packed)
+        wrong[-6] ^= 0xFF
+        ids, gaps = run(bytes(wrong) + after)
+        assert ids == [str(i) for i in range(40)] + last and len(gaps) == 1 and "member: " in gaps[0][2]
+
+
+def test_records_and_gaps_inside_a_member_through_spark(spark, tmp_path):
+    parts = made(9)
+    bad = [p[:-9] + b"?" + p[-8:] if i in (3, 6) else p for i, p in enumerate(parts)]
+    (tmp_path / "a.warc.gz").write_bytes(gzip.compress(b"".join(bad)))
+    out = read_warc(spark, f"file://{tmp_path}").collect()
+    assert [r.headers["warc-record-id"][10:-1] for r in out if r.headers] == [i for i in "012345678" if i not in "36"]
+    assert sum(r.damage is not None for r in out) == 2
