@@ -1,14 +1,16 @@
 """Cross-entropy difference: how much more a text is like a target than like all texts.
 
-Two n-gram models, of the target rows and of all rows, have one vocabulary (the
-256 bytes of UTF-8), one order (three) and one smoothing, and are matched in
-size: background counts are scaled to the target's total, so that smoothing
-weighs the same in both.  A text's score is the mean over its tokens of the
+Two n-gram models, of the target rows and of all rows, have one vocabulary, one
+order (three) and one smoothing, and are matched in size: background counts are
+scaled to the target's total, so that smoothing weighs the same in both.  A text's score is the mean over its tokens of the
 loss under the target model less the loss under the background; it is negative
 for texts more like the target.
 
-Counts are exact and cover every token of every row.  There are at most 2**24
-trigrams, so the tables are no larger than 64 MB each at any input size.
+Counts are exact and cover every token of every row.  ``score_words``, as the
+query uses it, has word trigrams in stored tables that grow with the corpus;
+words are known by 64-bit hashes.  ``fit`` and ``score`` are a small model of
+bytes that is trained on one table and scores others: it has at most 2**24
+trigrams and does not learn how words follow one another.
 """
 
 from __future__ import annotations
@@ -23,7 +25,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, LongType
 
-from nearmark.llm.common import BLOCK_BYTES, blocks, column, fresh, per_process, text_of, utf8
+from nearmark.llm.common import BASE, BLOCK_BYTES, Words, blocks, column, fresh, mixed, per_process, text_of, utf8
+from nearmark.session import stored
 
 TOKENS = 256
 TRIGRAMS = TOKENS**3
@@ -176,10 +179,130 @@ def score(docs: DataFrame, model: Model, text: str = "text", keep: tuple[str, ..
     return out.withColumn(difference, F.col(ours) - F.col(theirs))
 
 
+# Words that no text has: two before a text and one after it.
+FIRST, SECOND, END = np.array([0x51ED270B, 0x2545F491, 0x6C62272E], np.uint64) * np.uint64(BASE)
+# Bytes of texts whose n-grams are counted together before they are sent.
+COUNTED_BYTES = 1 << 23
+BIGRAMS = "bc bigint, b bigint, c bigint, target bigint, background bigint"
+WORD_TRIGRAMS = "ab bigint, bc bigint, target bigint, background bigint"
+
+
+def pair(first: np.ndarray, second: np.ndarray) -> np.ndarray:
+    return mixed(first * np.uint64(BASE) + mixed(second))
+
+
+def word_blocks(data: np.ndarray, offsets: np.ndarray, words: Words) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Word hashes of some texts with the words around them, and the number of each one's text."""
+    for first, last in blocks(offsets, COUNTED_BYTES):
+        hashes, at = words.words(data, offsets[first : last + 1])
+        n = np.diff(at)
+        ends = np.cumsum(n + 3)
+        row = np.repeat(np.arange(last - first), n + 3)
+        out = np.empty(len(row), np.uint64)
+        out[ends - n - 3], out[ends - n - 2], out[ends - 1] = FIRST, SECOND, END
+        out[np.arange(len(hashes)) + np.repeat(3 * np.arange(last - first) + 2, n)] = hashes
+        yield out, row + first
+
+
+def long(h: np.ndarray) -> pa.Array:
+    return pa.array(h.view(np.int64))
+
+
+def word_counts(docs: DataFrame, target: Column, text: str, order: int) -> DataFrame:
+    """The word bigrams or trigrams of all rows, with their counts in the target and in all."""
+    picked = docs.select(text_of(docs, text).alias("text"), F.coalesce(target, F.lit(False)).alias("target"))
+
+    def count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words = Words()
+        for batch in batches:
+            data, offsets = utf8(batch.column(0))
+            wanted = np.asarray(batch.column(1).to_pylist(), bool)
+            for w, row in word_blocks(data, offsets, words):
+                # The last of a text's n-grams begins where it has ``order`` words left.
+                inner = row[: 1 - order] == row[order - 1 :]
+                two = pair(w[:-1], w[1:])
+                key = two if order == 2 else pair(two[:-1], two[1:])
+                _, where, which = np.unique(key[inner], return_index=True, return_inverse=True)
+                at = np.flatnonzero(inner)
+                counts = [np.bincount(which, x, len(where)).astype(np.int64) for x in (wanted[row[at]], None)]
+                at = at[where]
+                keys = {"bc": two[at], "b": w[at], "c": w[at + 1]} if order == 2 else {"ab": two[at], "bc": two[at + 1]}
+                yield pa.record_batch({k: long(v) for k, v in keys.items()} | {"target": pa.array(counts[0]), "background": pa.array(counts[1])})
+
+    counted = picked.mapInArrow(count, BIGRAMS if order == 2 else WORD_TRIGRAMS)
+    keys = ["bc", "b", "c"] if order == 2 else ["ab", "bc"]
+    return counted.groupBy(*keys).agg(F.sum("target").alias("target"), F.sum("background").alias("background"))
+
+
+def word_losses(docs: DataFrame, target: Column, text: str = "text", smoothing: float = SMOOTHING) -> DataFrame:
+    """Every word trigram of ``docs`` (``ab``, ``bc``) with its last word's loss under both models.
+
+    Counts of each order are stored tables and so are the losses; they grow with
+    the corpus and none of their rows passes through the driver.
+    """
+    k = F.lit(smoothing)
+    three = stored(word_counts(docs, target, text, 3), "trigrams")
+    two = stored(word_counts(docs, target, text, 2), "bigrams")
+    one = stored(two.groupBy("c").agg(F.sum("target").alias("target1"), F.sum("background").alias("background1")), "words")
+    total = one.where(F.col("c") != F.lit(int(SECOND.view(np.int64)))).agg(F.sum("target1"), F.sum("background1"), F.count(F.lit(1))).first()
+    ours, all_, kinds = total[0] or 0, total[1] or 0, total[2]
+    scale = {"target": 1.0, "background": ours / all_ if all_ else 1.0}
+    # A word stands before another as often as it occurs.
+    before = one.select(F.col("c").alias("b"), F.col("target1").alias("target0"), F.col("background1").alias("background0"))
+    lower = two.join(one, "c").join(before, "b", "left")
+
+    def second(kind: str) -> Column:
+        p1 = (F.col(f"{kind}1") * scale[kind] + 1) / (ours + kinds + 1)
+        return (F.col(kind) * scale[kind] + k * p1) / (F.coalesce(F.col(f"{kind}0"), F.lit(0)) * scale[kind] + k)
+
+    lower = stored(lower.select("bc", *[F.col(x).alias(f"{x}_n") for x in scale], *[second(x).alias(f"{x}_p") for x in scale]), "lower")
+    context = lower.select(F.col("bc").alias("ab"), *[F.col(f"{x}_n").alias(f"{x}_before") for x in scale])
+    joined = three.join(lower.drop(*[f"{x}_n" for x in scale]), "bc").join(context, "ab")
+    loss = lambda x: -F.ln((F.col(x) * scale[x] + k * F.col(f"{x}_p")) / (F.col(f"{x}_before") * scale[x] + k))
+    return stored(joined.select("ab", "bc", *[loss(x).alias(f"{x}_loss") for x in scale]), "losses")
+
+
+def score_words(docs: DataFrame, target: Column, text: str = "text", keep: tuple[str, ...] | None = None, smoothing: float = SMOOTHING) -> DataFrame:
+    """Rows with ``n_tokens`` (words and the end), ``target_loss``, ``background_loss`` and ``score``, under models of word trigrams.
+
+    ``docs`` are the background, those where ``target`` is true the target.
+    Whole texts count; each text's distinct trigrams meet the stored losses by an
+    equi-join whose hot keys adaptive execution splits.  Equal texts get equal scores.
+    """
+    names = docs.columns if keep is None else list(keep)
+    base = docs.select(*[column(docs, c) for c in names])
+    tokens, ours, theirs, difference, hashed, size = fresh(base, "n_tokens", "target_loss", "background_loss", "score", "_text", "_size")
+    body = text_of(docs, text)
+    losses = word_losses(docs, target, text, smoothing)
+
+    def grams(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words = Words()
+        for batch in batches:
+            data, offsets = utf8(batch.column(0))
+            for w, row in word_blocks(data, offsets, words):
+                at = np.flatnonzero(row[:-2] == row[2:])
+                two = pair(w[:-1], w[1:])
+                key = pair(pair(two[at], two[at + 1]), row[at].astype(np.uint64))
+                _, where, times = np.unique(key, return_index=True, return_counts=True)
+                at = at[where]
+                own = pa.array(row[at])
+                yield pa.record_batch({"h": batch.column(1).take(own), "n": batch.column(2).take(own), "ab": long(two[at]), "bc": long(two[at + 1]), "times": pa.array(times.astype(np.int32))})
+
+    keyed = docs.select(body.alias("text"), F.xxhash64(body).alias("h"), F.octet_length(body).alias("n"))
+    met = keyed.mapInArrow(grams, "h bigint, n int, ab bigint, bc bigint, times int").join(losses, ["ab", "bc"])
+    # Equal texts add up to the same mean.
+    sums = met.groupBy("h", "n").agg(*[(F.sum(F.col(f"{x}_loss") * F.col("times")) / F.sum("times")).alias(f"{x}_mean") for x in ("target", "background")])
+    count = F.size(F.array_remove(F.split(body, r"[\x20\x09-\x0D]+"), "")).cast("bigint") + 1
+    rows = docs.select(*[column(docs, c) for c in names], count.alias(tokens), F.xxhash64(body).alias(hashed), F.octet_length(body).alias(size))
+    means = stored(sums.toDF(hashed, size, ours, theirs), "means")
+    out = rows.join(means, [hashed, size]).withColumn(difference, F.col(ours) - F.col(theirs))
+    return out.select(*[column(out, c) for c in (*names, tokens, ours, theirs, difference)])
+
+
 def score_report(spark, folder: str) -> DataFrame:
     """``op4``: all documents by their likeness to those labelled as of quality."""
     docs = spark.read.parquet(f"{folder}/documents.parquet").select("doc_id", "text")
     labels = spark.read.parquet(f"{folder}/labels.parquet").groupBy("doc_id").agg(F.max("quality").alias("quality"))
     # Labels grow with the documents, so they are met by sorting at every size and never broadcast.
-    model = fit(docs.join(labels.hint("merge"), "doc_id", "left"), F.col("quality") == 1)
-    return score(docs, model, keep=("doc_id",))
+    labelled = stored(docs.join(labels.hint("merge"), "doc_id", "left").withColumn("wanted", F.coalesce(F.col("quality") == 1, F.lit(False))), "labelled")
+    return score_words(labelled, F.col("wanted"), keep=("doc_id",))

@@ -1,12 +1,13 @@
 import math
 import random
+import re
 from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
 
 from nearmark.llm import common, crossent
-from nearmark.llm.crossent import fit, score, score_report
+from nearmark.llm.crossent import fit, score, score_report, score_words, word_losses
 
 
 def tokens(text):
@@ -72,3 +73,64 @@ def test_good_texts_score_lower(spark):
     rows = [(r.score, labels[r.doc_id]) for r in score_report(spark, folder).collect() if r.doc_id in labels]
     good, bad = [s for s, q in rows if q], [s for s, q in rows if not q]
     assert sum(g < b for g in good for b in bad) / (len(good) * len(bad)) > 0.9
+
+
+def plain_word_losses(texts, size, kinds, scale=1.0, k=crossent.SMOOTHING):
+    three, two, one = Counter(), Counter(), Counter()
+    for t in texts:
+        seq = word_tokens(t)
+        three.update(zip(seq, seq[1:], seq[2:]))
+        two.update(zip(seq, seq[1:]))
+        one.update(seq[1:])
+
+    def loss(a, b, c):
+        p1 = (one[c] * scale + 1) / (size + kinds + 1)
+        p2 = (two[b, c] * scale + k * p1) / (one[b] * scale + k)
+        return -math.log((three[a, b, c] * scale + k * p2) / (two[a, b] * scale + k))
+
+    return loss
+
+
+def word_tokens(text):
+    return [1, 2, *re.findall(r"[^\x20\x09-\x0D]+", text or ""), 3]
+
+
+@pytest.mark.parametrize("block", [1 << 23, 40])
+def test_word_trigrams_same_as_plain_models(spark, documents, monkeypatch, block):
+    monkeypatch.setattr(crossent, "COUNTED_BYTES", block)
+    rng = random.Random(1)
+    texts = [rng.choice(" \n").join(rng.choice(["a", "of", "é日", "the", "x" * 30]) for _ in range(rng.randrange(0, 60))) for _ in range(60)] + [None, "", " \t ", "of the " * 40, "of the " * 40, "\xa0 one\u2028two"]
+    df = documents(list(enumerate(texts)), ["score", "n_tokens", "_text", "h", "target_mean"]).repartition(3)
+    n, total = (sum(len(word_tokens(t)) - 2 for i, t in enumerate(texts) if i % m == 0) for m in (3, 1))
+    kinds = len({w for t in texts for w in word_tokens(t)[2:]})
+    ours = plain_word_losses([t for i, t in enumerate(texts) if i % 3 == 0], n, kinds)
+    theirs = plain_word_losses(texts, n, kinds, n / total)
+    rows = score_words(df, F.col("doc_id") % 3 == 0).collect()
+    assert sorted(r["doc_id"] for r in rows) == list(range(len(texts)))
+    for r in rows:
+        seq = word_tokens(r["text"])
+        grams = list(zip(seq, seq[1:], seq[2:]))
+        assert r["_n_tokens"] == len(grams) and r["score"] == "kept"
+        assert r["target_loss"] == pytest.approx(sum(ours(*g) for g in grams) / len(grams))
+        assert r["background_loss"] == pytest.approx(sum(theirs(*g) for g in grams) / len(grams))
+        assert r["_score"] == pytest.approx(r["target_loss"] - r["background_loss"], abs=1e-9)
+    assert score_words(df.where("false"), F.lit(True)).count() == 0
+
+
+def test_model_grows_with_word_order(spark, documents):
+    words = [f"w{i}" for i in range(20)]
+    rng = random.Random(3)
+    few, many = ([(i, " ".join(rng.choices(words, k=50))) for i in range(n)] for n in (10, 40))
+    # The same bytes meet in both, but more words follow one another.
+    assert word_losses(documents(many), F.lit(True)).count() > 2 * word_losses(documents(few), F.lit(True)).count()
+
+
+def test_word_order_tells_texts_of_equal_words(spark, tmp_path):
+    rng = random.Random(5)
+    kinds = ["red fox runs home", "home red runs fox"]
+    rows = [(i, " ".join(kinds[i % 2] for _ in range(rng.randrange(3, 9)))) for i in range(80)]
+    spark.createDataFrame(rows, "doc_id bigint, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(i, (i + 1) % 2) for i in range(40)], "doc_id bigint, quality int").write.parquet(f"{tmp_path}/labels.parquet")
+    out = {r.doc_id: r for r in score_report(spark, str(tmp_path)).collect()}
+    assert all(out[i].n_tokens == len(t.split()) + 1 for i, t in rows)
+    assert max(out[i].score for i in range(0, 80, 2)) < min(out[i].score for i in range(1, 80, 2))
