@@ -6,9 +6,12 @@ table; the rows of all subwords of the whole text are averaged and a linear
 softmax gives the languages' probabilities.  Both are trained together by
 stochastic gradient descent in NumPy on a bounded sample of labelled rows.
 A temperature, fitted on a part of the sample that training never saw, makes
-the probabilities honest; a text whose best one is below ``LEAST_SCORE``, hence
-more likely wrong than right, is rejected.  Texts of two languages come out near
-one half and stay; texts of subwords never seen come out near chance and go.
+the probabilities honest.  They tell learned languages apart and not those from
+others, so rejection looks at the subwords: one is known in a language that has
+it more often than a hash has a bucket.  A text goes if the share of its subwords
+known in its predicted language is below a floor, midway between that of random
+subwords and a low quantile of the calibration rows that are predicted rightly.
+The floor does not depend on how many languages are learned.
 """
 
 from __future__ import annotations
@@ -21,7 +24,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType, StringType
+from pyspark.sql.types import BooleanType, DoubleType, StringType
 
 from nearmark.llm.common import column, fresh, text_of, utf8
 
@@ -33,7 +36,8 @@ SAMPLE_ROWS, SAMPLE_LANGUAGE = 2400, 600
 EPOCHS, BATCH, RATE = 20, 32, 1.0
 # A fifth of the sample calibrates.
 CALIBRATE = 5
-LEAST_SCORE = 0.4
+# Of the calibration rows, as many may have a smaller share of known subwords.
+LEAST_QUANTILE = 0.01
 UNKNOWN = "und"
 # Texts counted at once, and bytes of a long text worked on at once.
 COUNTED, SLICE = 16, 1 << 20
@@ -95,6 +99,15 @@ class Model:
     weights: np.ndarray
     bias: np.ndarray
     temperature: float = 1.0
+    # Of each bucket and language; the least share of a text that is known.
+    known: np.ndarray | None = None
+    floor: float = 0.0
+
+    def shares(self, counts: np.ndarray, at: np.ndarray) -> np.ndarray:
+        """The share of each text's subwords that are known in the language ``at`` it."""
+        if self.known is None:
+            return np.ones(len(counts))
+        return (counts @ self.known)[np.arange(len(counts)), at] / np.maximum(counts.sum(axis=1), 1)
 
     def probabilities(self, counts: np.ndarray) -> np.ndarray:
         if not self.languages:
@@ -148,9 +161,23 @@ def train(rows: list[tuple[np.ndarray, np.ndarray, str]], seed: int = 0) -> Mode
             table[used] -= rate * step
     model = Model(languages, (table @ top).astype(np.float64) * scale, bias.astype(np.float64))
     model.temperature = temperature(model, rows, shares, label, np.flatnonzero(held))
+    model.known = np.zeros((BUCKETS, len(languages)), np.float32)
+    for i in fit:
+        model.known[rows[i][0], label[i]] += shares[i]
+    model.known = (model.known * BUCKETS >= np.bincount(label[fit], minlength=len(languages))).astype(np.float32) * (model.known > 0)
+    model.floor = floor(model, rows, shares, label, np.flatnonzero(held))
     return model
 
 
+def floor(model: Model, rows, shares, label: np.ndarray, held: np.ndarray) -> float:
+    """Midway between random subwords and the lowest of the held rows that are predicted rightly."""
+    right = [i for i in held if (model.weights[rows[i][0]].T @ shares[i] + model.bias).argmax() == label[i]]
+    if not right:
+        return 0.0
+    least = np.quantile([model.known[rows[i][0], label[i]] @ shares[i] for i in right], LEAST_QUANTILE)
+    return float(least + model.known.mean(axis=0).max()) / 2
+
+
 def temperature(model: Model, rows, shares, label: np.ndarray, held: np.ndarray) -> float:
     """The divisor of the scores that makes the held rows' labels most likely."""
     if not len(held):
@@ -225,7 +252,7 @@ def identify(docs: DataFrame, model: Model, text: str = "text", keep: tuple[str,
     source = text_of(docs, text)
     picked = docs.select(*[column(docs, c) for c in names], source.alias(body), source.rlike(r"\p{L}").alias(letters))
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    schema = base.schema.add(pred, StringType()).add(score, DoubleType())
+    schema = base.schema.add(pred, StringType()).add(score, DoubleType()).add(rejected, BooleanType())
 
     def predict(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, subwords = shared.value, Subwords()
@@ -234,16 +261,18 @@ def identify(docs: DataFrame, model: Model, text: str = "text", keep: tuple[str,
             data, offsets = utf8(batch.column(batch.schema.get_field_index(body)))
             good = np.asarray(batch.column(batch.schema.get_field_index(letters)).to_pylist(), bool)
             best, at = np.zeros(batch.num_rows), np.full(batch.num_rows, len(known.languages))
+            gone = np.full(batch.num_rows, not known.languages)
             for s in range(0, batch.num_rows if known.languages else 0, COUNTED):
-                p = known.probabilities(subwords.counts(data, offsets[s : s + COUNTED + 1]))
+                counts = subwords.counts(data, offsets[s : s + COUNTED + 1])
+                p = known.probabilities(counts)
                 at[s : s + COUNTED], best[s : s + COUNTED] = p.argmax(axis=1), p.max(axis=1)
-            at[~good], best[~good] = len(known.languages), 0.0
+                gone[s : s + COUNTED] = known.shares(counts, at[s : s + COUNTED]) < known.floor
+            at[~good], best[~good], gone[~good] = len(known.languages), 0.0, True
             rest = batch.drop_columns([body, letters])
-            yield rest.append_column(pred, pa.array(languages[at].tolist(), pa.string())).append_column(score, pa.array(best))
+            rest = rest.append_column(pred, pa.array(languages[at].tolist(), pa.string())).append_column(score, pa.array(best))
+            yield rest.append_column(rejected, pa.array(gone))
 
-    out = picked.mapInArrow(predict, schema)
-    out = out.withColumn(rejected, (F.col(pred) == UNKNOWN) & (F.col(score) == 0) | (F.col(score) < LEAST_SCORE))
-    return out, {"lang_pred": pred, "score": score, "rejected": rejected}
+    return picked.mapInArrow(predict, schema), {"lang_pred": pred, "score": score, "rejected": rejected}
 
 
 def language_report(spark, folder: str) -> DataFrame:

@@ -68,3 +68,20 @@ def test_long_texts_count_as_one(monkeypatch):
     whole = subwords.counts(data, offsets)
     monkeypatch.setattr(language, "SLICE", 997)
     assert np.abs(subwords.counts(data, offsets) - whole).sum() < 0.01 * whole.sum()
+
+
+FOUR = WORDS | {"de": "und der nicht mit sich auch werden über".split(), "es": "los que para una pero más está muy".split()}
+FOREIGN = ["szczęście jest zawsze możliwe gdzie ludzie chcą żyć", "εδώ είναι μια ξένη γλώσσα που δεν ξέρει κανείς", "это совсем другой язык который никто не учил", "kaikki ihmiset syntyvät vapaina ja tasavertaisina"]
+
+
+@pytest.mark.parametrize("languages", [1, 2, 3, 4])
+def test_foreign_and_random_texts_are_rejected(spark, documents, languages):
+    rng = random.Random(4)
+    known = list(FOUR)[:languages]
+    rows = [(i, " ".join(rng.choice(FOUR[known[i % languages]]) for _ in range(rng.randrange(5, 40))), known[i % languages]) for i in range(120 * languages)]
+    learned = fit(documents(rows))
+    junk = ["".join(rng.choice("abcdefghijklmnopqrstuvwxyz ") for _ in range(300)) for _ in range(40)]
+    out, _ = identify(documents([*rows, *((10_000 + i, t) for i, t in enumerate([*FOREIGN, *junk]))]), learned)
+    gone = {r.doc_id: r.rejected for r in out.collect()}
+    assert all(v for k, v in gone.items() if k >= 10_000)
+    assert sum(v for k, v in gone.items() if k < 10_000) <= 0.02 * len(rows)
