@@ -1,6 +1,6 @@
 """The registered queries of this subpackage, and their SQL where it can say them."""
 
-from nearmark.llm import centroids, crossent, fingerprint, language, mixing, neardup, packing, secretscan, tokencount, vectors, warc
+from nearmark.llm import centroids, crossent, fingerprint, language, lexical, mixing, neardup, packing, secretscan, tokencount, vectors, warc
 
 QUERIES = {
     "op1_fingerprints": fingerprint.fingerprint_report,
@@ -13,6 +13,7 @@ QUERIES = {
     "op8_vectors": vectors.vector_report,
     "op9_secrets": secretscan.secret_report,
     "op10_packing": packing.packing_report,
+    "op11_ranked": lexical.ranked_report,
     "op13_clusters": centroids.cluster_report,
 }
 
@@ -21,5 +22,6 @@ ORACLES = {
     "op6_neardup": neardup.NEAR_SQL,
     "op7_mixing": mixing.MIX_SQL,
     "op8_vectors": vectors.VECTOR_SQL,
+    "op11_ranked": lexical.RANKED_SQL,
     "op13_clusters": centroids.CLUSTER_SQL,
 }
