@@ -1,6 +1,6 @@
 """The registered queries of this subpackage, and their SQL where it can say them."""
 
-from nearmark.llm import centroids, crossent, fingerprint, language, lexical, mixing, neardup, packing, secretscan, tokencount, vectors, warc
+from nearmark.llm import centroids, crossent, fingerprint, language, lexical, mixing, neardup, packing, pii, secretscan, tokencount, vectors, warc
 
 QUERIES = {
     "op1_fingerprints": fingerprint.fingerprint_report,
@@ -14,6 +14,7 @@ QUERIES = {
     "op9_secrets": secretscan.secret_report,
     "op10_packing": packing.packing_report,
     "op11_ranked": lexical.ranked_report,
+    "op12_personal": pii.personal_report,
     "op13_clusters": centroids.cluster_report,
 }
 
