@@ -29,14 +29,13 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, BinaryType, IntegerType, LongType, StringType, StructType
 from pyspark.sql.window import Window
 
-from nearmark.llm.common import column, fresh, text_of
+from nearmark.llm.common import blocks, column, fresh, text_of, utf8
 from nearmark.session import stored
 
 # Fixed values of the ranking.
 SCALE, LENGTH_PART, FLAT = 1_000_000_000, 50, 50
 TOP = 50
-TERM = r"[0-9A-Za-z\x{80}-\x{10FFFF}]+"
-# Documents and bytes of text of a block; a longer text is a block of its own.
+# Documents of a block and bytes of its distinct terms, about; a longer text is a block of its own.
 BLOCK_DOCS, BLOCK_BYTES = 1024, 4 << 20
 # Bytes of queries searched for at once.
 QUERY_BYTES = 4 << 20
@@ -95,23 +94,22 @@ class Block:
         self.m, self.bytes = m, 0
         self.keys: list[pa.Array] = []
         self.terms: list[bytes] = []
-        self.tf: list[int] = []
+        self.tf: list[np.ndarray] = []
         self.sizes: list[int] = []
 
-    def add(self, key: pa.Array, text: bytes) -> None:
-        found = terms_of(text)
+    def add(self, key: pa.Array, terms: list[bytes], tf: np.ndarray) -> None:
         self.keys.append(key)
-        self.terms += found.keys()
-        self.tf += found.values()
-        self.sizes.append(len(found))
-        self.bytes += len(text)
+        self.terms += terms
+        self.tf.append(tf)
+        self.sizes.append(len(terms))
+        self.bytes += 8 * len(terms)
 
     def full(self) -> bool:
         return len(self.keys) >= BLOCK_DOCS or self.bytes >= BLOCK_BYTES
 
     def row(self, number: int, names: list[str]) -> pa.RecordBatch:
         coded = pa.array(self.terms, pa.binary()).dictionary_encode()
-        code, tf = coded.indices.to_numpy(), np.asarray(self.tf, np.int64)
+        code, tf = coded.indices.to_numpy(), np.concatenate(self.tf).astype(np.int64)
         doc = np.repeat(np.arange(len(self.sizes)), self.sizes)
         by = np.lexsort((doc, -tf, code))
         code, tf, doc = code[by], tf[by], doc[by]
@@ -137,6 +135,34 @@ class Block:
 NAMES = ["m", "block", "keys", "terms", "term_docs", "term_most", "term_runs", "run_tf", "run_docs", "postings"]
 
 
+def listed(docs: DataFrame, key: str, text: str) -> DataFrame:
+    """``key, n, terms, tf, place`` of each row with a term; a stored table.
+
+    ``terms`` are the distinct ones with spaces between, ``tf`` how often each
+    occurs as 32-bit numbers; ``place`` tells copies of a row apart.
+    """
+    rows = docs.select(column(docs, key).alias("key"), text_of(docs, text).alias("body"))
+
+    def split(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            bodies = batch.column(1).cast(pa.large_binary())
+            _, offsets = utf8(bodies)
+            for s, e in blocks(offsets):
+                found = [terms_of(b.as_py()) for b in bodies.slice(s, e - s)]
+                keep = [i for i, f in enumerate(found) if f]
+                yield pa.record_batch(
+                    {
+                        "key": batch.column(0).slice(s, e - s).take(pa.array(keep, pa.int64())),
+                        "n": pa.array([found[i].total() for i in keep], pa.int64()),
+                        "terms": pa.array([b" ".join(found[i]) for i in keep], pa.binary()).cast(pa.string()),
+                        "tf": pa.array([np.fromiter(found[i].values(), "<i4").tobytes() for i in keep], pa.binary()),
+                    }
+                )
+
+    schema = rows.select("key").schema.add("n", LongType()).add("terms", StringType()).add("tf", BinaryType())
+    return stored(rows.mapInArrow(split, schema).withColumn("place", F.monotonically_increasing_id()), "lexical-texts")
+
+
 def build(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Index:
     """The index of all rows of ``docs`` that have a term; a stored table.
 
@@ -144,36 +170,38 @@ def build(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Index:
     beyond ASCII, A to Z in lower case; null and empty texts have none.  A
     repeated row is a document of its own.  Other columns are ignored.
     """
-    rows = docs.select(column(docs, key).alias("key"), text_of(docs, text).alias("body"))
-    # Counted twice rather than stored, which would write every text.
-    rows = rows.withColumn("n", F.regexp_count("body", F.lit(TERM)).cast("bigint")).where("n > 0")
-    total = rows.agg(F.count(F.lit(1)).alias("docs"), F.sum("n").alias("terms")).first()
+    texts = listed(docs, key, text)
+    total = texts.agg(F.count(F.lit(1)).alias("docs"), F.sum("n").alias("terms")).first()
     documents, terms = total["docs"], total["terms"] or 1
-    # Ranges of (m, key) keep strata together and cut large ones; copies of a row are told apart by their place.
-    placed = rows.select("key", "body", F.expr(f"{100 - LENGTH_PART}L + ({LENGTH_PART}L * n * {documents}L) div {terms}L").alias("m"))
-    placed = placed.withColumn("place", F.monotonically_increasing_id())
-    dealt = placed.repartitionByRange("m", "key", "place").sortWithinPartitions("m", "key")
+    m = F.expr(f"{100 - LENGTH_PART}L + ({LENGTH_PART}L * n * {documents}L) div {terms}L").alias("m")
+    placed = texts.select("key", "terms", "tf", m, "place")
+    # Strata of more than a block are dealt in parts; there are fewer such strata than blocks.
+    need = F.greatest(F.count(F.lit(1)) / BLOCK_DOCS, F.sum(2 * F.octet_length("tf").cast("bigint")) / BLOCK_BYTES)
+    large = placed.groupBy("m").agg(F.ceil(need).cast("bigint").alias("parts")).where("parts > 1")
+    part = F.pmod(F.xxhash64("place"), F.coalesce("parts", F.lit(1).cast("bigint"))).alias("part")
+    dealt = placed.join(large, "m", "left").select("m", part, "key", "terms", "tf")
+    dealt = dealt.repartition("m", "part").sortWithinPartitions("m", "part", "key")
 
     def fill(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         number = TaskContext.get().partitionId() << 32
-        block = None
+        block, of = None, None
         for batch in batches:
-            keys, bodies, ms = batch.column(0), batch.column(1).cast(pa.large_binary()), batch.column(2).to_numpy()
-            for i in range(len(ms)):
-                if block is not None and (block.m != ms[i] or block.full()):
+            keys, bodies, tfs = batch.column(2), batch.column(3).cast(pa.large_binary()), batch.column(4)
+            for i, stratum in enumerate(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)):
+                if block is not None and (of != stratum or block.full()):
                     yield block.row(number, NAMES)
                     number, block = number + 1, None
                 if block is None:
-                    block = Block(int(ms[i]))
-                block.add(keys.slice(i, 1), bodies[i].as_py())
+                    block, of = Block(stratum[0]), stratum
+                block.add(keys.slice(i, 1), bodies[i].as_py().split(b" "), np.frombuffer(tfs[i].as_py(), "<i4"))
         if block is not None:
             yield block.row(number, NAMES)
 
     schema = StructType().add("m", LongType()).add("block", LongType())
-    schema = schema.add("keys", ArrayType(rows.schema["key"].dataType)).add("terms", ArrayType(StringType()))
+    schema = schema.add("keys", ArrayType(texts.schema["key"].dataType)).add("terms", ArrayType(StringType()))
     for name in NAMES[4:]:
         schema = schema.add(name, BinaryType())
-    return Index(stored(dealt.select("key", "body", "m").mapInArrow(fill, schema), "lexical"), documents, key)
+    return Index(stored(dealt.mapInArrow(fill, schema), "lexical"), documents, key)
 
 
 class Asked:
