@@ -36,13 +36,13 @@ from nearmark.session import stored
 SCALE, LENGTH_PART, FLAT = 1_000_000_000, 50, 50
 TOP = 50
 # Documents of a block and bytes of its distinct terms, about; a longer text is a block of its own.
-BLOCK_DOCS, BLOCK_BYTES = 1024, 4 << 20
+BLOCK_DOCS, BLOCK_BYTES = 1024, 1 << 20
 # Bytes of queries searched for at once.
 QUERY_BYTES = 4 << 20
 # Blocks that are visited first for each query.
 FIRST_BLOCKS = 4
 # Postings weighed at once.
-POSTINGS = 1 << 20
+POSTINGS = 1 << 18
 
 _LOWER = bytes(range(128)).lower() + bytes(range(128, 256))
 TABLE = bytes(b if b >= 0x80 or bytes([b]).isalnum() else 0x20 for b in _LOWER)
@@ -178,6 +178,8 @@ def build(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Index:
     # Strata of more than a block are dealt in parts; there are fewer such strata than blocks.
     need = F.greatest(F.count(F.lit(1)) / BLOCK_DOCS, F.sum(2 * F.octet_length("tf").cast("bigint")) / BLOCK_BYTES)
     large = placed.groupBy("m").agg(F.ceil(need).cast("bigint").alias("parts")).where("parts > 1")
+    # Stored, so that its size is known and decides whether it is broadcast.
+    large = stored(large, "lexical-strata")
     part = F.pmod(F.xxhash64("place"), F.coalesce("parts", F.lit(1).cast("bigint"))).alias("part")
     dealt = placed.join(large, "m", "left").select("m", part, "key", "terms", "tf")
     dealt = dealt.repartition("m", "part").sortWithinPartitions("m", "part", "key")
