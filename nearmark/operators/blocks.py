@@ -73,18 +73,27 @@ def _groups(table: pa.Table, by: tuple[str, ...]) -> dict:
     return {k: np.asarray(v) for k, v in frame.groupby(keys, sort=False).indices.items()}
 
 
+def _listed(table: pa.Table, by: tuple[str, ...]) -> dict:
+    """Row positions per list named in ``lists`` and per key; vectors are held once."""
+    rows, elements = _lists(table.column("lists"))
+    frame = table.select(list(by)).to_pandas().iloc[rows].reset_index(drop=True)
+    frame.insert(0, "list_id", elements)
+    keys = ["list_id", *by] if by else "list_id"
+    return {k: rows[np.asarray(v)] for k, v in frame.groupby(keys, sort=False).indices.items()}
+
+
 class Queries:
     """A block of queries, prepared once and used against many record blocks."""
 
-    def __init__(self, table: pa.Table, metric: str, by=(), tags=False, step=False, as_of=False):
-        self.metric, self.by = metric, tuple(by)
+    def __init__(self, table: pa.Table, metric: str, by=(), tags=False, step=False, as_of=False, lists=False):
+        self.metric, self.by = metric, ("list_id", *by) if lists else tuple(by)
         self.tags, self.step, self.as_of = tags, step, as_of
         self.ids = _ids(table.column("query_id"))
         self.vectors = matrix(table.column("values"))
         self.norms = lengths(self.vectors) if len(self.ids) else np.empty(0)
         self.odd = ~np.isfinite(self.norms)
         self.k = table.column("top_k").to_numpy().astype(np.int64)
-        self.groups = _groups(table, self.by)
+        self.groups = _listed(table, tuple(by)) if lists else _groups(table, self.by)
         # Distance already known to be enough for each query's k-th neighbour.
         self.bound = np.full(len(self.ids), np.inf)
         if "bound" in table.column_names:
@@ -147,7 +156,7 @@ class Queries:
 class Records:
     """A block of records, prepared once and used against many query blocks."""
 
-    def __init__(self, table: pa.Table, metric: str, by=(), tags=False, step=False, as_of=False):
+    def __init__(self, table: pa.Table, metric: str, by=(), tags=False, step=False, as_of=False, lists=False):
         self.table = table
         self.ids = _ids(table.column("id"))
         self.vectors = matrix(table.column("values"))

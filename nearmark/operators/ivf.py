@@ -7,6 +7,8 @@ every list gives the exact answer.
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 import numpy as np
 import pandas as pd
 import pyarrow as pa
@@ -20,7 +22,7 @@ from pyspark.sql.window import Window
 from nearmark.functions.distance import norm
 from nearmark.functions.scalars import default_lists, default_probes
 from nearmark.operators import blocks
-from nearmark.operators.knn import BROADCAST_BYTES, Match, _collect_within, knn
+from nearmark.operators.knn import BROADCAST_BYTES, Match, _collect_within, knn, neighbour_lists
 from nearmark.schema import COSINE, NEIGHBOUR_COLUMNS, check_metric
 from nearmark.session import stored
 
@@ -119,10 +121,20 @@ def ivf_search(
     **options,
 ) -> DataFrame:
     """Nearest records among each query's ``probes`` nearest lists."""
-    probed = stored(_probe_lists(centroids, queries, metric, probes), "probes")
-    asked = queries.join(probed.select("query_id", "list_id"), "query_id")
-    within = Match(("list_id", *match.by), match.tags, match.step, match.as_of)
-    return knn(_lists_probed(assigned, probed), asked, metric, within, **options)
+    asked = with_lists(queries, centroids, metric, probes)
+    within = replace(match, lists=True)
+    return knn(lists_named(assigned, asked), asked, metric, within, **options)
+
+
+def with_lists(queries: DataFrame, centroids: DataFrame, metric: str, probes: int) -> DataFrame:
+    """Queries with the ``lists`` of their nearest centroids, nearest first; a vector is held once."""
+    near = neighbour_lists(_probe_lists(centroids, queries, metric, probes), "lists")
+    return stored(queries.join(near, "query_id"), "probes")
+
+
+def lists_named(assigned: DataFrame, asked: DataFrame) -> DataFrame:
+    """The corpus without lists that no query names."""
+    return _lists_probed(assigned, asked.select(F.explode("lists").alias("list_id")))
 
 
 def _lists_probed(assigned: DataFrame, probed: DataFrame) -> DataFrame:
@@ -140,8 +152,7 @@ def _lists_probed(assigned: DataFrame, probed: DataFrame) -> DataFrame:
 
 def _probe_lists(centroids: DataFrame, queries: DataFrame, metric: str, probes: int) -> DataFrame:
     centres = centroids.select(F.col("list_id").alias("id"), "values")
-    near = knn(centres, queries.select("query_id", "values", F.lit(probes).alias("top_k")), metric)
-    return near.select("query_id", F.col("id").alias("list_id"), F.col("rank").alias("probe"))
+    return knn(centres, queries.select("query_id", "values", F.lit(probes).alias("top_k")), metric)
 
 
 def probe_sweep(
@@ -152,20 +163,22 @@ def probe_sweep(
     Each query and list is compared once, at the widest setting; every setting
     then merges the lists it probes.
     """
-    probed = stored(_probe_lists(centroids, queries, metric, max(settings)), "probes")
-    asked = queries.join(probed, "query_id")
-    per_list = knn(
-        _lists_probed(assigned, probed),
-        asked.withColumn("query_id", F.struct("query_id", "probe", "top_k")),
-        metric,
-        Match(("list_id",)),
-        **options,
-    )
-    order = Window.partitionBy("probes", "query_id").orderBy("distance", "id")
+    bands = sorted(set(settings))
+    starts = [0, *bands[:-1]]
+    # Queries are known by numbers in here; a query comes once for the lists of each band of settings.
+    asked = stored(with_lists(queries, centroids, metric, bands[-1]).withColumn("_no", F.monotonically_increasing_id()), "sweep")
+    cut = [F.struct(F.lit(i).alias("band"), F.slice("lists", a + 1, b - a).alias("lists")) for i, (a, b) in enumerate(zip(starts, bands, strict=True))]
+    number = F.col("_no") * len(bands) + F.col("_cut.band")
+    split = asked.withColumn("_cut", F.explode(F.array(*cut))).where(F.size("_cut.lists") > 0)
+    split = split.select(number.alias("query_id"), "values", "top_k", F.col("_cut.lists").alias("lists"))
+    found = knn(lists_named(assigned, asked), split, metric, Match(lists=True), **options)
+    found = found.withColumn("_no", F.expr(f"query_id div {len(bands)}L")).withColumn("band", F.col("query_id") % len(bands))
+    reached = F.explode(F.slice(F.array(*map(F.lit, bands)), F.col("band").cast("int") + 1, len(bands)))
+    order = Window.partitionBy("probes", "_no").orderBy("distance", "id")
     return (
-        per_list.select("query_id.*", "id", "distance")
-        .withColumn("probes", F.explode(F.array(*[F.lit(s) for s in sorted(set(settings))])))
-        .where(F.col("probe") <= F.col("probes"))
+        found.drop("query_id")
+        .join(asked.select("_no", "query_id", "top_k"), "_no")
+        .withColumn("probes", reached)
         .withColumn("rank", F.row_number().over(order))
         .where(F.col("rank") <= F.col("top_k"))
         .select("probes", *NEIGHBOUR_COLUMNS)

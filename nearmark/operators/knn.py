@@ -49,18 +49,21 @@ class Match:
 
     ``by``: columns equal on both sides; ``tags``: the record's ``tags`` hold all
     of the query's ``required``; ``step``: record ``step`` <= query ``step``;
-    ``as_of``: ``valid_from <= at < valid_to``.
+    ``as_of``: ``valid_from <= at < valid_to``; ``lists``: the record's
+    ``list_id`` is one of the query's ``lists``, an array without repeats.
     """
 
     by: tuple[str, ...] = ()
     tags: bool = False
     step: bool = False
     as_of: bool = False
+    lists: bool = False
 
     def record_columns(self) -> list[str]:
         cols = ["id", "values", *self.by]
         cols += ["tags"] if self.tags else []
         cols += ["step"] if self.step else []
+        cols += ["list_id"] if self.lists else []
         return cols + (["valid_from", "valid_to"] if self.as_of else [])
 
     def query_columns(self, queries: DataFrame) -> list[str]:
@@ -68,10 +71,11 @@ class Match:
         cols += ["required"] if self.tags else []
         cols += ["step"] if self.step else []
         cols += ["at"] if self.as_of else []
+        cols += ["lists"] if self.lists else []
         return cols + (["bound"] if "bound" in queries.columns else [])
 
     def options(self) -> dict:
-        return {"by": self.by, "tags": self.tags, "step": self.step, "as_of": self.as_of}
+        return {"by": self.by, "tags": self.tags, "step": self.step, "as_of": self.as_of, "lists": self.lists}
 
 
 def knn(
@@ -105,11 +109,15 @@ def knn(
         if side is not None:
             return _merge(_stream_records(r, q, side, metric, match))
     if strategy in ("auto", "records"):
-        side = _collect_within(r, budget, forced=strategy == "records")
+        side = _collect_within(r, budget, forced=strategy == "records", scan=True)
         if side is not None:
             found = _stream_queries(r, q, side, metric, match)
             # With ``by`` a query may come in several rows, one per key it probes.
             return _merge(found) if match.by else found.select(*NEIGHBOUR_COLUMNS)
+    if match.lists:
+        # Each list is a key of its own here, and a query goes to those it names.
+        q = q.withColumn("list_id", F.explode("lists")).drop("lists")
+        match = replace(match, by=("list_id", *match.by), lists=False)
     return _merge(_grid(r, q, metric, match, max(1, block_bytes // (8 * dims))))
 
 
@@ -137,14 +145,32 @@ def _bytes(df: DataFrame) -> Column:
     return size
 
 
-def _collect_within(df: DataFrame, budget: int, forced: bool) -> pa.Table | None:
+def _read_bytes(df: DataFrame) -> int:
+    """Bytes of the files and local rows that ``df`` is made from, as Spark knows them."""
+    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves().iterator()
+    total = 0
+    while leaves.hasNext():
+        total += int(str(leaves.next().stats().sizeInBytes()))
+    return total
+
+
+def _collect_within(df: DataFrame, budget: int, forced: bool, scan: bool = False) -> pa.Table | None:
     """The rows of ``df`` if all they hold stays within ``budget`` bytes.
 
-    The rows are measured where they are; they come to the driver only if they fit.
+    What is read from a few small files is taken at once and measured here.
+    Other rows are measured where they are and come to the driver only if they
+    fit; with ``scan`` they are the corpus itself, which is not read through
+    just to learn that it does not fit.
     """
-    held = df.agg(F.sum(_bytes(df).cast("bigint"))).first()[0] or 0
-    if held <= budget:
-        return df.toArrow()
+    read = _read_bytes(df)
+    if read <= budget // 16:
+        table = df.toArrow()
+        if table.nbytes <= budget:
+            return table
+    elif forced or not scan or read <= 64 * budget:
+        held = df.agg(F.sum(_bytes(df).cast("bigint"))).first()[0] or 0
+        if held <= budget:
+            return df.toArrow()
     if forced:
         raise ValueError(f"the side to broadcast takes over {budget} bytes; use strategy='grid'")
     return None
