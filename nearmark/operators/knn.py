@@ -176,6 +176,24 @@ def _collect_within(df: DataFrame, budget: int, forced: bool, scan: bool = False
     return None
 
 
+def portions(df: DataFrame, key: str, budget: int) -> Iterator[pa.Table]:
+    """All rows of ``df`` in tables that fit the budget each, rows of one key together."""
+    parts = 1
+    while parts:
+        done = 0
+        for p in range(parts):
+            part = df if parts == 1 else df.where(F.pmod(F.xxhash64(key), F.lit(parts)) == p)
+            table = _collect_within(part, budget, forced=False)
+            if table is None and not done:
+                break
+            if table is None:
+                raise ValueError(f"rows of one {key} take over {budget} bytes")
+            done += 1
+            yield table
+        # Too large a first part shows that more parts are needed.
+        parts = 0 if done else 4 * parts
+
+
 def _output(records: DataFrame, queries: DataFrame) -> tuple[T.StructType, pa.DataType, pa.DataType]:
     from pyspark.sql.pandas.types import to_arrow_type
 

@@ -172,6 +172,12 @@ ORACLES: dict[str, str] = {
     "knn_grid": _shown_knn("cosine"),
     "knn_filtered": FILTERED,
     "knn_filtered_postings": FILTERED,
+    "knn_filtered_bitmaps": FILTERED,
+    "tag_bitmaps": f"""WITH {R}, s AS (SELECT DISTINCT list_sort(required) AS need FROM r WHERE required IS NOT NULL)
+SELECT array_to_string(need, ',') AS tags, count(*)::BIGINT AS records FROM s
+JOIN r ON len(list_filter(s.need, lambda x: NOT list_contains(coalesce(r.tags, []), x))) = 0 GROUP BY need""",
+    "knn_pq_rerank": EUCLIDEAN,
+    "knn_pq_recall": "SELECT t::INTEGER AS times, true AS recall_reached FROM (VALUES (4), (40)) v(t)",
     "knn_filtered_deep": f"""WITH {R} SELECT q.id AS query_id, least(100, count(r.id))::BIGINT AS found
 FROM r q LEFT JOIN r ON {ALLOWED} GROUP BY q.id""",
     "knn_stepped": _shown_knn("cosine", on="r.step <= q.step"),
@@ -294,6 +300,9 @@ s AS (SELECT user_id, count(*) AS requests, count(gap) / nullif((max(us) - min(u
 SELECT user_id, requests, {rounded('rate', 8)} AS rate, {rounded('gap_mean', 3)} AS gap_mean,
   {rounded('gap_stddev', 3)} AS gap_stddev, {rounded('gap_change_mean', 3)} AS gap_change_mean FROM s""",
     "knn_damaged": DAMAGED,
+    "knn_balls_euclidean": EUCLIDEAN,
+    "knn_balls_dotproduct": _shown_knn("dotproduct"),
+    "knn_balls_filtered": FILTERED,
     "knn_ivf_every_list": _shown_knn("euclidean"),
     "neighbours_attached": f"""WITH {R}, n AS (SELECT q.id AS query_id, r.id AS id,
   row_number() OVER (PARTITION BY q.id ORDER BY list_distance(q.v, r.v), r.id) AS rank FROM r q JOIN r ON {ALLOWED})

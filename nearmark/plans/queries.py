@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from nearmark.functions import filters, scalars, scoring
 from nearmark.functions.distance import distance, norm
-from nearmark.operators import corpus, flat, ivf, oplog, report, splits
+from nearmark.operators import balls, bitmaps, corpus, flat, ivf, oplog, quantise, report, splits
 from nearmark.operators.knn import Match, attach_neighbours, knn, neighbour_lists, rerank, search
 from nearmark.operators.postings import knn_by_postings
 from nearmark.plans import fixtures as fx
@@ -103,6 +103,47 @@ def knn_filtered_postings(spark, sf_dir):
     return _shown(knn_by_postings(fx.records(spark, sf_dir), queries, EUCLIDEAN))
 
 
+@registered
+def knn_filtered_bitmaps(spark, sf_dir):
+    queries = filters.with_required(fx.queries(spark, sf_dir))
+    rows = bitmaps.numbered(fx.records(spark, sf_dir))
+    return _shown(bitmaps.knn_by_bitmaps(rows, bitmaps.bitmap_index(rows), queries, EUCLIDEAN))
+
+
+@registered
+def tag_bitmaps(spark, sf_dir):
+    """Records that hold each set of tags which some query requires, read off the bitmaps."""
+    queries = filters.with_required(fx.queries(spark, sf_dir))
+    found = bitmaps.matching(bitmaps.bitmap_index(bitmaps.numbered(fx.records(spark, sf_dir))), queries)
+    return found.groupBy(F.array_join("need", ",").alias("tags")).agg(F.sum(F.bitmap_count("bits")).cast("bigint").alias("records"))
+
+
+@registered
+def knn_pq_rerank(spark, sf_dir):
+    """Every record is a candidate, so the answer is exact."""
+    records, queries = fx.records(spark, sf_dir), fx.queries(spark, sf_dir)
+    books = quantise.fit_codebooks(records, EUCLIDEAN)
+    codes = stored(quantise.encode(records.select("id", "values"), books, EUCLIDEAN), "codes")
+    times = -(-records.count() // fx.TOP_K)
+    return _shown(quantise.pq_search(records, codes, books, queries, EUCLIDEAN, times))
+
+
+@registered
+def knn_pq_recall(spark, sf_dir):
+    """Share of true neighbours among four and forty times as many candidates, rounded to yes or no."""
+    records, queries = fx.records(spark, sf_dir), fx.queries(spark, sf_dir)
+    books = quantise.fit_codebooks(records, COSINE, parts=32)
+    codes = stored(quantise.encode(records.select("id", "values"), books, COSINE), "codes")
+    truth = stored(knn(records, queries, COSINE).select("query_id", "id"), "truth")
+    out = None
+    for times in (4, 40):
+        some = quantise.candidates(codes, books, queries, COSINE, times)
+        share = some.join(truth, ["query_id", "id"]).count() / max(1, truth.count())
+        row = spark.range(1).select(F.lit(times).alias("times"), F.lit(share >= 0.9).alias("recall_reached"))
+        out = row if out is None else out.unionByName(row)
+    return out
+
+
 @registered
 def knn_filtered_deep(spark, sf_dir):
     """A top_k beyond the number of matching records returns them all."""
@@ -190,6 +231,29 @@ def neighbours_attached(spark, sf_dir):
     return found.select("query_id", F.size("neighbors").cast("bigint").alias("found"), F.try_element_at("neighbors", F.lit(1)).alias("best"))
 
 
+def _balls(spark, sf_dir, metric):
+    records = fx.records(spark, sf_dir)
+    centroids = stored(ivf.fit_centroids(records, 12, metric, seed=7), "centroids")
+    return balls.build(records, centroids, metric, scratch_path(spark, "balls"))
+
+
+@registered
+def knn_balls_euclidean(spark, sf_dir):
+    return _shown(balls.ball_search(_balls(spark, sf_dir, EUCLIDEAN), fx.queries(spark, sf_dir)))
+
+
+@registered
+def knn_balls_dotproduct(spark, sf_dir):
+    return _shown(balls.ball_search(_balls(spark, sf_dir, DOTPRODUCT), fx.queries(spark, sf_dir)))
+
+
+@registered
+def knn_balls_filtered(spark, sf_dir):
+    """Filters keep some queries below ``top_k``; those read every list."""
+    queries = filters.with_required(fx.queries(spark, sf_dir))
+    return _shown(balls.ball_search(_balls(spark, sf_dir, EUCLIDEAN), queries, Match(tags=True)))
+
+
 @registered
 def dataset_round_trip(spark, sf_dir):
     """A dataset written in its layout, read by name, refused a second writing, and described."""
