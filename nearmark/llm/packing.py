@@ -31,6 +31,8 @@ WINDOW = 4096
 END_ID = 2
 # Remainders held by a task before it packs, and the least kept for later choices.
 POOL, POOL_LEFT = 4096, 1024
+# What may follow a word of plain letters and is split off by the tokenizer.
+MARKS = ".,;:!?|%*&#$+=/)@~^-"
 # Words whose ids a worker remembers, and the longest such word.
 MEMORY_WORDS, WORD_CHARS = 1_200_000, 40
 
@@ -50,7 +52,7 @@ class WordEncoder:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         self.tokenizer = tokenizers.Tokenizer.from_file(path)
         self.known: dict[str, bytes] = {}
-        self.plain = re.compile(r"([A-Za-zß-öø-ÿÀ-ÖØ-Þ]+)([.,;:!?|%*&#$+=/)@~^-]*)")
+        self.letters = re.compile("[A-Za-zß-öø-ÿÀ-ÖØ-Þ]+")
         self.last = np.zeros(self.tokenizer.get_vocab_size(), bool)
         for piece, i in self.tokenizer.get_vocab().items():
             self.last[i] = piece.endswith("</w>")
@@ -72,29 +74,36 @@ class WordEncoder:
             self.known.update(zip(part, map(data.__getitem__, map(slice, [0, *ends], ends)), strict=False))
 
     def _learn(self, words: set[str]) -> None:
-        known, match = self.known, self.plain.fullmatch
-        split = [(w, m[1].lower(), m[2]) for w in words if (m := match(w))]
-        for w in words.difference([w for w, _, _ in split]).union({mark for _, _, mark in split}.difference(known)):
-            known[w] = self.direct(w)
-        self._learn_letters(sorted({letters for _, letters, _ in split}.difference(known)))
-        known.update([(w, known[letters] + known[mark]) for w, letters, mark in split])
+        known, letters, split, odd = self.known, self.letters.fullmatch, [], []
+        for w in words:
+            core = w.rstrip(MARKS)
+            if core.isalpha() if core.isascii() else letters(core):
+                split.append((w, core.lower(), w[len(core) :]))
+            else:
+                odd.append(w)
+        for w in {mark for _, _, mark in split}.union(odd):
+            if w not in known:
+                known[w] = self.direct(w)
+        self._learn_letters(list({core for _, core, _ in split}.difference(known)))
+        known.update([(w, known[core] + known[mark]) for w, core, mark in split])
 
     def ids(self, texts: list[str]) -> list[bytes]:
         """Little-endian 32-bit ids of each text."""
         split = [t.replace("\n", " ").split(" ") for t in texts]
-        words = set().union(*split)
-        if len(words) > MEMORY_WORDS // 2 and len(texts) > 1:
+        unknown = set().union(*split).difference(self.known)
+        if len(unknown) > MEMORY_WORDS // 2 and len(texts) > 1:
             half = len(texts) // 2
             return self.ids(texts[:half]) + self.ids(texts[half:])
-        unknown = words.difference(self.known)
         if len(self.known) + len(unknown) > MEMORY_WORDS:
-            self.known, unknown = {}, words
+            self.known, unknown = {}, set().union(*split)
         long = {w for w in unknown if len(w) > WORD_CHARS}
-        self._learn(unknown - long)
-        known = self.known
-        if long:
-            known = {w: known[w] for w in words - long} | {w: self.direct(w) for w in long}
-        return [b"".join(map(known.__getitem__, own)) for own in split]
+        self._learn(unknown.difference(long) if long else unknown)
+        # Long words are kept for these texts alone.
+        self.known.update((w, self.direct(w)) for w in long)
+        out = [b"".join(map(self.known.__getitem__, own)) for own in split]
+        for w in long:
+            del self.known[w]
+        return out
 
 
 def fill(counts: dict[int, int], room: int, lengths: list[int] | None = None) -> dict[int, int]:
