@@ -6,8 +6,10 @@ subset-sum dynamic program over the pool's lengths, kept as bitsets, finds the
 multiset of lengths that fills the window closest; the bitsets of the steps are
 followed back to how many of each length it takes.
 
-Every task packs the texts of its own partition, so nothing is shuffled.  What
-is left at a task's end, less than can fill windows, is cut into sequences whose
+Every task packs the texts of its own partition.  What is left at a task's end,
+less than a window of ids, is packed with that of other tasks: groups of 256
+tasks meet in one, which leaves less than a window again, and groups of groups
+meet until there is one.  Only what that leaves is cut into sequences whose
 lengths are powers of two, which need no padding.
 """
 
@@ -23,9 +25,11 @@ import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
-from pyspark.sql.types import LongType
+from pyspark.sql import functions as F
+from pyspark.sql.types import BinaryType, LongType
 
 from nearmark.llm.common import column, fresh, per_process, text_of
+from nearmark.session import stored
 
 WINDOW = 4096
 END_ID = 2
@@ -33,6 +37,8 @@ END_ID = 2
 POOL, POOL_LEFT = 4096, 1024
 # What may follow a word of plain letters and is split off by the tokenizer.
 MARKS = ".,;:!?|%*&#$+=/)@~^-"
+# Tasks, or groups of tasks, whose remainders are packed together: less than 4 MB of ids.
+GROUP = 256
 # Words whose ids a worker remembers, and the longest such word.
 MEMORY_WORDS, WORD_CHARS = 1_200_000, 40
 
@@ -198,9 +204,13 @@ class Packer:
                 self._hold(doc, start + room, length - room)
             self._emit(pieces)
 
-    def finish(self) -> None:
+    def rest(self) -> list[tuple[int, int, int]]:
+        """Fill windows while they can be; (document, start, length) of what is left, long ones first."""
         self.pack(0)
-        rest = [self._take(n) for n in sorted(self.held, reverse=True) for _ in range(len(self.held[n]))]
+        return [self._take(n) for n in sorted(self.held, reverse=True) for _ in range(len(self.held[n]))]
+
+    def finish(self) -> None:
+        rest = self.rest()
         total = sum(p[2] for p in rest)
         bit = self.window
         while total:
@@ -229,8 +239,8 @@ def pack(
     ``ids_crc32`` (of its ids as little-endian 32-bit numbers), ``doc_tokens``
     (ids of the document), ``sequence_id`` and ``offset`` there.  Every id lies
     in one piece.  Sequences are full windows or have a power of two of ids; a
-    sequence is a number of the task and one within it, so that reruns over the
-    same partitions agree.  ``window`` is a power of two.
+    sequence is a number of the task or group of tasks and one within it, so that
+    reruns over the same partitions agree.  ``window`` is a power of two.
 
     A null or empty text has the one id ``end``.  Repeated rows are packed each;
     an empty table gives an empty one; names that ``keep`` has already get
@@ -239,42 +249,50 @@ def pack(
     if window & (window - 1):
         raise ValueError("the window is a power of two")
     base = docs.select(*[column(docs, c) for c in keep])
-    body, *names = fresh(base, "_body", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")
+    body, group, ids_left, *names = fresh(base, "_body", "_group", "_ids", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")
     picked = docs.select(*[column(docs, c) for c in keep], text_of(docs, text).alias(body))
     schema = base.schema
     for name in names:
         schema = schema.add(name, LongType())
-    closing = np.asarray([end], "<u4").tobytes()
+    # A piece that is left has its ids and the number of its task instead of a sequence.
+    schema = schema.add(group, LongType()).add(ids_left, BinaryType())
+    closing, own_columns = np.asarray([end], "<u4").tobytes(), list(keep)
+
+    def rows_of(kept: list[pa.Table], values: list[list], group_: int | None, left: list[bytes] | None) -> Iterator[pa.RecordBatch]:
+        if not kept:
+            return
+        table = pa.concat_tables(kept).combine_chunks()
+        for name, value in zip(names, values, strict=True):
+            table = table.append_column(name, pa.array(value, pa.int64()))
+        table = table.append_column(group, pa.array([group_] * len(kept), pa.int64()))
+        table = table.append_column(ids_left, pa.array(left or [None] * len(kept), pa.binary()))
+        yield from table.to_batches()
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = per_process(f"words:{tokenizer}", lambda: WordEncoder(tokenizer))
         packer = Packer(window)
-        task = TaskContext.get().partitionId() << 40
+        number_of_task = TaskContext.get().partitionId()
+        task = number_of_task << 40
         ids: dict[int, bytes] = {}
         kept: dict[int, pa.Table] = {}
         waiting: dict[int, int] = {}
         number = 0
 
+        def piece(doc: int, start: int, length: int) -> memoryview:
+            return memoryview(ids[doc])[4 * start : 4 * (start + length)]
+
         def ready() -> Iterator[pa.RecordBatch]:
             """Rows of the pieces placed so far; documents all placed are forgotten."""
             rows, packer.out = packer.out, []
-            if not rows:
-                return
-            crcs, totals = [], []
-            for doc, start, length, _, _ in rows:
-                own = ids[doc]
-                crcs.append(zlib.crc32(memoryview(own)[4 * start : 4 * (start + length)]))
-                totals.append(len(own) // 4)
-                waiting[doc] -= length
-            docs_ = [r[0] for r in rows]
-            table = pa.concat_tables([kept[d] for d in docs_]).combine_chunks()
+            crcs = [zlib.crc32(piece(*r[:3])) for r in rows]
+            totals = [len(ids[r[0]]) // 4 for r in rows]
             values = [[r[1] for r in rows], [r[2] for r in rows], crcs, totals, [task + r[3] for r in rows], [r[4] for r in rows]]
-            for name, value in zip(names, values, strict=True):
-                table = table.append_column(name, pa.array(value, pa.int64()))
-            for doc in set(docs_):
+            yield from rows_of([kept[r[0]] for r in rows], values, None, None)
+            for doc, _, length, _, _ in rows:
+                waiting[doc] -= length
+            for doc in {r[0] for r in rows}:
                 if not waiting[doc]:
                     del ids[doc], kept[doc], waiting[doc]
-            yield from table.to_batches()
 
         for batch in batches:
             table = pa.table(batch)
@@ -288,10 +306,58 @@ def pack(
                     packer.add(number, waiting[number])
                     number += 1
                 yield from ready()
-        packer.finish()
+        left = packer.rest()
         yield from ready()
-
-    return picked.mapInArrow(run, schema)
+        nothing = [None] * len(left)
+        values = [[p[1] for p in left], [p[2] for p in left], nothing, [len(ids[p[0]]) // 4 for p in left], nothing, list(range(len(left)))]
+        yield from rows_of([kept[p[0]] for p in left], values, number_of_task, [bytes(piece(*p)) for p in left])
+
+    def pack_left(last: bool, level: int):
+        def one(key: tuple, table: pa.Table) -> pa.Table:
+            table = table.sort_by([(group, "ascending"), (names[5], "ascending")])
+            number = key[0].as_py()
+            starts, totals = table.column(names[0]).to_pylist(), table.column(names[3]).to_pylist()
+            ids = table.column(ids_left).to_pylist()
+            rest = table.select(own_columns)
+            packer = Packer(window)
+            for i, own in enumerate(ids):
+                packer.add(i, len(own) // 4)
+            left = [] if last else packer.rest()
+            if last:
+                packer.finish()
+            sequence = (level << 60) + (number << 40)
+            rows = [(i, s, n, sequence + q, o) for i, s, n, q, o in packer.out] + [(*p, None, o) for o, p in enumerate(left)]
+            pieces = [ids[i][4 * s : 4 * (s + n)] for i, s, n, _, _ in rows]
+            out = rest.take(pa.array([r[0] for r in rows], pa.int64()))
+            values = [
+                [starts[r[0]] + r[1] for r in rows],
+                [r[2] for r in rows],
+                [None if r[3] is None else zlib.crc32(p) for r, p in zip(rows, pieces, strict=True)],
+                [totals[r[0]] for r in rows],
+                [r[3] for r in rows],
+                [r[4] for r in rows],
+            ]
+            for name, value in zip(names, values, strict=True):
+                out = out.append_column(name, pa.array(value, pa.int64()))
+            out = out.append_column(group, pa.array([number if r[3] is None else None for r in rows], pa.int64()))
+            return out.append_column(ids_left, pa.array([p if r[3] is None else None for r, p in zip(rows, pieces, strict=True)], pa.binary()))
+
+        return one
+
+    placed = stored(picked.mapInArrow(run, schema), "packed")
+    out, level = placed.where(F.col(group).isNull()), 0
+    most = placed.agg(F.max(group)).first()[0]
+    while most is not None:
+        level, last = level + 1, most < GROUP
+        left = placed.where(F.col(group).isNotNull())
+        more = left.groupBy(F.expr(f"{group} div {GROUP}L")).applyInArrow(pack_left(last, level), schema)
+        if last:
+            out = out.unionByName(more)
+            break
+        placed = stored(more, "packed")
+        out = out.unionByName(placed.where(F.col(group).isNull()))
+        most //= GROUP
+    return out.drop(group, ids_left)
 
 
 def default_tokenizer() -> str:

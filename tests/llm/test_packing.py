@@ -70,3 +70,23 @@ def test_every_id_lies_in_one_piece(spark, documents):
             at += length
         assert at <= window and at & (at - 1) == 0
     assert pack(df.where("false"), default_tokenizer()).count() == 0
+
+
+@pytest.mark.parametrize("group", [256, 5])
+def test_many_small_partitions_fill_windows_together(spark, documents, monkeypatch, group):
+    monkeypatch.setattr("nearmark.llm.packing.GROUP", group)
+    rows = [(i, "a b c d " * (i % 11)) for i in range(400)]
+    df = documents(rows, ["_group", "_ids"]).repartition(200)
+    window = 512
+    pieces = pack(df, default_tokenizer(), window=window, keep=("doc_id", "_group", "_ids")).collect()
+    assert {(p._group, p._ids) for p in pieces} == {("kept", "kept")}
+    sizes = {}
+    for p in pieces:
+        sizes[p.sequence_id] = sizes.get(p.sequence_id, 0) + p.length
+    total = sum(sizes.values())
+    assert total == sum(4 * (i % 11) + 1 for i in range(400))
+    # No task has a window of its own; what all leave is less than one.
+    assert sorted(sizes.values())[::-1] == [window] * (total // window) + [b for b in (256, 128, 64, 32, 16, 8, 4, 2, 1) if total % window & b]
+    assert len({p.doc_id for p in pieces}) == 400
+    # Documents are not shredded: a piece more a window at most.
+    assert len(pieces) <= 400 + total // window + 9
