@@ -36,6 +36,8 @@ from nearmark.session import scratch_path
 VERSION = b"WARC/1.1"
 # A file is closed once it has this many bytes.
 FILE_BYTES = 32 << 20
+# Archives read by a task, once there are more than enough tasks.
+TASK_BYTES = 256 << 20
 # Payloads of fewer bytes are always written out.
 REVISIT_BYTES = 100
 DATE = "1970-01-01T00:00:00Z"
@@ -373,9 +375,12 @@ def read_warc(spark: SparkSession, path: str, whole: bool = False) -> DataFrame:
     ``whole`` a gap is an error.
     """
     fs, folder = filesystem(path)
-    files = spark.createDataFrame([], "path string")
+    files = spark.createDataFrame([], "path string, length bigint")
     if any(i.is_file for i in fs.get_file_info(pyarrow.fs.FileSelector(folder, recursive=True, allow_not_found=True))):
-        files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("path")
+        files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("path", "length")
+    seen = files.agg(F.count(F.lit(1)).alias("n"), F.sum("length").alias("bytes")).first()
+    # A number that is given is not merged: names are small, what they name is not.
+    tasks = max(1, min(seen["n"], max((seen["bytes"] or 0) // TASK_BYTES, 4 * spark.sparkContext.defaultParallelism)))
     kind = pa.map_(pa.string(), pa.string())
 
     def read(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -401,7 +406,7 @@ def read_warc(spark: SparkSession, path: str, whole: bool = False) -> DataFrame:
         names = ["file", "begin", "end", "headers", "payload", "damage"]
         return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(types)], names=names)
 
-    return files.repartition("path").mapInArrow(read, FIELDS)
+    return files.select("path").repartition(tasks).mapInArrow(read, FIELDS)
 
 
 def key_of(header: Column) -> Column:

@@ -182,3 +182,14 @@ def test_records_and_gaps_inside_a_member_through_spark(spark, tmp_path):
     out = read_warc(spark, f"file://{tmp_path}").collect()
     assert [r.headers["warc-record-id"][10:-1] for r in out if r.headers] == [i for i in "012345678" if i not in "36"]
     assert sum(r.damage is not None for r in out) == 2
+
+
+def test_files_are_read_by_tasks_of_their_own(spark, tmp_path):
+    pages = spark.createDataFrame([(i, f"http://a/{i}", "x" * 200 + str(i)) for i in range(60)], "page_id bigint, url string, html string")
+    write_warc(pages.repartition(12), f"file://{tmp_path}/out", limit=500)
+    found = read_warc(spark, f"file://{tmp_path}/out")
+    files = found.select("file").distinct().count()
+    assert found.rdd.getNumPartitions() == min(files, 4 * spark.sparkContext.defaultParallelism) > 8
+    # Dealt evenly, as names that are hashed would not be.
+    tasks = found.groupBy(F.spark_partition_id().alias("task")).agg(F.count_distinct("file").alias("n")).collect()
+    assert len(tasks) > 8
