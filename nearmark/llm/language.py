@@ -25,6 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType, DoubleType, StringType
+from pyspark.sql.window import Window
 
 from nearmark.llm.common import column, fresh, text_of, utf8
 
@@ -202,15 +203,18 @@ def fit(
 ) -> Model:
     """Train on a sample of the labelled rows outside the held-out quarter.
 
-    The sample has ``rows`` rows and ``per_language`` of a language at most, in
-    expectation: a row is taken by the hash of its key.  Rows without key or
-    label are never taken.  Only their subword counts reach the driver.
+    The sample has ``rows`` rows and ``per_language`` of a language in
+    expectation, as a row is taken by the hash of its key, and never more than
+    twice as many, however often a key is repeated.  Only the ``rows`` most
+    frequent labels are learned.  Rows without key or label are never taken.
+    Only subword counts reach the driver.
     """
     labelled = docs.select(
         column(docs, key).cast("string").alias("k"), column(docs, lang).cast("string").alias("lang"), text_of(docs, text).alias("body"),
         F.crc32(column(docs, key).cast("string").cast("binary")).alias("c"),
     ).where("k is not null and lang is not null and c % 4 <> 2")
-    found = {r["lang"]: r["count"] for r in labelled.groupBy("lang").count().collect()}
+    frequent = labelled.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(rows)
+    found = {r["lang"]: r["count"] for r in frequent.collect()}
     if not found:
         return train([])
     quota = min(per_language, max(1, rows // len(found)))
@@ -218,7 +222,7 @@ def fit(
     for name, n in found.items():
         chance = F.when(F.col("lang") == name, F.lit(min(1.0, quota / n))).otherwise(chance)
     place = F.pmod(F.xxhash64("k"), F.lit(1 << 30)) / F.lit(float(1 << 30))
-    sample = labelled.where(place < chance).select("k", "lang", "body")
+    sample = labelled.where(place < chance).select("k", "lang", "body", F.xxhash64("k", "body").alias("h"))
 
     def count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         subwords = Subwords()
@@ -227,9 +231,11 @@ def fit(
             for i in range(batch.num_rows):
                 counts = subwords.counts(data, offsets[i : i + 2])[0]
                 used = np.flatnonzero(counts)
-                yield pa.record_batch({"k": batch.column(0)[i : i + 1], "lang": batch.column(1)[i : i + 1], "buckets": pa.array([used.astype(np.int16)]), "counts": pa.array([counts[used].astype(np.int32)])})
+                yield pa.record_batch({"k": batch.column(0)[i : i + 1], "lang": batch.column(1)[i : i + 1], "buckets": pa.array([used.astype(np.int16)]), "counts": pa.array([counts[used].astype(np.int32)]), "h": batch.column(3)[i : i + 1]})
 
-    table = sample.mapInArrow(count, "k string, lang string, buckets array<smallint>, counts array<int>").toArrow()
+    counted = sample.mapInArrow(count, "k string, lang string, buckets array<smallint>, counts array<int>, h bigint")
+    number = F.row_number().over(Window.partitionBy("lang").orderBy("h", "k"))
+    table = counted.withColumn("n", number).where(F.col("n") <= 2 * quota).drop("h", "n").toArrow()
     gathered = []
     for k, lang, b, c in zip(table.column(0).to_pylist(), table.column(1).to_pylist(), table.column(2), table.column(3), strict=True):
         gathered.append((k, lang, b.values.to_numpy().astype(np.int64), c.values.to_numpy().astype(np.float64)))

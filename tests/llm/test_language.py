@@ -85,3 +85,13 @@ def test_foreign_and_random_texts_are_rejected(spark, documents, languages):
     gone = {r.doc_id: r.rejected for r in out.collect()}
     assert all(v for k, v in gone.items() if k >= 10_000)
     assert sum(v for k, v in gone.items() if k < 10_000) <= 0.02 * len(rows)
+
+
+def test_a_repeated_key_does_not_fill_the_sample(spark, documents, monkeypatch):
+    from nearmark.llm import language
+
+    rows = [(0, f"the word number {i}", "en") for i in range(400)] + [(i, f"le mot {i}", "fr") for i in range(1, 60)]
+    seen = []
+    monkeypatch.setattr(language, "train", lambda rows: seen.append(len(rows)))
+    language.fit(documents(rows), rows=20, per_language=10)
+    assert 1 <= seen[0] <= 40
