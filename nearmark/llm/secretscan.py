@@ -19,7 +19,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, IntegerType, StringType, StructType
+from pyspark.sql.types import ArrayType, IntegerType, IntegralType, StringType, StructType
 
 from nearmark.llm.common import blocks, column, fresh, text_of, utf8
 
@@ -252,9 +252,11 @@ def mask_secrets(docs: DataFrame, rules: tuple[Rule, ...] = RULES, text: str = "
     """``docs`` with every span of a secret replaced by ``mask``.
 
     Overlapping spans are masked as one.  Texts without secrets, null and empty
-    ones stay as they are; ``n_chars``, if there is one, follows the text.
+    ones stay as they are; ``n_chars``, if there is one of whole numbers, follows
+    the text.  Repeated rows are masked alike, and an empty table gives an empty one.
     """
-    schema, counted = docs.schema, "n_chars" in docs.columns
+    schema = docs.schema
+    counted = "n_chars" in docs.columns and isinstance(schema["n_chars"].dataType, IntegralType)
 
     def hide(value: str, spans: list) -> str:
         parts, at = [], 0

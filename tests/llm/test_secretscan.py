@@ -59,3 +59,11 @@ def test_masks_and_keeps_the_rest(spark, documents):
     assert got[0].n_chars == len("a [secret] b") and got[2].n_chars == 5 and got[0].secrets == "kept"
     assert mask_secrets(df.where("false")).count() == 0
     assert {r.kind for r in RULES} >= {"assign", "access", "hex", "pem", "github"}
+
+
+def test_masking_follows_numbers_only(spark):
+    rows = [(1, "password=abcdefghijklmnop", "25"), (2, None, None), (3, "x", "1")]
+    for kind, want in (("string", "25"), ("bigint", 8), ("int", 8)):
+        df = spark.createDataFrame(rows, "doc_id bigint, text string, n_chars string").selectExpr("doc_id", "text", f"cast(n_chars AS {kind}) AS n_chars")
+        got = {r["doc_id"]: r for r in mask_secrets(df).collect()}
+        assert got[1]["text"] == "[secret]" and got[1]["n_chars"] == want and got[2]["n_chars"] is None
