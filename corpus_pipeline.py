@@ -21,9 +21,13 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language is told; those rejected go.
 
     Null and empty texts and texts without letters are rejected.  If no row is
-    labelled there is nothing to learn, and all rows go.
+    labelled there is nothing to learn, no language can be told apart, and all
+    texts with letters stay.
     """
-    out, names = identify(docs, fit(docs))
+    model = fit(docs)
+    if not model.languages:
+        return docs.where(column(docs, "text").rlike(r"\p{L}"))
+    out, names = identify(docs, model)
     return out.where(~F.col(names["rejected"])).select(*[column(out, c) for c in docs.columns])
 
 

@@ -113,3 +113,9 @@ def test_nothing_in_nothing_out(spark, tmp_path):
     docs = spark.createDataFrame([], "doc_id bigint, text string, lang string, source string, n_chars bigint")
     docs.write.parquet(f"file://{tmp_path}/documents.parquet")
     assert corpus_pipeline.run(spark, f"file://{tmp_path}").count() == 0
+
+
+def test_a_corpus_without_labels_stays(spark, tmp_path):
+    rows = [(1, "the of and", None), (2, "", None), (3, None, None), (4, "12 %", None)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string")
+    assert [tuple(r) for r in corpus_pipeline.language(spark, docs, str(tmp_path)).collect()] == [rows[0]]
