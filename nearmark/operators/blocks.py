@@ -73,9 +73,9 @@ def _groups(table: pa.Table, by: tuple[str, ...]) -> dict:
     return {k: np.asarray(v) for k, v in frame.groupby(keys, sort=False).indices.items()}
 
 
-def _listed(table: pa.Table, by: tuple[str, ...]) -> dict:
-    """Row positions per list named in ``lists`` and per key; vectors are held once."""
-    rows, elements = _lists(table.column("lists"))
+def _listed(table: pa.Table, by: tuple[str, ...], name: str) -> dict:
+    """Row positions per list named in ``name`` and per key; vectors are held once."""
+    rows, elements = _lists(table.column(name))
     frame = table.select(list(by)).to_pandas().iloc[rows].reset_index(drop=True)
     frame.insert(0, "list_id", elements)
     keys = ["list_id", *by] if by else "list_id"
@@ -93,7 +93,7 @@ class Queries:
         self.norms = lengths(self.vectors) if len(self.ids) else np.empty(0)
         self.odd = ~np.isfinite(self.norms)
         self.k = table.column("top_k").to_numpy().astype(np.int64)
-        self.groups = _listed(table, tuple(by)) if lists else _groups(table, self.by)
+        self.groups = _listed(table, tuple(by), "lists") if lists else _groups(table, self.by)
         # Distance already known to be enough for each query's k-th neighbour.
         self.bound = np.full(len(self.ids), np.inf)
         if "bound" in table.column_names:
@@ -132,7 +132,7 @@ class Queries:
                 t: np.unique(rows[i])
                 for t, i in pd.Series(elements).groupby(elements).indices.items()
             }
-        for key, members in _groups(table, self.by).items():
+        for key, members in self.members(table).items():
             for anchor, sets in self.plan.get(key, {}).items():
                 if anchor is not None and anchor not in rows_by_tag:
                     continue
@@ -143,6 +143,12 @@ class Queries:
                     if len(found):
                         yield np.asarray(queries), found
 
+    def members(self, table: pa.Table) -> dict:
+        """Records per key; one may be in several lists."""
+        if self.by[:1] == ("list_id",) and pa.types.is_list(table.schema.field("list_id").type):
+            return _listed(table, self.by[1:], "list_id")
+        return _groups(table, self.by)
+
     def reachable(self, r: Records, qi: np.ndarray, ri: np.ndarray) -> np.ndarray:
         """Drop records that none of these queries can see."""
         if self.step:

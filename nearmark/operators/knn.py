@@ -50,7 +50,8 @@ class Match:
     ``by``: columns equal on both sides; ``tags``: the record's ``tags`` hold all
     of the query's ``required``; ``step``: record ``step`` <= query ``step``;
     ``as_of``: ``valid_from <= at < valid_to``; ``lists``: the record's
-    ``list_id`` is one of the query's ``lists``, an array without repeats.
+    ``list_id`` is one of the query's ``lists``, an array without repeats; it may
+    be such an array itself, if no record shares two lists with a query.
     """
 
     by: tuple[str, ...] = ()
@@ -117,6 +118,8 @@ def knn(
     if match.lists:
         # Each list is a key of its own here, and a query goes to those it names.
         q = q.withColumn("list_id", F.explode("lists")).drop("lists")
+        if isinstance(r.schema["list_id"].dataType, T.ArrayType):
+            r = r.withColumn("list_id", F.explode("list_id"))
         match = replace(match, by=("list_id", *match.by), lists=False)
     return _merge(_grid(r, q, metric, match, max(1, block_bytes // (8 * dims))))
 

@@ -163,6 +163,14 @@ SELECT o_orderkey, chunk::INTEGER AS chunk, {batch} AS batch FROM b"""
 
 RELEVANT = f"WITH {R}, {_knn('n', 'dotproduct')}, rel AS (SELECT DISTINCT id FROM n)"
 
+AS_OF = f"""WITH {VALIDITY}, e AS (SELECT vec_id AS id, embedding::DOUBLE[] AS v FROM embeddings),
+qs AS (SELECT seq, e.v FROM ops JOIN e USING (id) WHERE op = 'search'),
+sv AS (SELECT st.id, valid_from, valid_to, list_transform(e.v, lambda x: x * (1 + valid_from % 5)) AS v FROM st JOIN e USING (id)),
+n AS (SELECT qs.seq AS query_id, sv.id, sv.valid_from, -list_inner_product(qs.v, sv.v) AS dist,
+  row_number() OVER (PARTITION BY qs.seq ORDER BY -list_inner_product(qs.v, sv.v), sv.id, sv.valid_from) AS rank
+  FROM qs JOIN sv ON sv.valid_from <= qs.seq AND (sv.valid_to IS NULL OR qs.seq < sv.valid_to))
+SELECT query_id, rank::INTEGER AS rank, id, valid_from, {rounded('dist')} AS distance FROM n WHERE rank <= 5"""
+
 ORACLES: dict[str, str] = {
     "knn_cosine": _shown_knn("cosine"),
     "knn_euclidean": EUCLIDEAN,
@@ -198,13 +206,20 @@ n AS (SELECT probes, p.query_id, a.id,
   FROM p JOIN a USING (list_id) JOIN (SELECT unnest([1, 3, 10]) AS probes) ON p.probe <= probes)
 SELECT probes::INTEGER AS probes, count(*) AS hits, {rounded('count(*) / (SELECT count(*) FROM t)')} AS recall
 FROM n JOIN t USING (query_id, id) WHERE n.rank <= 10 GROUP BY probes""",
-    "knn_as_of": f"""WITH {VALIDITY}, e AS (SELECT vec_id AS id, embedding::DOUBLE[] AS v FROM embeddings),
-qs AS (SELECT seq, e.v FROM ops JOIN e USING (id) WHERE op = 'search'),
-sv AS (SELECT st.id, valid_from, valid_to, list_transform(e.v, lambda x: x * (1 + valid_from % 5)) AS v FROM st JOIN e USING (id)),
-n AS (SELECT qs.seq AS query_id, sv.id, sv.valid_from, -list_inner_product(qs.v, sv.v) AS dist,
-  row_number() OVER (PARTITION BY qs.seq ORDER BY -list_inner_product(qs.v, sv.v), sv.id, sv.valid_from) AS rank
-  FROM qs JOIN sv ON sv.valid_from <= qs.seq AND (sv.valid_to IS NULL OR qs.seq < sv.valid_to))
-SELECT query_id, rank::INTEGER AS rank, id, valid_from, {rounded('dist')} AS distance FROM n WHERE rank <= 5""",
+    "knn_as_of": AS_OF,
+    "knn_as_of_tiles": AS_OF,
+    "log_alive_at": f"""WITH {VALIDITY}, qs AS (SELECT seq FROM ops WHERE op = 'search')
+SELECT qs.seq AS query_id, count(st.id)::BIGINT AS alive FROM qs
+LEFT JOIN st ON st.valid_from <= qs.seq AND (st.valid_to IS NULL OR qs.seq < st.valid_to) GROUP BY 1""",
+    "dataset_catalogue": """SELECT 'documents' AS name, count(*) AS records, 'cosine' AS metric FROM documents
+UNION ALL SELECT 'pages', count(*), 'cosine' FROM pages UNION ALL SELECT 'embeddings', count(*), 'cosine' FROM embeddings""",
+    "overwrite_guard": """SELECT (label % 2)::INTEGER AS namespace, count(*) AS kept, count(*) FILTER (vec_id % 2 = 0) AS replaced, true AS refused
+FROM embeddings GROUP BY 1""",
+    "score_registered": f"""{LISTS} SELECT query_id, {rounded('recall')} AS recall,
+  coalesce(list_position(l.a, l.e10[1]), 0)::DOUBLE AS first_hit FROM s JOIN l USING (query_id)""",
+    "stream_late_half": """WITH l AS (SELECT *, event_id < (SELECT (min(event_id) + max(event_id)) // 2 FROM events) AS early FROM events)
+SELECT count(*) FILTER (NOT late) AS counted, count(*) FILTER (late)::BIGINT AS late_rows FROM (
+  SELECT early AND date_trunc('second', ts) + INTERVAL 1 SECOND <= (SELECT max(date_trunc('millisecond', ts)) FROM l WHERE NOT early) - INTERVAL 60 SECOND AS late FROM l)""",
     "score_wide": SCORES,
     "score_long": f"{LISTS}{SCORE_LONG_CTE} SELECT query_id, metric, {rounded('value')} AS value FROM sl",
     "score_flat": SCORES,

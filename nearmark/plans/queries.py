@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from nearmark.functions import filters, scalars, scoring
 from nearmark.functions.distance import distance, norm
-from nearmark.operators import balls, bitmaps, corpus, flat, ivf, oplog, quantise, report, splits
+from nearmark.operators import balls, bitmaps, corpus, flat, intervals, ivf, oplog, quantise, report, splits
 from nearmark.operators.knn import Match, attach_neighbours, knn, neighbour_lists, rerank, search
 from nearmark.operators.postings import knn_by_postings
 from nearmark.plans import fixtures as fx
@@ -281,6 +281,45 @@ def dataset_round_trip(spark, sf_dir):
     return datasets.describe_all(out).crossJoin(documents).withColumn("refused", F.lit(refused))
 
 
+@registered
+def dataset_catalogue(spark, sf_dir):
+    """Descriptions written beside several datasets, found again below their root."""
+    root = scratch_path(spark, "catalogue")
+    for name, count in (("documents", "doc_id"), ("pages", "page_id"), ("embeddings", "vec_id")):
+        rows = fx.table(spark, sf_dir, name).agg(F.count(count)).first()[0]
+        tables.write_description(spark, f"{root}/sets/{name}", name=name, records=rows, metric=COSINE)
+    return datasets.catalogue(spark, root).select("name", F.col("records").cast("bigint").alias("records"), "metric")
+
+
+@registered
+def overwrite_guard(spark, sf_dir):
+    """A second writing is refused, and the data stays; told to, it replaces them."""
+    path, records = scratch_path(spark, "guard"), fx.records(spark, sf_dir).select("id", "namespace")
+    tables.write_namespaced(records, path)
+    try:
+        tables.write_namespaced(records.limit(0), path)
+        refused = False
+    except AnalysisException:
+        refused = True
+    kept = stored(tables.read_namespaced(spark, path).groupBy("namespace").agg(F.count("id").alias("kept")), "kept")
+    tables.write_namespaced(records.where("id % 2 = 0"), path, overwrite=True)
+    after = tables.read_namespaced(spark, path).groupBy("namespace").agg(F.count("id").alias("replaced"))
+    return kept.join(after, "namespace", "left").select(
+        F.col("namespace").cast("int").alias("namespace"), "kept", F.coalesce("replaced", F.lit(0).cast("bigint")).alias("replaced"), F.lit(refused).alias("refused")
+    )
+
+
+@registered
+def score_registered(spark, sf_dir):
+    """A metric of the user's own beside the known ones."""
+    scoring.register("first_hit", lambda actual, expected: F.coalesce(F.array_position(actual, F.get(expected, F.lit(0))), F.lit(0)).cast("double"))
+    try:
+        scored = _scored(spark, sf_dir)
+        return _rounded_all(scored.select("query_id", "recall", "first_hit"), ["query_id"])
+    finally:
+        del scoring.METRICS["first_hit"]
+
+
 @registered
 def ivf_probe_sweep(spark, sf_dir):
     """Share of the true neighbours found at each probe count."""
@@ -296,9 +335,8 @@ def ivf_probe_sweep(spark, sf_dir):
     )
 
 
-@registered
-def knn_as_of(spark, sf_dir):
-    """Searches over a changing table, each against the table of its moment."""
+def _changing(spark, sf_dir):
+    """States of records with the time they hold for, and searches with their moment."""
     vectors = fx.table(spark, sf_dir, "embeddings").select(
         F.col("vec_id").alias("id"), F.col("embedding").cast("array<double>").alias("base")
     )
@@ -314,13 +352,41 @@ def knn_as_of(spark, sf_dir):
         F.col("seq").alias("query_id"), F.col("base").alias("values"), F.lit(5).alias("top_k"),
         F.col("seq").alias("at"),
     )
-    found = knn(states, asked, DOTPRODUCT, Match(as_of=True))
+    return states, asked
+
+
+def _shown_states(found):
     return found.select(
         "query_id", "rank", F.col("id.id").alias("id"), F.col("id.valid_from").alias("valid_from"),
         rounded("distance").alias("distance"),
     )
 
 
+@registered
+def knn_as_of(spark, sf_dir):
+    """Searches over a changing table, each against the table of its moment."""
+    states, asked = _changing(spark, sf_dir)
+    return _shown_states(knn(states, asked, DOTPRODUCT, Match(as_of=True)))
+
+
+@registered
+def knn_as_of_tiles(spark, sf_dir):
+    """The same by tiles of time: a search meets the states of its moment alone."""
+    states, asked = intervals.tiled(*_changing(spark, sf_dir))
+    return _shown_states(knn(states, asked, DOTPRODUCT, Match(lists=True)))
+
+
+@registered
+def log_alive_at(spark, sf_dir):
+    """How many states hold at each search, by an equi-join on tiles."""
+    log = fx.operations(spark, sf_dir)
+    asked = log.where(F.col("op") == "search").select(F.col("seq").alias("query_id"), F.col("seq").alias("at"))
+    states, asked = intervals.tiled(oplog.validity(log).select("id", "valid_from", "valid_to"), asked)
+    counted = states.select(F.explode("list_id").alias("tile")).groupBy("tile").agg(F.count(F.lit(1)).alias("n"))
+    met = asked.select("query_id", F.explode("lists").alias("tile")).join(counted, "tile", "left")
+    return met.groupBy("query_id").agg(F.coalesce(F.sum("n"), F.lit(0)).cast("bigint").alias("alive"))
+
+
 # Scores --------------------------------------------------------------------
 
 
@@ -810,6 +876,22 @@ def stream_late_rows(spark, sf_dir):
     return counts.agg(F.sum("n").alias("counted")).crossJoin(late)
 
 
+@registered
+def stream_late_half(spark, sf_dir):
+    """The last requests come first; of the earlier half, which comes last, only what ends in the last minute is in time.
+
+    A batch is held to the watermark that the batch before it began with, so there are three.
+    """
+    log, folder = fx.events(spark, sf_dir), scratch_path(spark, "late")
+    ends = log.agg(F.expr("(min(event_id) + max(event_id)) div 2").alias("middle"), F.max("event_id").alias("last")).first()
+    middle, late = ends["middle"], F.col("event_id") > (ends["middle"] + ends["last"]) // 2
+    for part in (late, ~late & (F.col("event_id") >= middle), F.col("event_id") < middle):
+        log.where(part).coalesce(1).write.mode("append").parquet(f"{folder}/events.parquet")
+    stream = live.file_stream(spark, f"{folder}/events.parquet", log.schema, files_per_batch=1)
+    counts, late = live.run_windows(fx.as_requests(stream), fx.as_requests(log), "late")
+    return counts.agg(F.sum("n").alias("counted")).crossJoin(late)
+
+
 @registered
 def stream_totals(spark, sf_dir):
     log = fx.as_requests(_event_stream(spark, sf_dir))

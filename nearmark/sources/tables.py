@@ -28,6 +28,21 @@ def rewrite_layout(df: DataFrame, path: str, rows_per_file: int, rows_per_group:
     )
 
 
+def write_description(spark: SparkSession, folder: str, **facts) -> None:
+    """One row of facts as ``metadata.json`` in ``folder``, where the catalogue looks for it."""
+    row = spark.range(1).select(*[F.lit(v).alias(k) for k, v in facts.items()])
+    part = f"{folder}/_description"
+    row.coalesce(1).write.mode("overwrite").json(part)
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    store = path(part).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    # Spark names its own files; the one it wrote is given the name.
+    (written,) = [f.getPath() for f in store.listStatus(path(part)) if f.getPath().getName().startswith("part-")]
+    target = path(f"{folder}/metadata.json")
+    store.delete(target, False)
+    store.rename(written, target)
+    store.delete(path(part), True)
+
+
 def write_report(report: DataFrame, path: str, overwrite: bool = False) -> None:
     """Nested statistics as JSON lines."""
     report.write.mode("overwrite" if overwrite else "errorifexists").json(path)
