@@ -1,23 +1,31 @@
 """Cross-entropy difference: how much more a text is like a target than like all texts.
 
-Two n-gram models, of the target rows and of all rows, have one vocabulary, one
-order (three) and one smoothing, and are matched in size: background counts are
-scaled to the target's total, so that smoothing weighs the same in both.  A text's score is the mean over its tokens of the
-loss under the target model less the loss under the background; it is negative
-for texts more like the target.
-
-Counts are exact and cover every token of every row.  ``score_words``, as the
-query uses it, has word trigrams in stored tables that grow with the corpus;
-words are known by 64-bit hashes.  ``fit`` and ``score`` are a small model of
-bytes that is trained on one table and scores others: it has at most 2**24
-trigrams and does not learn how words follow one another.
+Two models of word trigrams, of the target rows and of all rows, have one
+vocabulary, one order and one smoothing, and are matched in size: background
+counts are scaled to the target's total, so that smoothing weighs the same in
+both.  A text's score is the mean over its tokens of the loss under the target
+model less the loss under the background; it is negative for texts more like the
+target.
+
+Counts are exact, cover every token of every row and grow with the corpus; words
+are known by 64-bit hashes.  Texts are worked on in blocks of bounded size:
+
+* ``ask``: every block names its distinct n-grams once, with its own counts, in
+  buckets of their hashes;
+* ``answer``: every bucket adds the counts up and answers each block with the
+  totals of the n-grams it named, in the order it named them;
+* ``measured``: every block meets its answers and adds up its texts' losses.
+
+So an n-gram is shuffled once a block and not once an occurrence, only counts
+come back, and a hot n-gram is one entry of each block.  Keys are sent as
+differences and counts as bytes, as many as their block needs.  A block's rows
+with too few n-grams for all buckets name the buckets they need only, so what is
+sent grows with the corpus at every number of buckets.
 """
 
 from __future__ import annotations
 
-import os
 from collections.abc import Iterable, Iterator
-from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
@@ -25,278 +33,227 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, LongType
 
-from nearmark.llm.common import BASE, BLOCK_BYTES, Words, blocks, column, fresh, mixed, per_process, text_of, utf8
-from nearmark.session import stored
+from nearmark.llm.common import BASE, Words, blocks, column, fresh, mixed, runs, text_of, utf8
+from nearmark.session import scratch_path
 
-TOKENS = 256
-TRIGRAMS = TOKENS**3
-# Stands before a text, twice, and after it, once.
-EDGE = 0x0A
 # Pseudo-counts of the next lower order.
 SMOOTHING = 2.0
-# Counts of one task are sent before they could overflow.
-MOST_COUNTED = 1 << 31
+# Words that no text has: two before a text and one after it.
+FIRST, SECOND, END = np.array([0x51ED270B, 0x2545F491, 0x6C62272E], np.uint64) * np.uint64(BASE)
+# Bytes of texts whose n-grams are counted together before they are sent.
+COUNTED_BYTES = 1 << 23
+# Tokens of the corpus for one bucket of each order.
+BUCKET_TOKENS = 1 << 21
+# Tasks that answer; further buckets follow one another in a task.
+ANSWERING = 8192
+ORDERS = (1, 2, 3)
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
-def trigram_blocks(data: np.ndarray, offsets: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """First text, trigram codes of some texts, and where each text's codes begin and end.
+def pair(first: np.ndarray, second: np.ndarray) -> np.ndarray:
+    return mixed(first * np.uint64(BASE) + mixed(second))
 
-    A text of n bytes has n + 1 tokens.  One longer than a block comes in parts.
-    """
-    for first, last in blocks(offsets):
-        low, high = int(offsets[first]), int(offsets[last])
-        if last - first == 1 and high - low > BLOCK_BYTES:
-            edge = np.array([EDGE], np.uint8)
-            for s in range(low, high + 1, BLOCK_BYTES):
-                e = min(high + 1, s + BLOCK_BYTES)
-                head = np.concatenate([edge, edge, data[max(low, s - 2) : s]])[-2:]
-                part = np.concatenate([head, data[s : min(e, high)], edge if e > high else edge[:0]])
-                codes = _codes(part)
-                yield first, codes, np.array([[0, len(codes)]])
-            continue
-        lengths = np.diff(offsets[first : last + 1])
-        shift = 3 * np.arange(last - first)
-        part = np.full(high - low + 3 * (last - first), EDGE, np.uint8)
-        part[np.arange(high - low) + np.repeat(shift + 2, lengths)] = data[low:high]
-        starts = offsets[first:last] - low + shift
-        yield first, _codes(part), np.stack([starts, starts + lengths + 1], axis=1)
-
-
-def _codes(part: np.ndarray) -> np.ndarray:
-    b = part.astype(np.int32)
-    return (b[:-2] << 16) | (b[1:-1] << 8) | b[2:]
-
-
-@dataclass
-class Model:
-    """Trigrams with their counts in the target and in all rows."""
-
-    codes: np.ndarray
-    target: np.ndarray
-    background: np.ndarray
-    smoothing: float = SMOOTHING
-    name: str = field(default_factory=lambda: os.urandom(8).hex())
-
-    def losses(self) -> tuple[np.ndarray, np.ndarray]:
-        """Loss of every trigram's last token after its first two, in nats, under both models."""
-        total = float(self.background.sum())
-        scale = float(self.target.sum()) / total if total else 1.0
-        return self._loss(self.target.astype(np.float64)), self._loss(self.background * scale)
-
-    def _loss(self, counts: np.ndarray) -> np.ndarray:
-        k = self.smoothing
-        three = np.zeros(TRIGRAMS, np.float32)
-        three[self.codes] = counts
-        low = self.codes % (TOKENS * TOKENS)
-        two = np.bincount(low, counts, TOKENS * TOKENS).reshape(TOKENS, TOKENS)
-        before = np.bincount(self.codes // TOKENS, counts, TOKENS * TOKENS)
-        one = two.sum(axis=0)
-        p1 = (one + 1) / (one.sum() + TOKENS)
-        p2 = (two + k * p1) / (two.sum(axis=1, keepdims=True) + k)
-        out = three.reshape(TOKENS, TOKENS, TOKENS)
-        for a in range(TOKENS):
-            out[a] = -np.log((out[a] + k * p2) / (before[a * TOKENS : (a + 1) * TOKENS, None] + k))
-        return out.reshape(-1)
-
-
-def fit(docs: DataFrame, target: Column, text: str = "text", smoothing: float = SMOOTHING) -> Model:
-    """Count the trigrams of all rows and of those where ``target`` is true.
-
-    Each task adds up its own rows, then the tasks' counts are summed.
-    """
-    picked = docs.select(text_of(docs, text).alias("text"), F.coalesce(target, F.lit(False)).alias("target"))
 
-    def count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = np.zeros((2, TRIGRAMS), np.uint32)
-        seen = 0
+def packed(values: np.ndarray) -> bytes:
+    """Whole numbers as planes of bytes, as many as the largest needs."""
+    width = max(1, (int(values.max(initial=0)).bit_length() + 7) // 8)
+    planes = values.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width].T
+    return bytes([width]) + planes.tobytes()
 
-        def sent() -> Iterator[pa.RecordBatch]:
-            codes = np.flatnonzero(held[1])
-            for s in range(0, len(codes), 1 << 18):
-                c = codes[s : s + (1 << 18)]
-                yield pa.record_batch({"code": pa.array(c, pa.int32()), "target": pa.array(held[0][c], pa.int64()), "background": pa.array(held[1][c], pa.int64())})
 
-        for batch in batches:
-            data, offsets = utf8(batch.column(0))
-            wanted = np.asarray(batch.column(1).to_pylist(), bool)
-            for first, codes, ranges in trigram_blocks(data, offsets):
-                inside = np.zeros(len(codes) + 1, np.int32)
-                np.add.at(inside, ranges[:, 0], 1)
-                np.add.at(inside, ranges[:, 1], -1)
-                chosen = ranges[wanted[first : first + len(ranges)]]
-                good = np.zeros(len(codes) + 1, np.int32)
-                np.add.at(good, chosen[:, 0], 1)
-                np.add.at(good, chosen[:, 1], -1)
-                for row, mask in ((1, inside), (0, good)):
-                    found, times = np.unique(codes[np.cumsum(mask[:-1]) > 0], return_counts=True)
-                    held[row][found] += times.astype(np.uint32)
-                seen += len(codes)
-                if seen > MOST_COUNTED:
-                    yield from sent()
-                    held[:], seen = 0, 0
-        yield from sent()
-
-    counted = picked.mapInArrow(count, "code int, target bigint, background bigint")
-    table = counted.groupBy("code").agg(F.sum("target").alias("target"), F.sum("background").alias("background")).toArrow()
-    order = np.argsort(table.column("code").to_numpy())
-    codes, ours, all_ = (table.column(i).to_numpy()[order] for i in range(3))
-    return Model(codes.astype(np.int64), ours.astype(np.int64), all_.astype(np.int64), smoothing)
-
-
-def score(docs: DataFrame, model: Model, text: str = "text", keep: tuple[str, ...] | None = None) -> DataFrame:
-    """Rows with ``n_tokens``, ``target_loss``, ``background_loss`` and ``score``, means per token.
-
-    Whole texts count.  A null or empty text has one token, its end.  Repeated
-    rows get the same score each; an empty table gives an empty one; a name in
-    use gets underscores before it.
+def unpacked(held: bytes) -> np.ndarray:
+    planes = np.frombuffer(held, np.uint8, offset=1).reshape(held[0], -1)
+    out = np.zeros((planes.shape[1], 8), np.uint8)
+    out[:, : held[0]] = planes.T
+    return out.view("<u8").reshape(-1)
+
+
+def sequences(data: np.ndarray, offsets: np.ndarray, words: Words) -> tuple[np.ndarray, np.ndarray]:
+    """Word hashes of the texts with the words around them, and the number of each one's text."""
+    hashes, at = words.words(data, offsets)
+    n = np.diff(at)
+    ends = np.cumsum(n + 3)
+    row = np.repeat(np.arange(len(n)), n + 3)
+    out = np.empty(len(row), np.uint64)
+    out[ends - n - 3], out[ends - n - 2], out[ends - 1] = FIRST, SECOND, END
+    out[np.arange(len(hashes)) + np.repeat(3 * np.arange(len(n)) + 2, n)] = hashes
+    return out, row
+
+
+def ngrams(w: np.ndarray, row: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Hashes of the words, bigrams and trigrams, and the number of each one's text.
+
+    Every text begins with FIRST and SECOND: it has one word less than ``w``
+    (FIRST is none), as many bigrams, and a trigram for each of its tokens.
     """
-    names = docs.columns if keep is None else list(keep)
-    base = docs.select(*[column(docs, c) for c in names])
-    body, tokens, ours, theirs, difference = fresh(base, "_body", "n_tokens", "target_loss", "background_loss", "score")
-    picked = docs.select(*[column(docs, c) for c in names], text_of(docs, text).alias(body))
-    shared = docs.sparkSession.sparkContext.broadcast(model)
-    schema = base.schema.add(tokens, LongType()).add(ours, DoubleType()).add(theirs, DoubleType())
+    single = mixed(w[1:] + np.uint64(BASE))
+    two = pair(w[:-1], w[1:])
+    three = pair(two[:-1], two[1:])
+    inner, last = row[:-1] == row[1:], row[:-2] == row[2:]
+    return [(single[inner], row[1:][inner]), (two[inner], row[1:][inner]), (three[last], row[2:][last])]
 
-    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        # A worker keeps the tables of one model, the last it used.
-        kept = per_process("losses", dict)
-        if shared.value.name not in kept:
-            kept.clear()
-            kept[shared.value.name] = shared.value.losses()
-        tables = kept[shared.value.name]
-        for batch in batches:
-            data, offsets = utf8(batch.column(batch.schema.get_field_index(body)))
-            sums = np.zeros((2, batch.num_rows))
-            for first, codes, ranges in trigram_blocks(data, offsets):
-                for k, table in enumerate(tables):
-                    total = np.concatenate([[0.0], np.cumsum(table[codes], dtype=np.float64)])
-                    sums[k, first : first + len(ranges)] += total[ranges[:, 1]] - total[ranges[:, 0]]
-            n = np.diff(offsets) + 1
-            rest = batch.drop_columns([body]).append_column(tokens, pa.array(n, pa.int64()))
-            yield rest.append_column(ours, pa.array(sums[0] / n)).append_column(theirs, pa.array(sums[1] / n))
 
-    out = picked.mapInArrow(run, schema)
-    return out.withColumn(difference, F.col(ours) - F.col(theirs))
+def gathered(picked: DataFrame, body: str, wanted: str) -> DataFrame:
+    """The rows in blocks of about COUNTED_BYTES, one row of Arrow bytes each, with their numbers of tokens."""
 
+    def gather(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words, held, size = Words(), [], 0
 
-# Words that no text has: two before a text and one after it.
-FIRST, SECOND, END = np.array([0x51ED270B, 0x2545F491, 0x6C62272E], np.uint64) * np.uint64(BASE)
-# Bytes of texts whose n-grams are counted together before they are sent.
-COUNTED_BYTES = 1 << 23
-BIGRAMS = "bc bigint, b bigint, c bigint, target bigint, background bigint"
-WORD_TRIGRAMS = "ab bigint, bc bigint, target bigint, background bigint"
+        def block() -> pa.RecordBatch:
+            table = pa.Table.from_batches(held).combine_chunks()
+            sink = pa.BufferOutputStream()
+            with pa.ipc.new_stream(sink, table.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
+                out.write_table(table)
+            data, offsets = utf8(table.column(body))
+            n = np.diff(words.words(data, offsets)[1]) + 1
+            good = np.asarray(table.column(wanted).to_pylist(), bool)
+            return pa.record_batch({"rows": pa.array([sink.getvalue().to_pybytes()]), "target": pa.array([int(n[good].sum())], pa.int64()), "background": pa.array([int(n.sum())], pa.int64())})
 
+        for batch in batches:
+            _, offsets = utf8(batch.column(batch.schema.get_field_index(body)))
+            for first, last in blocks(offsets, COUNTED_BYTES):
+                more = int(offsets[last] - offsets[first])
+                if held and size + more > COUNTED_BYTES:
+                    yield block()
+                    held, size = [], 0
+                held.append(batch.slice(first, last - first))
+                size += more
+        if held:
+            yield block()
 
-def pair(first: np.ndarray, second: np.ndarray) -> np.ndarray:
-    return mixed(first * np.uint64(BASE) + mixed(second))
+    out = picked.mapInArrow(gather, "rows binary, target bigint, background bigint")
+    return _kept(out.select(F.monotonically_increasing_id().alias("block"), "*"), "blocks")
 
 
-def word_blocks(data: np.ndarray, offsets: np.ndarray, words: Words) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Word hashes of some texts with the words around them, and the number of each one's text."""
-    for first, last in blocks(offsets, COUNTED_BYTES):
-        hashes, at = words.words(data, offsets[first : last + 1])
-        n = np.diff(at)
-        ends = np.cumsum(n + 3)
-        row = np.repeat(np.arange(last - first), n + 3)
-        out = np.empty(len(row), np.uint64)
-        out[ends - n - 3], out[ends - n - 2], out[ends - 1] = FIRST, SECOND, END
-        out[np.arange(len(hashes)) + np.repeat(3 * np.arange(last - first) + 2, n)] = hashes
-        yield out, row + first
+def _kept(df: DataFrame, label: str) -> DataFrame:
+    """``df`` stored, and what was shuffled for it given back at once: it is not read again."""
+    conf, path = df.sparkSession.conf, scratch_path(df.sparkSession, label)
+    before = conf.get(CLEANUP, "false")
+    conf.set(CLEANUP, "true")
+    try:
+        # Made anew, so that it is planned under this setting.
+        df.select("*").write.parquet(path)
+    finally:
+        conf.set(CLEANUP, before)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def long(h: np.ndarray) -> pa.Array:
-    return pa.array(h.view(np.int64))
+def _opened(rows: bytes) -> pa.Table:
+    return pa.ipc.open_stream(pa.py_buffer(rows)).read_all().combine_chunks()
 
 
-def word_counts(docs: DataFrame, target: Column, text: str, order: int) -> DataFrame:
-    """The word bigrams or trigrams of all rows, with their counts in the target and in all."""
-    picked = docs.select(text_of(docs, text).alias("text"), F.coalesce(target, F.lit(False)).alias("target"))
+def ask(held: DataFrame, body: str, wanted: str, bits: int) -> DataFrame:
+    """The distinct n-grams of every block, in 2**bits buckets, with the block's counts in the target and in all."""
 
-    def count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = Words()
         for batch in batches:
-            data, offsets = utf8(batch.column(0))
-            wanted = np.asarray(batch.column(1).to_pylist(), bool)
-            for w, row in word_blocks(data, offsets, words):
-                # The last of a text's n-grams begins where it has ``order`` words left.
-                inner = row[: 1 - order] == row[order - 1 :]
-                two = pair(w[:-1], w[1:])
-                key = two if order == 2 else pair(two[:-1], two[1:])
-                _, where, which = np.unique(key[inner], return_index=True, return_inverse=True)
-                at = np.flatnonzero(inner)
-                counts = [np.bincount(which, x, len(where)).astype(np.int64) for x in (wanted[row[at]], None)]
-                at = at[where]
-                keys = {"bc": two[at], "b": w[at], "c": w[at + 1]} if order == 2 else {"ab": two[at], "bc": two[at + 1]}
-                yield pa.record_batch({k: long(v) for k, v in keys.items()} | {"target": pa.array(counts[0]), "background": pa.array(counts[1])})
-
-    counted = picked.mapInArrow(count, BIGRAMS if order == 2 else WORD_TRIGRAMS)
-    keys = ["bc", "b", "c"] if order == 2 else ["ab", "bc"]
-    return counted.groupBy(*keys).agg(F.sum("target").alias("target"), F.sum("background").alias("background"))
-
-
-def word_losses(docs: DataFrame, target: Column, text: str = "text", smoothing: float = SMOOTHING) -> DataFrame:
-    """Every word trigram of ``docs`` (``ab``, ``bc``) with its last word's loss under both models.
-
-    Counts of each order are stored tables and so are the losses; they grow with
-    the corpus and none of their rows passes through the driver.
-    """
-    k = F.lit(smoothing)
-    three = stored(word_counts(docs, target, text, 3), "trigrams")
-    two = stored(word_counts(docs, target, text, 2), "bigrams")
-    one = stored(two.groupBy("c").agg(F.sum("target").alias("target1"), F.sum("background").alias("background1")), "words")
-    total = one.where(F.col("c") != F.lit(int(SECOND.view(np.int64)))).agg(F.sum("target1"), F.sum("background1"), F.count(F.lit(1))).first()
-    ours, all_, kinds = total[0] or 0, total[1] or 0, total[2]
-    scale = {"target": 1.0, "background": ours / all_ if all_ else 1.0}
-    # A word stands before another as often as it occurs.
-    before = one.select(F.col("c").alias("b"), F.col("target1").alias("target0"), F.col("background1").alias("background0"))
-    lower = two.join(one, "c").join(before, "b", "left")
-
-    def second(kind: str) -> Column:
-        p1 = (F.col(f"{kind}1") * scale[kind] + 1) / (ours + kinds + 1)
-        return (F.col(kind) * scale[kind] + k * p1) / (F.coalesce(F.col(f"{kind}0"), F.lit(0)) * scale[kind] + k)
-
-    lower = stored(lower.select("bc", *[F.col(x).alias(f"{x}_n") for x in scale], *[second(x).alias(f"{x}_p") for x in scale]), "lower")
-    context = lower.select(F.col("bc").alias("ab"), *[F.col(f"{x}_n").alias(f"{x}_before") for x in scale])
-    joined = three.join(lower.drop(*[f"{x}_n" for x in scale]), "bc").join(context, "ab")
-    loss = lambda x: -F.ln((F.col(x) * scale[x] + k * F.col(f"{x}_p")) / (F.col(f"{x}_before") * scale[x] + k))
-    return stored(joined.select("ab", "bc", *[loss(x).alias(f"{x}_loss") for x in scale]), "losses")
+            for block, rows in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                table = _opened(rows.as_py())
+                good = np.asarray(table.column(wanted).to_pylist(), bool)
+                grams = ngrams(*sequences(*utf8(table.column(body)), words))
+                for order, (keys, row) in zip(ORDERS, grams, strict=True):
+                    kinds, which = np.unique(keys, return_inverse=True)
+                    ours, all_ = np.bincount(which, good[row], len(kinds)), np.bincount(which, minlength=len(kinds))
+                    bucket = (kinds >> np.uint64(64 - bits)).astype(np.int64)
+                    cuts = np.concatenate([np.flatnonzero(np.diff(bucket, prepend=-1)), [len(bucket)]])
+                    steps = np.diff(kinds, prepend=np.uint64(0))
+                    heads = cuts[:-1]
+                    steps[heads] = kinds[heads] & np.uint64((1 << (64 - bits)) - 1)
+                    yield from _portions(block, order, bucket[heads], cuts, (steps, ours, all_))
+
+    return held.select("block", "rows").mapInArrow(run, "`block` bigint, `order` int, `bucket` int, `keys` binary, `target` binary, `background` binary")
+
+
+def _portions(block: int, order: int, bucket: np.ndarray, cuts: np.ndarray, parts: tuple[np.ndarray, ...]) -> Iterator[pa.RecordBatch]:
+    names = ("keys", "target", "background")
+    for s in range(0, len(bucket), 4096):
+        some = range(s, min(len(bucket), s + 4096))
+        blobs = {n: pa.array([packed(v[cuts[i] : cuts[i + 1]]) for i in some], pa.binary()) for n, v in zip(names, parts, strict=True)}
+        fixed = {"block": pa.array([block] * len(some), pa.int64()), "order": pa.array([order] * len(some), pa.int32()), "bucket": pa.array(bucket[s : s + len(some)], pa.int32())}
+        yield pa.record_batch(fixed | blobs)
+
+
+def answer(asked: DataFrame, bits: int) -> DataFrame:
+    """The totals of the n-grams each block has named, in its order; ``kinds`` of a bucket stands in one of its rows."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in runs(batches, ["order", "bucket"]):
+            bucket = table.column("bucket")[0].as_py()
+            base = np.uint64(bucket << (64 - bits))
+            keys = [np.cumsum(unpacked(k.as_py()), dtype=np.uint64) + base for k in table.column("keys")]
+            ends = np.cumsum([0, *map(len, keys)])
+            kinds, which = np.unique(np.concatenate(keys), return_inverse=True)
+            totals = {}
+            for name in ("target", "background"):
+                counts = np.concatenate([unpacked(c.as_py()) for c in table.column(name)])
+                # Whole numbers below 2**53 add up exactly.
+                sums = np.bincount(which, counts, len(kinds)).astype(np.uint64)[which]
+                totals[name] = pa.array([packed(sums[s:e]) for s, e in zip(ends[:-1], ends[1:], strict=True)], pa.binary())
+            told = np.zeros(table.num_rows, np.int64)
+            told[0] = len(kinds)
+            yield pa.record_batch({c: table.column(c).combine_chunks() for c in ("block", "order", "bucket")} | totals | {"kinds": pa.array(told)})
+
+    dealt = asked.repartition(min(ANSWERING, len(ORDERS) << bits), "order", "bucket").sortWithinPartitions("order", "bucket")
+    return dealt.mapInArrow(run, "`block` bigint, `order` int, `bucket` int, `target` binary, `background` binary, `kinds` bigint")
+
+
+def losses(w: np.ndarray, row: np.ndarray, counted: list[np.ndarray], size: float, kinds: int, scale: float, k: float) -> np.ndarray:
+    """Loss of every token, in nats, from the totals of its block's distinct n-grams."""
+    whole = [np.unique(keys, return_inverse=True)[1] for keys, _ in ngrams(w, row)]
+    one, two, three = (counted[i][whole[i]] * scale for i in range(3))
+    # A text of n + 3 places has n + 2 words and bigrams and n + 1 trigrams: its tokens.
+    r = row[np.flatnonzero(row[:-1] == row[1:]) + 1]
+    first = np.diff(r, prepend=-1) != 0
+    last = np.diff(r, append=-1) != 0
+    c, b = one[~first], one[~last]
+    p1 = (c + 1) / (size + kinds + 1)
+    p2 = (two[~first] + k * p1) / (b + k)
+    return -np.log((three + k * p2) / (two[~last] + k))
 
 
 def score_words(docs: DataFrame, target: Column, text: str = "text", keep: tuple[str, ...] | None = None, smoothing: float = SMOOTHING) -> DataFrame:
     """Rows with ``n_tokens`` (words and the end), ``target_loss``, ``background_loss`` and ``score``, under models of word trigrams.
 
-    ``docs`` are the background, those where ``target`` is true the target.
-    Whole texts count; each text's distinct trigrams meet the stored losses by an
-    equi-join whose hot keys adaptive execution splits.  Equal texts get equal scores.
+    ``docs`` are the background, those where ``target`` is true the target; a
+    null there is false.  Whole texts count, every copy of a repeated row too.  A
+    null or empty text has one token, its end.  Equal texts get equal scores; an
+    empty table gives an empty one; a name in use gets underscores before it.
     """
     names = docs.columns if keep is None else list(keep)
     base = docs.select(*[column(docs, c) for c in names])
-    tokens, ours, theirs, difference, hashed, size = fresh(base, "n_tokens", "target_loss", "background_loss", "score", "_text", "_size")
-    body = text_of(docs, text)
-    losses = word_losses(docs, target, text, smoothing)
+    body, wanted, tokens, ours, theirs, difference = fresh(base, "_body", "_wanted", "n_tokens", "target_loss", "background_loss", "score")
+    picked = docs.select(*[column(docs, c) for c in names], text_of(docs, text).alias(body), F.coalesce(target, F.lit(False)).alias(wanted))
+    held = gathered(picked, body, wanted)
+    in_target, in_all = (x or 0 for x in held.agg(F.sum("target"), F.sum("background")).first())
+    bits = max(1, (in_all // BUCKET_TOKENS).bit_length())
+    told = _kept(answer(ask(held, body, wanted, bits), bits), "counts")
+    # SECOND stands for no token.
+    kinds = max(0, (told.where("`order` = 1").agg(F.sum("kinds")).first()[0] or 0) - 1)
+    scales = (1.0, in_target / in_all if in_all else 1.0)
+    schema = base.schema.add(tokens, LongType()).add(ours, DoubleType()).add(theirs, DoubleType())
 
-    def grams(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = Words()
-        for batch in batches:
-            data, offsets = utf8(batch.column(0))
-            for w, row in word_blocks(data, offsets, words):
-                at = np.flatnonzero(row[:-2] == row[2:])
-                two = pair(w[:-1], w[1:])
-                key = pair(pair(two[at], two[at + 1]), row[at].astype(np.uint64))
-                _, where, times = np.unique(key, return_index=True, return_counts=True)
-                at = at[where]
-                own = pa.array(row[at])
-                yield pa.record_batch({"h": batch.column(1).take(own), "n": batch.column(2).take(own), "ab": long(two[at]), "bc": long(two[at + 1]), "times": pa.array(times.astype(np.int32))})
-
-    keyed = docs.select(body.alias("text"), F.xxhash64(body).alias("h"), F.octet_length(body).alias("n"))
-    met = keyed.mapInArrow(grams, "h bigint, n int, ab bigint, bc bigint, times int").join(losses, ["ab", "bc"])
-    # Equal texts add up to the same mean.
-    sums = met.groupBy("h", "n").agg(*[(F.sum(F.col(f"{x}_loss") * F.col("times")) / F.sum("times")).alias(f"{x}_mean") for x in ("target", "background")])
-    count = F.size(F.array_remove(F.split(body, r"[\x20\x09-\x0D]+"), "")).cast("bigint") + 1
-    rows = docs.select(*[column(docs, c) for c in names], count.alias(tokens), F.xxhash64(body).alias(hashed), F.octet_length(body).alias(size))
-    means = stored(sums.toDF(hashed, size, ours, theirs), "means")
-    out = rows.join(means, [hashed, size]).withColumn(difference, F.col(ours) - F.col(theirs))
-    return out.select(*[column(out, c) for c in (*names, tokens, ours, theirs, difference)])
+    def measured(block: pa.Table, answers: pa.Table) -> pa.Table:
+        out = []
+        for rows in block.column("rows"):
+            table = _opened(rows.as_py())
+            w, row = sequences(*utf8(table.column(body)), Words())
+            n = np.bincount(row, minlength=table.num_rows) - 2
+            in_order = answers.sort_by([("order", "ascending"), ("bucket", "ascending")])
+            order = in_order.column("order").to_numpy()
+            text_row = np.repeat(np.arange(table.num_rows), n)
+            means = []
+            for name, scale in zip(("target", "background"), scales, strict=True):
+                blobs = in_order.column(name)
+                counted = [np.concatenate([unpacked(blobs[i].as_py()) for i in np.flatnonzero(order == o)]).astype(np.float64) for o in ORDERS]
+                loss = losses(w, row, counted, in_target, kinds, scale, smoothing)
+                means.append(pa.array(np.bincount(text_row, loss, table.num_rows) / n))
+            rest = table.drop_columns([body, wanted]).append_column(tokens, pa.array(n, pa.int64()))
+            out.append(rest.append_column(ours, means[0]).append_column(theirs, means[1]))
+        return pa.concat_tables(out) if out else block.schema.empty_table().select([])
+
+    out = held.select("block", "rows").groupBy("block").cogroup(told.drop("kinds").groupBy("block")).applyInArrow(measured, schema)
+    return out.withColumn(difference, column(out, ours) - column(out, theirs))
 
 
 def score_report(spark, folder: str) -> DataFrame:
@@ -304,5 +261,5 @@ def score_report(spark, folder: str) -> DataFrame:
     docs = spark.read.parquet(f"{folder}/documents.parquet").select("doc_id", "text")
     labels = spark.read.parquet(f"{folder}/labels.parquet").groupBy("doc_id").agg(F.max("quality").alias("quality"))
     # Labels grow with the documents, so they are met by sorting at every size and never broadcast.
-    labelled = stored(docs.join(labels.hint("merge"), "doc_id", "left").withColumn("wanted", F.coalesce(F.col("quality") == 1, F.lit(False))), "labelled")
+    labelled = docs.join(labels.hint("merge"), "doc_id", "left").withColumn("wanted", F.coalesce(F.col("quality") == 1, F.lit(False)))
     return score_words(labelled, F.col("wanted"), keep=("doc_id",))

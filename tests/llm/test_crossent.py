@@ -3,68 +3,12 @@ import random
 import re
 from collections import Counter
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from nearmark.llm import common, crossent
-from nearmark.llm.crossent import fit, score, score_report, score_words, word_losses
-
-
-def tokens(text):
-    b = (text or "").encode()
-    return list(b"\n\n" + b + b"\n")
-
-
-def plain_losses(texts, scale=1.0, k=crossent.SMOOTHING):
-    three = Counter()
-    for t in texts:
-        seq = tokens(t)
-        three.update(zip(seq, seq[1:], seq[2:]))
-    two, one, ab, b_ = Counter(), Counter(), Counter(), Counter()
-    for (a, b, c), n in three.items():
-        n *= scale
-        two[b, c] += n
-        one[c] += n
-        ab[a, b] += n
-        b_[b] += n
-    total = sum(one.values())
-
-    def loss(a, b, c):
-        p1 = (one[c] + 1) / (total + 256)
-        p2 = (two[b, c] + k * p1) / (b_[b] + k)
-        return -math.log((three[a, b, c] * scale + k * p2) / (ab[a, b] + k))
-
-    return loss, sum(three.values())
-
-
-@pytest.mark.parametrize("block", [1 << 21, 11])
-def test_same_as_plain_models(spark, documents, monkeypatch, block):
-    monkeypatch.setattr(crossent, "BLOCK_BYTES", block)
-    monkeypatch.setattr(crossent, "blocks", lambda offsets: common.blocks(offsets, block))
-    rng = random.Random(0)
-    texts = ["".join(rng.choice("abé 日.") for _ in range(rng.randrange(0, 80))) for _ in range(70)] + [None, "", "aaaa" * 30, "aaaa" * 30]
-    df = documents(list(enumerate(texts)), ["score", "n_tokens", "_body"]).repartition(3)
-    model = fit(df, F.col("doc_id") % 3 == 0)
-    ours, n = plain_losses([t for i, t in enumerate(texts) if i % 3 == 0])
-    _, total = plain_losses(texts)
-    theirs, _ = plain_losses(texts, n / total)
-    assert model.target.sum() == n and model.background.sum() == total
-    for r in score(df, model).collect():
-        seq = tokens(r["text"])
-        grams = list(zip(seq, seq[1:], seq[2:]))
-        assert r["_n_tokens"] == len(grams) == len((r["text"] or "").encode()) + 1
-        assert r["target_loss"] == pytest.approx(sum(ours(*g) for g in grams) / len(grams), rel=1e-5)
-        assert r["background_loss"] == pytest.approx(sum(theirs(*g) for g in grams) / len(grams), rel=1e-5)
-        assert r["_score"] == pytest.approx(r["target_loss"] - r["background_loss"], abs=1e-9)
-
-
-def test_nothing_to_learn_from(spark, documents):
-    df = documents([(1, "some text"), (None, None)])
-    none = fit(df, F.lit(None).cast("boolean"))
-    assert {r["n_tokens"] for r in score(df, none).collect()} == {10, 1}
-    empty = fit(df.where("false"), F.lit(True))
-    assert score(df.where("false"), empty).count() == 0
-    assert all(math.isfinite(r["score"]) for r in score(df, empty).collect())
+from nearmark.llm import crossent
+from nearmark.llm.crossent import packed, score_report, score_words, unpacked
 
 
 def test_good_texts_score_lower(spark):
@@ -95,9 +39,10 @@ def word_tokens(text):
     return [1, 2, *re.findall(r"[^\x20\x09-\x0D]+", text or ""), 3]
 
 
-@pytest.mark.parametrize("block", [1 << 23, 40])
-def test_word_trigrams_same_as_plain_models(spark, documents, monkeypatch, block):
+@pytest.mark.parametrize(("block", "bucket"), [(1 << 23, 1 << 21), (40, 1 << 21), (40, 50)])
+def test_word_trigrams_same_as_plain_models(spark, documents, monkeypatch, block, bucket):
     monkeypatch.setattr(crossent, "COUNTED_BYTES", block)
+    monkeypatch.setattr(crossent, "BUCKET_TOKENS", bucket)
     rng = random.Random(1)
     texts = [rng.choice(" \n").join(rng.choice(["a", "of", "é日", "the", "x" * 30]) for _ in range(rng.randrange(0, 60))) for _ in range(60)] + [None, "", " \t ", "of the " * 40, "of the " * 40, "\xa0 one\u2028two"]
     df = documents(list(enumerate(texts)), ["score", "n_tokens", "_text", "h", "target_mean"]).repartition(3)
@@ -117,12 +62,33 @@ def test_word_trigrams_same_as_plain_models(spark, documents, monkeypatch, block
     assert score_words(df.where("false"), F.lit(True)).count() == 0
 
 
-def test_model_grows_with_word_order(spark, documents):
+def test_nothing_to_learn_from(spark, documents):
+    df = documents([(1, "some text"), (1, "some text"), (None, None), (None, " ")])
+    rows = score_words(df, F.lit(None).cast("boolean")).collect()
+    assert sorted(r["n_tokens"] for r in rows) == [1, 1, 3, 3] and all(math.isfinite(r["score"]) for r in rows)
+    assert len({r["score"] for r in rows if r["n_tokens"] == 3}) == 1
+
+
+def test_packed_numbers():
+    for values in ([], [0], [0, 255, 256], [1 << 63, 5], list(range(1000))):
+        assert unpacked(packed(np.array(values, np.uint64))).tolist() == values
+
+
+def test_counts_grow_with_the_corpus_and_hot_words_do_not(spark, documents, monkeypatch):
+    monkeypatch.setattr(crossent, "COUNTED_BYTES", 300)
     words = [f"w{i}" for i in range(20)]
     rng = random.Random(3)
-    few, many = ([(i, " ".join(rng.choices(words, k=50))) for i in range(n)] for n in (10, 40))
-    # The same bytes meet in both, but more words follow one another.
-    assert word_losses(documents(many), F.lit(True)).count() > 2 * word_losses(documents(few), F.lit(True)).count()
+
+    def asked(n):
+        docs = documents([(i, " ".join(rng.choices(words, k=50))) for i in range(n)])
+        picked = docs.select("text", F.lit(True).alias("wanted"))
+        rows = crossent.ask(crossent.gathered(picked, "text", "wanted"), "text", "wanted", 1).collect()
+        per_block = [len(unpacked(bytes(r["keys"]))) for r in rows if r["order"] == 1]
+        return sum(len(unpacked(bytes(r["keys"]))) for r in rows), max(per_block)
+
+    (few, _), (many, most) = asked(10), asked(40)
+    # More words follow one another, but a word is named once a block however often it occurs.
+    assert many > 3 * few and most <= 22
 
 
 def test_word_order_tells_texts_of_equal_words(spark, tmp_path):
