@@ -14,6 +14,8 @@ are known by 64-bit hashes.  Texts are worked on in blocks of bounded size:
   buckets of their hashes;
 * ``answer``: every bucket adds the counts up and answers each block with the
   totals of the n-grams it named, in the order it named them;
+* the n-grams are asked for in three slices; what one has shuffled is deleted
+  before the next, so that only the answers of all are held at once;
 * ``measured``: every block meets its answers and adds up its texts' losses.
 
 So an n-gram is shuffled once a block and not once an occurrence, only counts
@@ -26,6 +28,7 @@ sent grows with the corpus at every number of buckets.
 from __future__ import annotations
 
 from collections.abc import Iterable, Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -47,6 +50,10 @@ BUCKET_TOKENS = 1 << 21
 # Tasks that answer; further buckets follow one another in a task.
 ANSWERING = 8192
 ORDERS = (1, 2, 3)
+# What is asked, answered and given back before the next: orders, and the first bit of the hashes or None for both.
+SLICES = (((1, 2), None), ((3,), 0), ((3,), 1))
+# Marks compressed numbers.
+PRESSED = 0x80
 CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
@@ -55,16 +62,23 @@ def pair(first: np.ndarray, second: np.ndarray) -> np.ndarray:
 
 
 def packed(values: np.ndarray) -> bytes:
-    """Whole numbers as planes of bytes, as many as the largest needs."""
+    """Whole numbers as planes of bytes, as many as the largest needs, compressed where that is shorter."""
     width = max(1, (int(values.max(initial=0)).bit_length() + 7) // 8)
-    planes = values.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width].T
+    planes = np.ascontiguousarray(values.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width].T)
+    short = pa.compress(planes, "zstd", asbytes=True)
+    if len(short) + 8 < planes.size:
+        return bytes([width | PRESSED]) + planes.size.to_bytes(8, "little") + short
     return bytes([width]) + planes.tobytes()
 
 
 def unpacked(held: bytes) -> np.ndarray:
-    planes = np.frombuffer(held, np.uint8, offset=1).reshape(held[0], -1)
+    width = held[0] & ~PRESSED
+    planes = held[1:]
+    if held[0] & PRESSED:
+        planes = pa.decompress(held[9:], int.from_bytes(held[1:9], "little"), "zstd")
+    planes = np.frombuffer(planes, np.uint8).reshape(width, -1)
     out = np.zeros((planes.shape[1], 8), np.uint8)
-    out[:, : held[0]] = planes.T
+    out[:, :width] = planes.T
     return out.view("<u8").reshape(-1)
 
 
@@ -142,7 +156,7 @@ def _opened(rows: bytes) -> pa.Table:
     return pa.ipc.open_stream(pa.py_buffer(rows)).read_all().combine_chunks()
 
 
-def ask(held: DataFrame, body: str, wanted: str, bits: int) -> DataFrame:
+def ask(held: DataFrame, body: str, wanted: str, bits: int, orders: tuple[int, ...] = ORDERS, half: int | None = None) -> DataFrame:
     """The distinct n-grams of every block, in 2**bits buckets, with the block's counts in the target and in all."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -152,7 +166,11 @@ def ask(held: DataFrame, body: str, wanted: str, bits: int) -> DataFrame:
                 table = _opened(rows.as_py())
                 good = np.asarray(table.column(wanted).to_pylist(), bool)
                 grams = ngrams(*sequences(*utf8(table.column(body)), words))
-                for order, (keys, row) in zip(ORDERS, grams, strict=True):
+                for order in orders:
+                    keys, row = grams[order - 1]
+                    if half is not None:
+                        ours = keys >> np.uint64(63) == half
+                        keys, row = keys[ours], row[ours]
                     kinds, which = np.unique(keys, return_inverse=True)
                     ours, all_ = np.bincount(which, good[row], len(kinds)), np.bincount(which, minlength=len(kinds))
                     bucket = (kinds >> np.uint64(64 - bits)).astype(np.int64)
@@ -227,7 +245,7 @@ def score_words(docs: DataFrame, target: Column, text: str = "text", keep: tuple
     held = gathered(picked, body, wanted)
     in_target, in_all = (x or 0 for x in held.agg(F.sum("target"), F.sum("background")).first())
     bits = max(1, (in_all // BUCKET_TOKENS).bit_length())
-    told = _kept(answer(ask(held, body, wanted, bits), bits), "counts")
+    told = reduce(DataFrame.unionByName, [_kept(answer(ask(held, body, wanted, bits, *some), bits), "counts") for some in SLICES])
     # SECOND stands for no token.
     kinds = max(0, (told.where("`order` = 1").agg(F.sum("kinds")).first()[0] or 0) - 1)
     scales = (1.0, in_target / in_all if in_all else 1.0)
