@@ -294,6 +294,9 @@ FROM log WHERE request_type <> 'Search' GROUP BY 1""",
 FROM lm GROUP BY 1, 2, 3""",
     "metric_percentiles": f"""WITH {LOG}, {LONG} SELECT request_type, metric, count, {SHOWN_SUMMARY}
 FROM {_summary('lm', 'request_type, metric', 'value')}""",
+    "metric_sketches": f"WITH {LOG} SELECT request_type, count(*) AS requests, TRUE AS within FROM log GROUP BY 1",
+    "head_large": """SELECT l_orderkey, count(*) AS lines FROM
+(SELECT l_orderkey FROM lineitem ORDER BY 1 LIMIT (SELECT count(*) * 3 // 4 FROM lineitem)) GROUP BY 1""",
     "metrics_summary": f"""WITH {LOG}, {LONG} SELECT request_type AS operation, 0 AS section, 'Latency (ms)' AS metric, {SHOWN_SUMMARY} FROM {LATENCY}
 UNION ALL SELECT request_type, 1, CASE metric WHEN 'recall' THEN 'Recall' ELSE 'Reciprocal rank' END, {SHOWN_SUMMARY}
 FROM {_summary('lm', 'request_type, metric', 'value')}""",

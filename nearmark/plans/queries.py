@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from nearmark.functions import filters, scalars, scoring
 from nearmark.functions.distance import distance, norm
-from nearmark.operators import balls, bitmaps, corpus, flat, intervals, ivf, oplog, quantise, report, splits
+from nearmark.operators import balls, bitmaps, corpus, flat, intervals, ivf, oplog, quantise, report, selection, sketches, splits
 from nearmark.operators.knn import Match, attach_neighbours, knn, neighbour_lists, rerank, search
 from nearmark.operators.postings import knn_by_postings
 from nearmark.plans import fixtures as fx
@@ -742,6 +742,30 @@ def metric_percentiles(spark, sf_dir):
     return _rounded_all(done, ["request_type", "metric", "count"])
 
 
+@registered
+def metric_sketches(spark, sf_dir):
+    """Percentiles of two runs' stored sketches, merged: is each one's true rank within the stated error."""
+    log = fx.requests(spark, sf_dir).select("request_type", "user_id", F.col("response_time").alias("value"))
+    runs = [stored(sketches.sketch(log.where(F.col("user_id") % 2 == i), ("request_type",)), "sketches") for i in (0, 1)]
+    shares = {"p10": 100, "p50": 500, "p95": 950, "p99": 990}
+    found = sketches.percentiles(sketches.merge(*runs), shares)
+    # Three times the error of 99 runs in 100, and half a row for rounding.
+    slack = 3 * sketches.rank_error() * F.col("requests") + 1
+    counted = log.join(found, "request_type").groupBy("request_type").agg(
+        F.count(F.lit(1)).alias("requests"),
+        *[F.count_if(F.col("value") < F.col(p)).alias(f"{p}_below") for p in shares],
+        *[F.count_if(F.col("value") <= F.col(p)).alias(f"{p}_upto") for p in shares],
+        F.max((F.col("count"))).alias("sketched"),
+        (F.min("value") == F.max("min")).alias("least"),
+        (F.max("value") == F.max("max")).alias("most"),
+    )
+    held = F.col("least") & F.col("most") & (F.col("sketched") == F.col("requests"))
+    for name, share in shares.items():
+        rank = F.col("requests") * (share / 1000.0)
+        held = held & (F.col(f"{name}_below") <= rank + slack) & (F.col(f"{name}_upto") >= rank - slack)
+    return counted.select("request_type", "requests", held.alias("within"))
+
+
 @registered
 def metrics_summary(spark, sf_dir):
     done = report.metrics_summary(fx.requests(spark, sf_dir))
@@ -1030,6 +1054,15 @@ def synth_sample_shape(spark, sf_dir):
     return picked.join(made.distinct(), "id", "left_semi").agg(F.count(F.lit(1)).alias("rows"), F.countDistinct("id").alias("ids"))
 
 
+@registered
+def head_large(spark, sf_dir):
+    """A limit of three quarters of the line items' keys, digit by digit and not in one task."""
+    lines = fx.table(spark, sf_dir, "lineitem").select("l_orderkey")
+    n = lines.count() * 3 // 4
+    first = selection.smallest(lines, n, F.col("l_orderkey"), "l_orderkey", few=1)
+    return first.groupBy("l_orderkey").agg(F.count(F.lit(1)).alias("lines"))
+
+
 @registered
 def synth_pick_counts(spark, sf_dir):
     """Picks per record: index 0 most often, all inside the table."""
