@@ -82,11 +82,14 @@ def _bucket_mean() -> Column:
 
 
 def summarise(
-    hist: DataFrame, keys: tuple[str, ...] = ("request_type", "metric"), ends: tuple[Column, ...] | None = None
+    hist: DataFrame,
+    keys: tuple[str, ...] = ("request_type", "metric"),
+    ends: tuple[Column, ...] | None = None,
+    more: tuple[Column, ...] = (),
 ) -> DataFrame:
     """``keys, count, min, 12 percentiles, max, mean`` of each histogram.
 
-    ``ends`` replaces the expressions of ``min``, ``max`` and ``mean``.
+    ``ends`` replaces the expressions of ``min``, ``max`` and ``mean``; ``more`` are further ones.
     """
     low, high, mean = ends or (
         bucket_value(F.min("bucket")).alias("min"),
@@ -114,6 +117,7 @@ def summarise(
         *[at(bp).alias(percentile_column(bp)) for bp in REPORT_PERCENTILES],
         high,
         mean,
+        *more,
     )
 
 
@@ -128,14 +132,15 @@ def operation_summary(log: DataFrame, key: str = "request_type") -> DataFrame:
         F.count_if("failed").alias("failures"),
         seconds.alias("seconds"),
     )
-    return counted.select(
-        key,
-        "requests",
-        "failures",
+    return counted.select(key, "requests", "failures", *_rates()).orderBy(key)
+
+
+def _rates() -> tuple[Column, ...]:
+    return (
         (F.lit(100.0) * F.col("failures") / F.col("requests")).alias("fail_pct"),
         F.try_divide("requests", "seconds").alias("requests_per_s"),
         F.try_divide("failures", "seconds").alias("failures_per_s"),
-    ).orderBy(key)
+    )
 
 
 def _exact_ends(hist: DataFrame, keys: tuple[str, ...]) -> DataFrame:
@@ -197,21 +202,53 @@ def nested_summary() -> Column:
 
 
 def report(log: DataFrame) -> DataFrame:
-    """One row per operation with nested metric summaries and counters."""
-    nested = _nested(metric_summary(log))
-    totals = counters(log).groupBy("request_type").agg(
-        F.map_from_entries(F.sort_array(F.collect_list(F.struct("counter", "total")))).alias("counters")
-    )
-    return attach_metrics(attach_metrics(operation_summary(log), nested), totals)
+    """One row per operation with nested metric summaries and counters; the log is read once.
 
+    Each request is one entry for itself and one for each metric and counter it
+    carries.  Entries are counted before the shuffle, metrics by thousandth.
+    """
+    nothing = F.lit(None)
 
-def _nested(summary: DataFrame) -> DataFrame:
-    # As many entries as there are metrics.
-    return (
-        summary.select("request_type", F.struct("metric", nested_summary().alias("summary")).alias("_e"))
-        .groupBy("request_type")
-        .agg(F.map_from_entries(F.collect_list("_e")).alias("metrics"))
+    def entry(part: int, name: Column, bucket: Column, amount: Column) -> Column:
+        return F.struct(
+            F.lit(part).alias("part"), name.cast("string").alias("name"),
+            bucket.cast("bigint").alias("bucket"), amount.cast("bigint").alias("amount"),
+        )
+
+    def entries(column: str, make) -> Column:
+        return F.coalesce(F.transform(F.map_entries(column), make), F.array())
+
+    each = F.concat(
+        F.array(entry(0, nothing, nothing, F.col("failed").cast("int"))),
+        entries("metrics", lambda e: entry(1, e["key"], bucket_of(e["value"]), nothing)),
+        entries("counters", lambda e: entry(2, e["key"], nothing, e["value"])),
+    )
+    cells = (
+        log.select("request_type", "ts", F.explode(each).alias("_e"))
+        .select("request_type", "ts", "_e.*")
+        # A metric without a value is none.
+        .where((F.col("part") != 1) | F.col("bucket").isNotNull())
+        .groupBy("request_type", "part", "name", "bucket")
+        .agg(F.count(F.lit(1)).alias("n"), F.sum("amount").alias("amount"), F.min("ts").alias("first"), F.max("ts").alias("last"))
+    )
+    more = (F.sum("amount").alias("amount"), F.min("first").alias("first"), F.max("last").alias("last"))
+    parts = summarise(cells, ("request_type", "part", "name"), more=more)
+    own = lambda c: F.max(F.when(F.col("part") == 0, F.col(c)))
+
+    def collected(part: int, value: Column) -> Column:
+        # As many entries as there are metrics or counters.
+        found = F.collect_list(F.when(F.col("part") == part, F.struct("name", value)))
+        return F.when(F.size(found) > 0, F.map_from_entries(F.sort_array(found) if part == 2 else found))
+
+    seconds = (F.unix_micros(own("last")) - F.unix_micros(own("first"))) / F.lit(1e6)
+    counted = parts.groupBy("request_type").agg(
+        own("count").alias("requests"),
+        F.coalesce(own("amount"), F.lit(0).cast("bigint")).alias("failures"),
+        seconds.alias("seconds"),
+        collected(1, nested_summary().alias("summary")).alias("metrics"),
+        collected(2, F.col("amount").alias("total")).alias("counters"),
     )
+    return counted.select("request_type", "requests", "failures", *_rates(), "metrics", "counters")
 
 
 def rollup_summary(log: DataFrame) -> DataFrame:

@@ -116,6 +116,34 @@ def test_report_json(spark, log, tmp_path):
     assert by["Delete"]["counters"] == {"requests": 2} and "metrics" not in by["Delete"]
 
 
+def test_report_is_its_parts_from_one_scan(spark, log, tmp_path):
+    odd = log.limit(1).select(
+        F.lit("Odd").alias("request_type"), "ts", "user_id", "response_time", F.lit(None).cast("boolean").alias("failed"), "step",
+        F.create_map(F.lit("recall"), F.lit(None).cast("double")).alias("metrics"), F.create_map(F.lit("lost"), F.lit(None).cast("bigint")).alias("counters"),
+    )
+    log.unionByName(odd).write.parquet(f"{tmp_path}/log")
+    log = spark.read.parquet(f"{tmp_path}/log")
+    done = report.report(log)
+    assert done._jdf.queryExecution().executedPlan().toString().count("FileScan") == 1
+    found = {r["request_type"]: r.asDict(recursive=True) for r in done.collect()}
+    counts = {}
+    for r in report.counters(log).collect():
+        counts.setdefault(r["request_type"], {})[r["counter"]] = r["total"]
+    wide = report.attach_metrics(report.operation_summary(log), report.metric_summary(log))
+    for r in wide.collect():
+        one = found[r["request_type"]]
+        assert all(one[c] == r[c] for c in ("requests", "failures", "fail_pct", "requests_per_s", "failures_per_s"))
+        assert one["counters"] == counts.get(r["request_type"])
+        if r["metric"] is None:
+            assert one["metrics"] is None
+            continue
+        nested = one["metrics"][r["metric"]]
+        assert all(nested[c] == pytest.approx(r[c]) for c in ("min", "max", "mean"))
+        assert nested["percentiles"] == {percentile_label(b): r[percentile_column(b)] for b in REPORT_PERCENTILES}
+    assert len(found) == 5 and found["Odd"]["metrics"] is None and found["Odd"]["failures"] == 0
+    assert report.report(log.where("false")).count() == 0
+
+
 def test_rollup_and_gate(log, rows):
     got = {(r["request_type"], r["step"]): r["requests"] for r in report.rollup_summary(log).collect()}
     assert got["Search", None] == sum(r[0] == "Search" for r in rows)
