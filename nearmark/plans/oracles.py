@@ -275,6 +275,8 @@ FROM base LEFT JOIN fresh USING (id)""",
 (SELECT id FROM ops WHERE op = 'delete' AND value > 100) USING (id)""",
     "log_fetch": f"""WITH {OPS}, {BASE} SELECT id, value, '{{}}' AS metadata FROM base SEMI JOIN
 (SELECT id FROM ops WHERE op = 'search' AND value > 50) USING (id)""",
+    **{f"log_fetch_{name}": f"""WITH {OPS}, {BASE} SELECT id, value FROM base SEMI JOIN
+(SELECT id FROM ops WHERE op = 'search' AND value > {least}) USING (id)""" for name, least in (("keyed", 50), ("named", 200))},
     "log_replay": REPLAY,
     "log_replay_upsert": _replay("'insert', 'update', 'delete'"),
     "log_as_of": _replay("'insert', 'delete'", "seq <= (SELECT max(seq) // 2 FROM ops)"),

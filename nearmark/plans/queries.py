@@ -676,6 +676,24 @@ def log_fetch(spark, sf_dir):
     return oplog.fetch(stored, _writes(spark, sf_dir, "search").where(F.col("value") > 50))
 
 
+def _looked_up(spark, sf_dir, least: int) -> DataFrame:
+    path = scratch_path(spark, "keyed")
+    tables.write_keyed(_base(spark, sf_dir), path, 16, rows_per_group=100)
+    return tables.lookup(spark, path, _writes(spark, sf_dir, "search").where(F.col("value") > least)).select("id", "value")
+
+
+@registered
+def log_fetch_keyed(spark, sf_dir):
+    """Fetches from a table stored by key: many keys."""
+    return _looked_up(spark, sf_dir, 50)
+
+
+@registered
+def log_fetch_named(spark, sf_dir):
+    """Fetches from a table stored by key: those of the slowest searches."""
+    return _looked_up(spark, sf_dir, 200)
+
+
 @registered
 def log_replay(spark, sf_dir):
     return oplog.replay(fx.operations(spark, sf_dir))
