@@ -18,6 +18,10 @@ from pyspark.sql.window import Window
 from nearmark.functions.scalars import chunk_of
 
 
+# Ranges told apart by comparisons in generated code; more are searched in one array.
+RANGES_IN_CODE = 128
+
+
 @dataclass(frozen=True)
 class Ranges:
     """Lower ends of the ranges of ``key`` and the rows before each of them."""
@@ -30,6 +34,16 @@ class Ranges:
     def of(self, df: DataFrame) -> Column:
         """0-based range of a row, by value alone."""
         kind, key = df.schema[self.key].dataType, F.col(self.key)
+        n = len(self.starts)
+        if n > RANGES_IN_CODE:
+            held = F.array(*[F.lit(s).cast(kind) for s in self.starts])
+            steps = F.array(*[F.lit(1 << k) for k in reversed(range((n - 1).bit_length()))])
+
+            def step(at: Column, more: Column) -> Column:
+                below = (at + more >= F.lit(n)) | (key < F.get(held, at + more))
+                return F.when(below, at).otherwise(at + more)
+
+            return F.aggregate(steps, F.lit(0), step)
 
         def search(low: int, high: int) -> Column:
             # A tree of comparisons, as deep as the logarithm of the ranges.
@@ -38,7 +52,7 @@ class Ranges:
             middle = (low + high) // 2
             return F.when(key < F.lit(self.starts[middle]).cast(kind), search(low, middle)).otherwise(search(middle, high))
 
-        return search(0, len(self.starts))
+        return search(0, n)
 
     def offset(self, range_column: Column) -> Column:
         """Rows before a range."""

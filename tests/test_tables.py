@@ -1,5 +1,6 @@
 """Ranges, splits, corpus splits, log replay, readers and writers."""
 
+import bisect
 import json
 import random
 from math import ceil
@@ -9,7 +10,7 @@ import os
 import pytest
 from pyspark.sql import functions as F
 
-from nearmark.operators import corpus, oplog, splits
+from nearmark.operators import corpus, oplog, ranges, splits
 from nearmark.operators.ranges import lag_within, lead_within, ranges_of, running_since_reset, with_row_index
 from nearmark.operators.skew import salted_join
 from nearmark.sources import datasets, tables
@@ -35,6 +36,20 @@ def test_chunks(spark, n, chunks):
     assert [r["chunk"] for r in rows] == sorted(r["chunk"] for r in rows)
 
 
+@pytest.mark.parametrize("count", [1, 2, 129, 1000, 3001])
+def test_many_ranges_are_searched(spark, monkeypatch, count):
+    rng = random.Random(count)
+    starts = sorted(rng.sample(range(100_000), count))
+    keys = [None, *starts, *(s - 1 for s in starts), *(s + 1 for s in starts), -5, 200_000]
+    df = spark.createDataFrame([(k,) for k in keys], "id bigint")
+    cut = ranges.Ranges("id", tuple(starts), tuple(range(count)), count)
+    found = {r["id"]: r["at"] for r in df.select("id", cut.of(df).alias("at")).collect()}
+    assert all(at == max(0, bisect.bisect_right(starts, k) - 1) for k, at in found.items() if k is not None)
+    if count < 200:
+        monkeypatch.setattr(ranges, "RANGES_IN_CODE", 1 << 20)
+        assert found == {r["id"]: r["at"] for r in df.select("id", cut.of(df).alias("at")).collect()}
+
+
 def test_chunks_of_several_ranges(spark):
     setting = "spark.sql.adaptive.coalescePartitions.enabled"
     spark.conf.set(setting, "false")
