@@ -12,6 +12,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+# Moments that share a root, about.
+ROOT_MOMENTS = 50_000
+
 
 def interval_tiles(start: Column, end: Column, bits: int) -> Column:
     """The tiles of ``start <= x < end``, of whole numbers from 0 below ``2**bits``.
@@ -62,3 +65,29 @@ def tiled(states: DataFrame, asked: DataFrame, start: str = "valid_from", end: s
     moment = F.when(F.col(at).isNotNull(), F.least(F.col(at).cast("bigint") - zero, top - 1))
     seen = F.when(moment >= 0, point_tiles(moment, bits)).otherwise(none)
     return states.withColumn("list_id", own), asked.withColumn("lists", seen)
+
+
+def rooted(
+    states: DataFrame, asked: DataFrame, start: str = "valid_from", end: str = "valid_to", at: str = "at", moments: int = ROOT_MOMENTS
+) -> tuple[DataFrame, DataFrame]:
+    """Like :func:`tiled`, with tiles no larger than a ``root`` that holds about ``moments`` moments.
+
+    A moment has one root; a state comes once for each root it lives in, with
+    its tiles in there.  For ``knn(..., Match(by=("root",), lists=True, nested=True))``:
+    rows meet by their root, so a vector is sent once per root and not once per
+    tile.  States that no moment can see are left out.
+    """
+    ends = asked.agg(F.min(at).alias("low"), F.max(at).alias("high"), F.count(at).alias("n")).first()
+    zero, span = ends["low"] or 0, (ends["high"] or 0) - (ends["low"] or 0) + 1
+    bits = max(1, span.bit_length())
+    level = min(bits, max(0, (span * moments // max(1, ends["n"])).bit_length() - 1))
+    begin = F.greatest(F.col(start).cast("bigint") - zero, F.lit(0).cast("bigint"))
+    close = F.least(F.col(end).cast("bigint") - zero, F.lit(span).cast("bigint"))
+    lives = states.where(F.col(start).isNotNull()).withColumn("_a", begin).withColumn("_b", close).where("_a < _b")
+    lives = lives.withColumn("root", F.explode(F.sequence(F.shiftright("_a", level), F.shiftright(F.col("_b") - 1, level))))
+    low = F.greatest("_a", F.shiftleft("root", level))
+    high = F.least("_b", F.shiftleft(F.col("root") + 1, level))
+    lives = lives.withColumn("list_id", interval_tiles(low, high, bits)).drop("_a", "_b")
+    moment = F.col(at).cast("bigint") - zero
+    seen = asked.where(F.col(at).isNotNull()).withColumn("root", F.shiftright(moment, level))
+    return lives, seen.withColumn("lists", F.slice(point_tiles(moment, bits), 1, level + 1))

@@ -3,7 +3,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from nearmark.operators.intervals import tiled
+from nearmark.operators.intervals import rooted, tiled
 from nearmark.operators.knn import Match, knn
 
 
@@ -47,3 +47,25 @@ def test_empty(spark):
     q = spark.createDataFrame([(1, 5)], "query_id int, at bigint")
     left, right = tiled(s, q)
     assert left.collect() == [] and right.count() == 1
+
+
+def test_tiles_below_roots(spark):
+    """A state is sent once per root that it lives in, not once per tile."""
+    rng = random.Random(9)
+    held = [(i, a, b, [rng.random(), rng.random()], i % 2) for i, a, b in rows(rng, 150, 400)] + [(900, None, None, [0.0, 0.0], 0)]
+    s = spark.createDataFrame(held, "id int, valid_from bigint, valid_to bigint, values array<double>, space int").repartition(3)
+    points = [(j, 2 * j - 3, [rng.random(), rng.random()], 4, j % 2) for j in range(220)] + [(999, None, [0.0, 0.0], 4, 0)]
+    q = spark.createDataFrame(points, "query_id int, at bigint, values array<double>, top_k int, space int")
+    show = lambda df: sorted(map(tuple, df.collect()))
+    want = show(knn(s, q, "euclidean", Match(as_of=True, by=("space",)), strategy="records"))
+    for moments in (1, 20, 10_000):
+        left, right = rooted(s, q, moments=moments)
+        for strategy in ("queries", "records", "grid"):
+            match = Match(by=("space", "root"), lists=True, nested=True)
+            assert show(knn(left, right, "euclidean", match, strategy=strategy, block_bytes=2000)) == want
+    left, right = rooted(s, q, moments=20)
+    roots = right.select("root").distinct().count()
+    assert 5 < roots < 50 and left.count() <= roots * s.count()
+    tiles = left.agg(F.sum(F.size("list_id"))).first()[0]
+    assert left.count() < tiles
+    assert rooted(s.limit(0), q)[0].count() == 0 and rooted(s, q.limit(0))[1].count() == 0
