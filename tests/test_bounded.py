@@ -60,3 +60,30 @@ def test_as_of_meets_the_states_of_its_time_alone(vectors):
     # Most states live for a moment: they go to few of the many ranges.
     assert right.select("_t").distinct().count() > 4
     assert left.where("valid_to IS NOT NULL").count() < 2 * 300
+
+
+def test_codes_measure_block_by_block(spark, vectors):
+    """Candidates are not listed where all are wanted, and portions of queries do not multiply with the codebooks."""
+    from nearmark import session
+    from nearmark.operators import quantise
+
+    books = quantise.fit_codebooks(vectors, "cosine", parts=4, codes=16)
+    codes = session.stored(quantise.encode(vectors.select("id", "values"), books, "cosine"), "codes")
+    before = len(session._HANDED[spark.sparkContext.applicationId])
+    found = quantise.pq_search(vectors, codes, books, asked(vectors), "cosine", times=100)
+    assert shown(found) == shown(knn(vectors, asked(vectors), "cosine"))
+    assert not any("candidates" in p for p in session._HANDED[spark.sparkContext.applicationId][before:])
+    near = quantise.candidates(codes, books, asked(vectors), "cosine", 4, budget=1 << 17)
+    # One scan of the codes, whatever the budget, and the sums over parts decide.
+    assert near._jdf.queryExecution().executedPlan().toString().count("Union") <= 1
+    entries = quantise._books(books)
+    code = {r["id"]: r["code"] for r in codes.collect()}
+    x = {r["id"]: np.array(r["values"]) for r in vectors.collect()}
+    got = {}
+    for r in near.collect():
+        got.setdefault(r["query_id"], set()).add(r["id"])
+    for q in (0, 17, 299):
+        unit = x[q] / np.linalg.norm(x[q])
+        score = {i: sum(((unit[j : j + 1] - entries[j][c[j]]) ** 2).sum() for j in range(4)) for i, c in code.items()}
+        edge = sorted(score.values())[11]
+        assert len(got[q]) == 12 and all(score[i] <= edge + 1e-12 for i in got[q])
