@@ -23,6 +23,8 @@ from nearmark.session import delete_path, scratch_path
 
 # Micro-batches kept apart before they are merged.
 COMPACT_BATCHES = 16
+# Counts that a task spreads over their windows, each once per window.
+TASK_ROWS = 1_000_000
 
 __all__ = [
     "alive", "file_stream", "live_table", "metric_counts", "metric_totals", "run_append", "run_sessions", "run_update", "run_windows",
@@ -59,14 +61,23 @@ def window_metrics(
 
     ``counts`` are those of :func:`window_counts` with the same ``slide``.
     Percentiles are exact nearest ranks.  ``keys=()`` is over all operations.
+
+    Windows are dealt to tasks by tiles of time as long as a window, so a count
+    moves to two tiles and is spread over its windows there; there are as many
+    tasks as keep each near ``TASK_ROWS`` spread rows.
     """
     epoch = F.timestamp_micros(F.lit(0).cast("bigint"))
     width, step = (F.unix_micros(epoch + F.expr(f"INTERVAL {t}")) for t in (window, slide))
     shifts = F.explode(F.sequence(F.lit(0).cast("bigint"), width - step, step))
-    spread = counts.withColumn("_s", F.unix_micros("w.start")).withColumn("_shift", shifts)
-    spread = spread.withColumn("_s", F.col("_s") - F.col("_shift"))
-    merged = spread.groupBy("_s", *keys, "response_time").agg(F.sum("n").alias("n"))
-    done = ranked(merged, ["_s", *keys], "response_time", {"latency_p50": 500, "latency_p95": 950})
+    spark = counts.sparkSession
+    rows, most = counts.agg(F.count(F.lit(1)), F.first(F.ceil(width / step))).first()
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-rows * (most or 1) // TASK_ROWS))
+    tile = lambda start: start - F.pmod(start, width)
+    begun = counts.select(F.unix_micros("w.start").alias("_s"), *keys, "response_time", "n")
+    dealt = begun.withColumn("_tile", F.explode(F.sequence(tile(F.col("_s") - width + step), tile(F.col("_s")), width)))
+    spread = dealt.repartition(tasks, "_tile").withColumn("_shift", shifts).withColumn("_s", F.col("_s") - F.col("_shift"))
+    merged = spread.where(tile(F.col("_s")) == F.col("_tile")).groupBy("_tile", "_s", *keys, "response_time").agg(F.sum("n").alias("n"))
+    done = ranked(merged, ["_tile", "_s", *keys], "response_time", {"latency_p50": 500, "latency_p95": 950})
     bounds = F.struct(F.timestamp_micros("_s").alias("start"), F.timestamp_micros(F.col("_s") + width).alias("end"))
     rate = F.col("requests") / (width / F.lit(1e6))
     return done.select(bounds.alias("w"), *keys, "requests", rate.alias("requests_per_s"), "latency_p50", "latency_p95")

@@ -54,6 +54,28 @@ def test_windows_and_late_rows(spark, tmp_path):
     assert sorted((r["w"]["start"], r["requests"]) for r in overall) == sorted((r["w"]["start"], r["requests"]) for r in want)
 
 
+@pytest.mark.parametrize(("window", "slide"), [(10, 1), (10, 3), (4, 4)])
+def test_more_counts_are_spread_by_more_tasks(spark, monkeypatch, window, slide):
+    monkeypatch.setattr(live, "TASK_ROWS", 100, raising=False)
+    log = [("Search", at(s * 7 % 1000), float(s % 13), False) for s in range(1000)]
+    counts = live.window_counts(spark.createDataFrame(log, LOG), f"{slide} seconds")
+    found = live.window_metrics(counts, f"{window} seconds", f"{slide} seconds", keys=())
+    rows = found.select("w.start", "requests", "latency_p50", "latency_p95", F.spark_partition_id().alias("task")).collect()
+    if window > slide:
+        # The session has four tasks a shuffle.
+        assert len({r["task"] for r in rows}) > 4
+    first = int((T0 - datetime(1970, 1, 1)).total_seconds())
+    want = {}
+    for _, ts, took, _ in log:
+        second = int((ts - datetime(1970, 1, 1)).total_seconds())
+        stretch = second - second % slide
+        for start in range(stretch, stretch - window + slide - 1, -slide):
+            want.setdefault(start - first, []).append(took)
+    got = {int((r["start"] - T0).total_seconds()): (r["requests"], r["latency_p50"], r["latency_p95"]) for r in rows}
+    rank = lambda own, p: sorted(own)[-(-len(own) * p // 100) - 1]
+    assert got == {s: (len(own), rank(own, 50), rank(own, 95)) for s, own in want.items()} and len(got) == len(rows)
+
+
 def test_percentiles_are_exact_beyond_ten_thousand_values(spark):
     rows = spark.range(30_000).select(
         F.lit("Search").alias("request_type"), F.lit(T0).alias("ts"), (F.col("id") * 7919 % 30_000 / 1000.0).alias("response_time"),
