@@ -54,6 +54,11 @@ def per_process(key: str, make: Callable[[], object]) -> object:
     return getattr(home, key)
 
 
+def forget() -> None:
+    """Drop what earlier operators keep in this Python worker; tasks that keep nothing call it when they begin."""
+    sys.modules.pop("_nearmark_worker", None)
+
+
 def utf8(array: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Bytes and offsets of a string or binary array; nulls are empty."""
     if isinstance(array, pa.ChunkedArray):

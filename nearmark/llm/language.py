@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType, DoubleType, StringType
 from pyspark.sql.window import Window
 
-from nearmark.llm.common import column, fresh, text_of, utf8
+from nearmark.llm.common import column, forget, fresh, text_of, utf8
 
 BUCKETS = 1 << 15
 WIDTH = 16
@@ -225,6 +225,7 @@ def fit(
     sample = labelled.where(place < chance).select("k", "lang", "body", F.xxhash64("k", "body").alias("h"))
 
     def count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget()
         subwords = Subwords()
         for batch in batches:
             data, offsets = utf8(batch.column(2))
@@ -261,6 +262,7 @@ def identify(docs: DataFrame, model: Model, text: str = "text", keep: tuple[str,
     schema = base.schema.add(pred, StringType()).add(score, DoubleType()).add(rejected, BooleanType())
 
     def predict(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget()
         known, subwords = shared.value, Subwords()
         languages = np.array([*known.languages, UNKNOWN], dtype=object)
         for batch in batches:

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from nearmark.llm.common import Words, blocks, column, fresh, mixed, runs, text_of, utf8
+from nearmark.llm.common import Words, blocks, column, forget, fresh, mixed, runs, text_of, utf8
 from nearmark.llm.graph import components
 from nearmark.session import stored
 
@@ -155,6 +155,7 @@ def read_signatures(docs: DataFrame, key: str, text: str) -> DataFrame:
     """``key, hash, digest, shingles, signature`` of every row; equal shingle sets have equal digests."""
 
     def sign(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget()
         words = Words()
         for batch in batches:
             data, offsets = utf8(batch.column(1))

@@ -40,7 +40,7 @@ MARKS = ".,;:!?|%*&#$+=/)@~^-"
 # Tasks, or groups of tasks, whose remainders are packed together: less than 4 MB of ids.
 GROUP = 256
 # Words whose ids a worker remembers, and the longest such word.
-MEMORY_WORDS, WORD_CHARS = 1_200_000, 40
+MEMORY_WORDS, WORD_CHARS = 600_000, 40
 
 
 class WordEncoder:

@@ -2,9 +2,11 @@ import random
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from nearmark.llm import packing
+from nearmark.llm.common import per_process
 from nearmark.llm.packing import WordEncoder, default_tokenizer, fill, pack
 
 pytest.importorskip("tokenizers")
@@ -90,3 +92,22 @@ def test_many_small_partitions_fill_windows_together(spark, documents, monkeypat
     assert len({p.doc_id for p in pieces}) == 400
     # Documents are not shredded: a piece more a window at most.
     assert len(pieces) <= 400 + total // window + 9
+
+
+def test_remembered_words_go_when_another_operator_works(spark, documents):
+    from nearmark.llm.neardup import read_signatures
+
+    def keep(batches):
+        per_process("words:kept", dict)["x"] = 1
+        yield from batches
+
+    def look(batches):
+        for batch in batches:
+            yield pa.record_batch({"id": pa.array([per_process("words:kept", dict).get("x", 0)] * batch.num_rows, pa.int64())})
+
+    one = lambda f: spark.range(0, 40, 1, 1).mapInArrow(f, "id bigint").agg({"id": "sum"}).first()[0]
+    one(keep)
+    # Tasks run one after the other, in the worker that is at hand.
+    assert one(look) == 40
+    read_signatures(documents([(1, "a b c d e f")], []).coalesce(1), "doc_id", "text").collect()
+    assert one(look) == 0
