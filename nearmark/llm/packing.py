@@ -16,19 +16,20 @@ lengths are powers of two, which need no padding.
 from __future__ import annotations
 
 import bisect
+import operator
 import os
-import re
 import zlib
 from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, LongType
 
-from nearmark.llm.common import column, fresh, per_process, text_of
+from nearmark.llm.common import blocks, column, fresh, per_process, text_of, utf8
 from nearmark.session import stored
 
 WINDOW = 4096
@@ -37,12 +38,19 @@ END_ID = 2
 POOL, POOL_LEFT = 4096, 1024
 # What may follow a word of plain letters and is split off by the tokenizer.
 MARKS = ".,;:!?|%*&#$+=/)@~^-"
+LETTERS = "^[A-Za-zß-öø-ÿÀ-ÖØ-Þ]+$"
 # Tasks, or groups of tasks, whose remainders are packed together: less than 4 MB of ids.
 GROUP = 256
+# Bytes of text split into words at once, and words whose ids are placed at once.
+TEXT_BYTES, WORDS_PLACED = 1 << 22, 1 << 17
 # Words whose ids a worker remembers, and the longest such word.
 MEMORY_WORDS, WORD_CHARS = 600_000, 40
 
 
+def strings(array: pa.Array) -> list[str]:
+    return array.to_numpy(zero_copy_only=False).tolist()
+
+
 class WordEncoder:
     """Ids of texts by a tokenizer of the ``tokenizers`` library that drops white space.
 
@@ -57,8 +65,13 @@ class WordEncoder:
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         self.tokenizer = tokenizers.Tokenizer.from_file(path)
+        # Words asked for since memory was last half full, and those before.
         self.known: dict[str, bytes] = {}
-        self.letters = re.compile("[A-Za-zß-öø-ÿÀ-ÖØ-Þ]+")
+        self.older: dict[str, bytes] = {}
+        # The same pieces for words of small letters, which need no other rule.
+        self.plain = tokenizers.Tokenizer(self.tokenizer.model)
+        byte_level = tokenizers.pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
+        self.plain.pre_tokenizer = tokenizers.pre_tokenizers.Sequence([tokenizers.pre_tokenizers.CharDelimiterSplit(" "), byte_level])
         self.last = np.zeros(self.tokenizer.get_vocab_size(), bool)
         for piece, i in self.tokenizer.get_vocab().items():
             self.last[i] = piece.endswith("</w>")
@@ -67,11 +80,11 @@ class WordEncoder:
         return np.asarray(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
     def _learn_letters(self, words: list[str]) -> None:
-        """Ids of words of plain letters, many in one call; each ends with its own last piece."""
+        """Ids of words of small letters, many in one call; each ends with its own last piece."""
         for s in range(0, len(words), 4096):
             part = words[s : s + 4096]
             texts = [" ".join(part[t : t + 128]) for t in range(0, len(part), 128)]
-            found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
+            found = self.plain.encode_batch_fast(texts, add_special_tokens=False)
             ids = np.concatenate([np.asarray(e.ids, "<u4") for e in found])
             ends = (4 * np.flatnonzero(self.last[ids]) + 4).tolist()
             if len(ends) != len(part):
@@ -79,36 +92,62 @@ class WordEncoder:
             data = ids.tobytes()
             self.known.update(zip(part, map(data.__getitem__, map(slice, [0, *ends], ends)), strict=False))
 
-    def _learn(self, words: set[str]) -> None:
-        known, letters, split, odd = self.known, self.letters.fullmatch, [], []
-        for w in words:
-            core = w.rstrip(MARKS)
-            if core.isalpha() if core.isascii() else letters(core):
-                split.append((w, core.lower(), w[len(core) :]))
-            else:
-                odd.append(w)
-        for w in {mark for _, _, mark in split}.union(odd):
-            if w not in known:
-                known[w] = self.direct(w)
-        self._learn_letters(list({core for _, core, _ in split}.difference(known)))
-        known.update([(w, known[core] + known[mark]) for w, core, mark in split])
-
-    def ids(self, texts: list[str]) -> list[bytes]:
+    def _recall(self, words: Iterable[str]) -> list[str]:
+        """Words that are not known, nor were before."""
+        known, older = self.known, self.older
+        missing = [w for w in words if w not in known]
+        if not older:
+            return missing
+        again = [w for w in missing if w in older]
+        known.update(zip(again, map(older.__getitem__, again), strict=True))
+        return [w for w in missing if w not in older] if again else missing
+
+    def _learn(self, words: list[str]) -> None:
+        table = pa.array(words, pa.string())
+        cores = pc.utf8_rtrim(table, MARKS)
+        plain = pc.match_substring_regex(cores, LETTERS)
+        odd = table.filter(pc.invert(plain)).to_pylist()
+        split = strings(table.filter(plain))
+        cores = cores.filter(plain)
+        marks = [w[n:] for w, n in zip(split, pc.utf8_length(cores).to_pylist(), strict=True)]
+        cores = strings(pc.utf8_lower(cores))
+        for w in self._recall({*marks, *odd}):
+            self.known[w] = self.direct(w)
+        self._learn_letters(self._recall(set(cores)))
+        get = self.known.__getitem__
+        self.known.update(zip(split, map(operator.add, map(get, cores), map(get, marks)), strict=True))
+
+    def ids(self, texts: list[str] | pa.Array) -> list[bytes]:
         """Little-endian 32-bit ids of each text."""
-        split = [t.replace("\n", " ").split(" ") for t in texts]
-        unknown = set().union(*split).difference(self.known)
-        if len(unknown) > MEMORY_WORDS // 2 and len(texts) > 1:
+        texts = texts if isinstance(texts, pa.Array) else pa.array(texts, pa.string())
+        lists = pc.split_pattern(pc.replace_substring(texts, "\n", " "), " ")
+        found = lists.flatten().dictionary_encode()
+        words = strings(found.dictionary)
+        if len(words) > MEMORY_WORDS // 2 and len(texts) > 1:
             half = len(texts) // 2
-            return self.ids(texts[:half]) + self.ids(texts[half:])
-        if len(self.known) + len(unknown) > MEMORY_WORDS:
-            self.known, unknown = {}, set().union(*split)
-        long = {w for w in unknown if len(w) > WORD_CHARS}
-        self._learn(unknown.difference(long) if long else unknown)
+            return self.ids(texts.slice(0, half)) + self.ids(texts.slice(half))
         # Long words are kept for these texts alone.
-        self.known.update((w, self.direct(w)) for w in long)
-        out = [b"".join(map(self.known.__getitem__, own)) for own in split]
-        for w in long:
-            del self.known[w]
+        is_long = pc.greater(pc.utf8_length(found.dictionary), WORD_CHARS)
+        long = {w: self.direct(w) for w in strings(found.dictionary.filter(is_long))}
+        self._learn(self._recall([w for w in words if w not in long] if long else words))
+        get = self.known.__getitem__
+        held = [long[w] if w in long else get(w) for w in words] if long else list(map(get, words))
+        if len(self.known) > MEMORY_WORDS // 2:
+            # One text may have more words than that.
+            self.known, self.older = {}, self.known if len(self.known) <= MEMORY_WORDS else {}
+        # The ids of all distinct words, and where the words of the texts find theirs.
+        ids = np.frombuffer(b"".join(held), "<u4")
+        sizes = np.fromiter(map(len, held), np.int64, len(held)) // 4
+        starts, at = np.cumsum(sizes) - sizes, found.indices.to_numpy()
+        cuts = lists.offsets.to_numpy() - lists.offsets[0].as_py()
+        out = []
+        for s, e in blocks(cuts, WORDS_PLACED):
+            own = at[cuts[s] : cuts[e]]
+            counts = sizes[own]
+            ends = np.concatenate([[0], np.cumsum(counts)])
+            placed = ids[np.repeat(starts[own] - ends[:-1], counts) + np.arange(ends[-1])].tobytes()
+            edges = (4 * ends[cuts[s : e + 1] - cuts[s]]).tolist()
+            out += [placed[i:j] for i, j in zip(edges[:-1], edges[1:], strict=True)]
         return out
 
 
@@ -297,9 +336,8 @@ def pack(
         for batch in batches:
             table = pa.table(batch)
             texts, rest = table.column(body), table.drop_columns([body])
-            for s in range(0, len(texts), 512):
-                part = texts.slice(s, 512).to_pylist()
-                for i, own in enumerate(encoder.ids(part)):
+            for s, e in blocks(utf8(texts)[1], TEXT_BYTES):
+                for i, own in enumerate(encoder.ids(texts.slice(s, e - s).combine_chunks())):
                     ids[number] = own + closing
                     kept[number] = rest.slice(s + i, 1)
                     waiting[number] = len(own) // 4 + 1

@@ -111,3 +111,20 @@ def test_remembered_words_go_when_another_operator_works(spark, documents):
     assert one(look) == 40
     read_signatures(documents([(1, "a b c d e f")], []).coalesce(1), "doc_id", "text").collect()
     assert one(look) == 0
+
+
+def test_words_in_use_are_remembered_when_memory_is_full(monkeypatch):
+    monkeypatch.setattr(packing, "MEMORY_WORDS", 400)
+    encoder = WordEncoder(default_tokenizer())
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    common = [a + b for a in letters for b in "xyz"]
+    rare = ["".join(random.Random(i).choices(letters, k=9)) for i in range(4000)]
+    learned = []
+    learn = encoder._learn_letters
+    monkeypatch.setattr(encoder, "_learn_letters", lambda words: (learned.extend(words), learn(words))[1])
+    for i in range(0, 4000, 20):
+        text = " ".join([*common, *rare[i : i + 20], "Été,"])
+        assert encoder.ids([text])[0] == encoder.direct(text)
+        assert len(encoder.known) + len(encoder.older) <= 600
+    # A word that every text has is learned once, a rare one too.
+    assert len(learned) == len(set(learned))
