@@ -123,6 +123,11 @@ def softmax(logits: np.ndarray, temperature: float = 1.0) -> np.ndarray:
     return z / z.sum(axis=1, keepdims=True)
 
 
+def share(row: tuple[np.ndarray, np.ndarray, str]) -> np.ndarray:
+    """A row's counts as shares of their sum; made anew each time, as all rows' shares are larger than the rows."""
+    return row[1] / max(1, row[1].sum())
+
+
 def train(rows: list[tuple[np.ndarray, np.ndarray, str]], seed: int = 0) -> Model:
     """Fit on rows of (bucket numbers, their counts, language), in the order given."""
     languages = sorted({lang for *_, lang in rows})
@@ -132,9 +137,8 @@ def train(rows: list[tuple[np.ndarray, np.ndarray, str]], seed: int = 0) -> Mode
     rng = np.random.default_rng(seed)
     held = np.arange(len(rows)) % CALIBRATE == CALIBRATE - 1
     fit = np.flatnonzero(~held)
-    shares = [c / max(1, c.sum()) for _, c, _ in rows]
     # Averages of many rows are short; one factor brings them to length one.
-    scale = 1 / max(1e-9, float(np.mean([np.sqrt((s**2).sum()) for s in shares])))
+    scale = 1 / max(1e-9, float(np.mean([np.sqrt((share(r) ** 2).sum()) for r in rows])))
     table = rng.normal(0, 0.3, (BUCKETS, WIDTH)).astype(np.float32)
     top = rng.normal(0, 0.3, (WIDTH, len(languages))).astype(np.float32)
     bias = np.zeros(len(languages), np.float32)
@@ -142,7 +146,7 @@ def train(rows: list[tuple[np.ndarray, np.ndarray, str]], seed: int = 0) -> Mode
     def dense(which: np.ndarray) -> np.ndarray:
         x = np.zeros((len(which), BUCKETS), np.float32)
         for r, i in enumerate(which):
-            x[r, rows[i][0]] = shares[i] * scale
+            x[r, rows[i][0]] = share(rows[i]) * scale
         return x
 
     for epoch in range(EPOCHS):
@@ -161,29 +165,29 @@ def train(rows: list[tuple[np.ndarray, np.ndarray, str]], seed: int = 0) -> Mode
             bias -= rate * g.sum(axis=0)
             table[used] -= rate * step
     model = Model(languages, (table @ top).astype(np.float64) * scale, bias.astype(np.float64))
-    model.temperature = temperature(model, rows, shares, label, np.flatnonzero(held))
+    model.temperature = temperature(model, rows, label, np.flatnonzero(held))
     model.known = np.zeros((BUCKETS, len(languages)), np.float32)
     for i in fit:
-        model.known[rows[i][0], label[i]] += shares[i]
+        model.known[rows[i][0], label[i]] += share(rows[i])
     model.known = (model.known * BUCKETS >= np.bincount(label[fit], minlength=len(languages))).astype(np.float32) * (model.known > 0)
-    model.floor = floor(model, rows, shares, label, np.flatnonzero(held))
+    model.floor = floor(model, rows, label, np.flatnonzero(held))
     return model
 
 
-def floor(model: Model, rows, shares, label: np.ndarray, held: np.ndarray) -> float:
+def floor(model: Model, rows, label: np.ndarray, held: np.ndarray) -> float:
     """Midway between random subwords and the lowest of the held rows that are predicted rightly."""
-    right = [i for i in held if (model.weights[rows[i][0]].T @ shares[i] + model.bias).argmax() == label[i]]
+    right = [i for i in held if (model.weights[rows[i][0]].T @ share(rows[i]) + model.bias).argmax() == label[i]]
     if not right:
         return 0.0
-    least = np.quantile([model.known[rows[i][0], label[i]] @ shares[i] for i in right], LEAST_QUANTILE)
+    least = np.quantile([model.known[rows[i][0], label[i]] @ share(rows[i]) for i in right], LEAST_QUANTILE)
     return float(least + model.known.mean(axis=0).max()) / 2
 
 
-def temperature(model: Model, rows, shares, label: np.ndarray, held: np.ndarray) -> float:
+def temperature(model: Model, rows, label: np.ndarray, held: np.ndarray) -> float:
     """The divisor of the scores that makes the held rows' labels most likely."""
     if not len(held):
         return 1.0
-    logits = np.array([model.weights[rows[i][0]].T @ shares[i] + model.bias for i in held])
+    logits = np.array([model.weights[rows[i][0]].T @ share(rows[i]) + model.bias for i in held])
     loss = lambda t: -np.log(softmax(logits, t)[np.arange(len(held)), label[held]] + 1e-12).mean()
     return float(min(np.geomspace(0.25, 8, 41), key=loss))
 
@@ -236,13 +240,13 @@ def fit(
 
     counted = sample.mapInArrow(count, "k string, lang string, buckets array<smallint>, counts array<int>, h bigint")
     number = F.row_number().over(Window.partitionBy("lang").orderBy("h", "k"))
-    table = counted.withColumn("n", number).where(F.col("n") <= 2 * quota).drop("h", "n").toArrow()
+    table = counted.withColumn("n", number).where(F.col("n") <= 2 * quota).drop("n").toArrow()
     gathered = []
-    for k, lang, b, c in zip(table.column(0).to_pylist(), table.column(1).to_pylist(), table.column(2), table.column(3), strict=True):
-        gathered.append((k, lang, b.values.to_numpy().astype(np.int64), c.values.to_numpy().astype(np.float64)))
+    for k, lang, b, c, h in zip(*[table.column(x).to_pylist() for x in (0, 1)], table.column(2), table.column(3), table.column(4).to_pylist(), strict=True):
+        gathered.append((k, lang, b.values.to_numpy(), c.values.to_numpy(), h))
     # Arrival order varies; repeated keys are told apart by what they hold.
-    gathered.sort(key=lambda r: (zlib.crc32(r[0].encode()), r[0], r[1], r[2].tobytes(), r[3].tobytes()))
-    return train([(b, c, lang) for _, lang, b, c in gathered])
+    gathered.sort(key=lambda r: (zlib.crc32(r[0].encode()), r[0], r[1], r[4]))
+    return train([(b, c, lang) for _, lang, b, c, _ in gathered])
 
 
 def identify(docs: DataFrame, model: Model, text: str = "text", keep: tuple[str, ...] | None = None) -> tuple[DataFrame, dict[str, str]]:

@@ -218,12 +218,13 @@ def _candidates(classes: DataFrame, threshold: float) -> DataFrame:
     return dealt.mapInArrow(prune, "a bigint, b bigint")
 
 
-def _verified(texts: DataFrame, threshold: float) -> DataFrame:
+def _verified(texts: DataFrame, wanted: DataFrame, threshold: float) -> DataFrame:
     """``id, root, links`` from rows of a group: verified links, and a vertex each is connected to.
 
-    ``texts`` has ``grp, id, copies, shingles, text``.
+    ``texts`` has ``grp, id, copies, text``; ``wanted`` has the ``grp, shingles`` of each class, once
+    however often its text is repeated, so that counting them reads no text.
     """
-    totals = texts.groupBy("grp").agg(F.ceil(F.sum("shingles") / GROUP_SHINGLES).cast("bigint").alias("parts"))
+    totals = wanted.groupBy("grp").agg(F.ceil(F.sum("shingles") / GROUP_SHINGLES).cast("bigint").alias("parts"))
     celled = _cells(texts.join(totals, "grp"), F.greatest("parts", F.lit(1)), F.xxhash64("id", F.lit(3)))
     celled = celled.select("grp", "low", "high", "part", "id", "copies", "text")
 
@@ -291,11 +292,12 @@ def _classes(docs: DataFrame, key: str, text: str, threshold: float) -> tuple[Da
     )
     body = text_of(docs, text)
     read = docs.select(_key(column(docs, key)).alias("k"), F.unhex(F.sha2(body, 256)).alias("h"), body.alias("text"))
-    verified = stored(_verified(read.join(wanted, ["k", "h"]).drop("k", "h"), threshold), "links")
+    verified = stored(_verified(read.join(wanted, ["k", "h"]).drop("k", "h", "shingles"), wanted, threshold), "links")
     count = verified.groupBy("id").agg(F.sum("links").alias("links"))
     linked = components(verified.select(F.col("id").alias("a"), F.col("root").alias("b")))
     small = classes.select("digest", "copies", "least", "id").join(count, "id", "left").join(linked, "id", "left")
-    small = small.withColumn("root", F.coalesce("root", "id"))
+    # It is read twice by what follows; a plan of all steps at once would take the driver's memory.
+    small = stored(small.withColumn("root", F.coalesce("root", "id")).drop("id"), "small")
     first = small.groupBy("root").agg(F.min("least").alias("first"))
     links_ = (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).cast("bigint").alias("n_links")
     return signed.select("key", "digest"), small.join(first, "root").select("digest", "first", links_)

@@ -1,11 +1,12 @@
 import random
+import tracemalloc
 import zlib
 
 import numpy as np
 import pytest
 
 from nearmark.llm import language
-from nearmark.llm.language import Subwords, fit, held_out, identify
+from nearmark.llm.language import Subwords, fit, held_out, identify, train
 
 WORDS = {"en": "the of and with that this from have".split(), "fr": "où les être pour avec été dans nous".split()}
 
@@ -95,3 +96,16 @@ def test_a_repeated_key_does_not_fill_the_sample(spark, documents, monkeypatch):
     monkeypatch.setattr(language, "train", lambda rows: seen.append(len(rows)))
     language.fit(documents(rows), rows=20, per_language=10)
     assert 1 <= seen[0] <= 40
+
+
+def test_training_holds_the_rows_once():
+    rng = np.random.default_rng(3)
+    rows = [(np.arange(20_000, dtype=np.int16), rng.integers(1, 9, 20_000).astype(np.int32), "ab"[i % 2]) for i in range(400)]
+    tracemalloc.start()
+    model = train(rows)
+    _, peak = tracemalloc.get_traced_memory()
+    tracemalloc.stop()
+    # The rows have 48 MB; their shares, all at once, had 64 MB more.
+    assert peak < 40e6
+    wide = train([(b.astype(np.int64), c.astype(np.float64), lang) for b, c, lang in rows])
+    assert (model.weights == wide.weights).all() and model.floor == wide.floor and model.temperature == wide.temperature

@@ -123,3 +123,16 @@ def test_components(spark):
     touched = {v for e in edges if e[0] != e[1] for v in e}
     assert got == {v: int(root[v]) for v in touched}
     assert components(spark.createDataFrame([], "a bigint, b bigint")).count() == 0
+
+
+def test_stars_take_no_step_and_no_plan_holds_two(spark, monkeypatch):
+    from nearmark.llm import graph
+
+    plans, keep = [], graph.stored
+    monkeypatch.setattr(graph, "stored", lambda df, label: plans.append(df._jdf.queryExecution().optimizedPlan().toString()) or keep(df, label))
+    stars = [(9, 1), (7, 1), (1, 7), (8, 2), (2, 2)]
+    got = {r["id"]: r["root"] for r in components(spark.createDataFrame(stars, "a bigint, b bigint")).collect()}
+    assert got == {1: 1, 2: 2, 7: 1, 8: 2, 9: 1} and len(plans) == 1
+    path = [(i, i + 1) for i in range(30)]
+    assert {r["root"] for r in components(spark.createDataFrame(path, "a bigint, b bigint")).collect()} == {0}
+    assert len(plans) > 3 and max(p.count("Join") for p in plans) == 1
