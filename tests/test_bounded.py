@@ -87,3 +87,42 @@ def test_codes_measure_block_by_block(spark, vectors):
         score = {i: sum(((unit[j : j + 1] - entries[j][c[j]]) ** 2).sum() for j in range(4)) for i, c in code.items()}
         edge = sorted(score.values())[11]
         assert len(got[q]) == 12 and all(score[i] <= edge + 1e-12 for i in got[q])
+
+
+@pytest.fixture
+def small_blocks(monkeypatch):
+    """Sizes so small that records are held and deep answers are measured whole."""
+    from nearmark.operators import blocks
+
+    monkeypatch.setattr(joins, "BLOCK_BYTES", 2000)
+    monkeypatch.setattr(joins, "MOST_CUTS", 3)
+    monkeypatch.setattr(joins, "HELD_CELLS", 4)
+    monkeypatch.setattr(blocks, "DENSE_PAIRS", 20)
+
+
+@pytest.mark.parametrize("metric", ["cosine", "euclidean", "dotproduct"])
+def test_deep_answers_are_not_shuffled(vectors, small_blocks, metric):
+    """Where answers outweigh the records, pairs leave their task ranked; damaged records come last, by id."""
+    last = F.when(F.col("id") % 3 == 0, F.element_at("values", -1)).otherwise(F.lit(float("nan")))
+    rows = vectors.withColumn("values", F.concat(F.slice("values", 1, 3), F.array(last)))
+    rows = rows.unionByName(rows.where("id = 3").withColumn("id", F.lit(400).cast("bigint")))
+    q = asked(rows, 105).withColumn("top_k", F.when(F.col("query_id") % 5 == 0, 4).otherwise(105))
+    found = knn(rows, q, metric, strategy="grid", block_bytes=2000)
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "Window" not in plan
+    x = {r["id"]: np.array(r["values"]) for r in rows.collect()}
+    got = {}
+    for r in found.collect():
+        got.setdefault(r["query_id"], []).append((r["rank"], r["id"], r["distance"]))
+    for j in (0, 3, 9, 400, 1):
+        a, away = x[j], {}
+        for i, b in x.items():
+            if metric == "euclidean":
+                away[i] = np.sqrt(((b - a) ** 2).sum())
+            else:
+                away[i] = -(a * b).sum() if metric == "dotproduct" else 1 - (a * b).sum() / np.sqrt((a * a).sum() * (b * b).sum())
+        want = sorted(away, key=lambda i: (np.isnan(away[i]), 0.0 if np.isnan(away[i]) else round(away[i], 12), i))
+        rows_of = sorted(got[j])
+        assert [r for r, _, _ in rows_of] == list(range(1, len(rows_of) + 1)) and len(rows_of) == (4 if j % 5 == 0 else 105)
+        assert [i for _, i, _ in rows_of] == want[: len(rows_of)]
+        assert np.isnan([d for *_, d in rows_of]).sum() == (0 if len(rows_of) == 4 else 105 if j == 1 else 4)
