@@ -126,3 +126,15 @@ def test_deep_answers_are_not_shuffled(vectors, small_blocks, metric):
         assert [r for r, _, _ in rows_of] == list(range(1, len(rows_of) + 1)) and len(rows_of) == (4 if j % 5 == 0 else 105)
         assert [i for _, i, _ in rows_of] == want[: len(rows_of)]
         assert np.isnan([d for *_, d in rows_of]).sum() == (0 if len(rows_of) == 4 else 105 if j == 1 else 4)
+
+
+def test_records_are_copied_a_few_times_for_long_answers(vectors, small_blocks):
+    q = asked(vectors, 40)
+    # Blocks of queries with their answers would copy the records more than 500 times.
+    assert joins._held_cuts(vectors, q, 300, 2000) == (1, 4)
+    assert joins._held_cuts(vectors, q, 300, 2000, held_bytes=4000) == (3, 3)
+    want = shown(knn(vectors, q, "cosine", strategy="records"))
+    assert len(want) == 300 * 40
+    found = knn(vectors, q, "cosine", strategy="grid", block_bytes=2000)
+    assert "Window" not in found._jdf.queryExecution().optimizedPlan().toString()
+    assert shown(found) == want
