@@ -16,32 +16,26 @@ from pyspark.sql import functions as F
 ROOT_MOMENTS = 50_000
 
 
-def interval_tiles(start: Column, end: Column, bits: int) -> Column:
+def interval_tiles(start: Column, end: Column, bits: int, levels: int | None = None) -> Column:
     """The tiles of ``start <= x < end``, of whole numbers from 0 below ``2**bits``.
 
     A tile is numbered like a node of a binary heap whose leaves are the numbers.
+    ``levels`` sizes above a leaf are enough if the interval lies in one tile of that size.
     """
     leaf = F.lit(1 << bits).cast("bigint")
-    none = F.array().cast("array<bigint>")
-    begin = F.struct((start + leaf).alias("a"), (end + leaf).alias("b"), none.alias("tiles"))
-
-    def step(held: Column, _: Column) -> Column:
-        a, b = held["a"], held["b"]
+    tiles = []
+    for level in range((bits if levels is None else levels) + 1):
+        a = F.shiftright(start + leaf + F.lit((1 << level) - 1).cast("bigint"), level)
+        b = F.shiftright(end + leaf, level)
         # An odd end has no sibling inside the interval: it is a tile of its own.
-        left = F.when((a < b) & (a % 2 == 1), F.array(a)).otherwise(none)
-        right = F.when((a < b) & (b % 2 == 1), F.array(b - 1)).otherwise(none)
-        # Nothing is left once the ends meet.
-        return F.struct(
-            F.shiftright(a + 1, 1).alias("a"), F.shiftright(b, 1).alias("b"), F.concat(held["tiles"], left, right).alias("tiles")
-        )
-
-    return F.aggregate(F.sequence(F.lit(0), F.lit(bits)), begin, step)["tiles"]
+        tiles += [F.when((a < b) & (a % 2 == 1), a), F.when((a < b) & (b % 2 == 1), b - 1)]
+    return F.array_compact(F.array(*tiles))
 
 
-def point_tiles(at: Column, bits: int) -> Column:
+def point_tiles(at: Column, bits: int, levels: int | None = None) -> Column:
     """The tiles that hold a number, of each size one."""
     leaf = at + F.lit(1 << bits).cast("bigint")
-    return F.transform(F.sequence(F.lit(0), F.lit(bits)), lambda level: F.call_function("shiftright", leaf, level))
+    return F.array(*[F.shiftright(leaf, level) for level in range((bits if levels is None else levels) + 1)])
 
 
 def tiled(states: DataFrame, asked: DataFrame, start: str = "valid_from", end: str = "valid_to", at: str = "at") -> tuple[DataFrame, DataFrame]:
@@ -87,7 +81,10 @@ def rooted(
     lives = lives.withColumn("root", F.explode(F.sequence(F.shiftright("_a", level), F.shiftright(F.col("_b") - 1, level))))
     low = F.greatest("_a", F.shiftleft("root", level))
     high = F.least("_b", F.shiftleft(F.col("root") + 1, level))
-    lives = lives.withColumn("list_id", interval_tiles(low, high, bits)).drop("_a", "_b")
+    # Most of what lives long fills its roots.
+    whole = (low == F.shiftleft("root", level)) & (high == F.shiftleft(F.col("root") + 1, level))
+    top = F.array(F.col("root") + F.lit(1 << (bits - level)).cast("bigint"))
+    lives = lives.withColumn("list_id", F.when(whole, top).otherwise(interval_tiles(low, high, bits, level))).drop("_a", "_b")
     moment = F.col(at).cast("bigint") - zero
     seen = asked.where(F.col(at).isNotNull()).withColumn("root", F.shiftright(moment, level))
-    return lives, seen.withColumn("lists", F.slice(point_tiles(moment, bits), 1, level + 1))
+    return lives, seen.withColumn("lists", point_tiles(moment, bits, level))

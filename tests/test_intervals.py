@@ -69,3 +69,39 @@ def test_tiles_below_roots(spark):
     tiles = left.agg(F.sum(F.size("list_id"))).first()[0]
     assert left.count() < tiles
     assert rooted(s.limit(0), q)[0].count() == 0 and rooted(s, q.limit(0))[1].count() == 0
+
+
+def test_pairs_of_short_lists_come_together():
+    """Lists of few pairs are not scored one by one."""
+    import numpy as np
+    import pyarrow as pa
+
+    from nearmark.operators import blocks
+
+    rng = np.random.default_rng(5)
+    lists = lambda n: pa.array([sorted(set(rng.integers(0, 400, 5).tolist()) | {1000}) for _ in range(n)], pa.list_(pa.int64()))
+    vectors = lambda n: pa.array(rng.normal(size=(n, 3)).tolist(), pa.list_(pa.float64()))
+    q = blocks.Queries(pa.table({"query_id": np.arange(90), "values": vectors(90), "top_k": pa.array([3] * 90, pa.int32()), "lists": lists(90)}), "euclidean", lists=True)
+    table = pa.table({"id": np.arange(70), "values": vectors(70), "list_id": lists(70)})
+    every = sorted((a, b) for qi, ri in q.tiles(table) for a in qi.tolist() for b in ri.tolist())
+    tiles, pairs = q.met(table)
+    tiles, pairs = list(tiles), list(pairs)
+    assert len(tiles) == 1 and len(pairs) == 1
+    assert sorted([(a, b) for qi, ri in tiles for a in qi.tolist() for b in ri.tolist()] + [(a, b) for qi, ri in pairs for a, b in zip(qi.tolist(), ri.tolist())]) == every
+
+
+def test_time_is_cut_for_many_tasks(spark):
+    """Few searches over many states are work for more than one task; a product needs some length."""
+    from nearmark.operators import knn as joins
+
+    rng = random.Random(2)
+    held = [(i, a, b, [rng.gauss(0, 1 + 4 * (i % 5)) for _ in range(3)]) for i, a, b in rows(rng, 200, 300)]
+    s = spark.createDataFrame(held, "id int, valid_from bigint, valid_to bigint, values array<double>").repartition(3)
+    q = spark.createDataFrame([(j, j, [rng.gauss(0, 1) for _ in range(3)], 4) for j in range(300)], "query_id int, at bigint, values array<double>, top_k int")
+    assert joins._by_time(s, q, 64 << 20)[1].select("_t").distinct().count() > 4
+    show = lambda df: sorted(map(tuple, df.collect()))
+    got = show(knn(s, q, "dotproduct", Match(as_of=True), strategy="grid"))
+    x = {j: v for j, _, v, _ in q.collect()}
+    for j in (0, 50, 299):
+        seen = [(-sum(a * b for a, b in zip(x[j], v)), i) for i, a, b, v in held if a <= j and (b is None or j < b)]
+        assert [r[2] for r in got if r[0] == j] == [i for _, i in sorted(seen)[:4]]
