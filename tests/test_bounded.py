@@ -138,3 +138,14 @@ def test_records_are_copied_a_few_times_for_long_answers(vectors, small_blocks):
     found = knn(vectors, q, "cosine", strategy="grid", block_bytes=2000)
     assert "Window" not in found._jdf.queryExecution().optimizedPlan().toString()
     assert shown(found) == want
+
+
+def test_stripes_are_held_step_by_step(vectors, small_blocks, monkeypatch):
+    """Many queries of steps: records in three stripes, each copied a few times, give the answer of the whole."""
+    q = asked(vectors, 7)
+    monkeypatch.setattr(joins, "HELD_BYTES", 4000)
+    assert joins._held_cuts(vectors, q, 300, 2000, joins.HELD_BYTES) == (3, 3)
+    want = shown(knn(vectors, q, "cosine", Match(step=True), strategy="records"))
+    found = joins._held_grid(vectors.select("id", "values", "step"), q.select("query_id", "values", "top_k", "step"), "cosine", Match(step=True), 3, 3)
+    assert shown(found) == want
+    assert shown(knn(vectors, q, "cosine", Match(step=True), strategy="grid", block_bytes=2000)) == want
